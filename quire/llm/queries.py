@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import fingerprints, licenses, pii
+from quire.llm import fingerprints, licenses, mixing, packing, pii
 from quire.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,9 +24,17 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), packing.default_vocabulary())
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_license_scan, op7_pii, op10_fingerprint)}
+    return {f.__name__: f for f in (op4_license_scan, op5_packing, op6_mixing, op7_pii, op10_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_mixing": mixing.MIX_SQL}
