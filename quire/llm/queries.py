@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import fingerprints, licenses, mixing, packing, pii
+from quire.llm import fingerprints, licenses, mixing, packing, pii, quality, toxicity
 from quire.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.selectExpr("doc_id", "source AS host", "lang AS path", "_evidence AS evidence", "_path_mean AS path_mean", "_score AS score", "_keep AS keep")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -33,7 +42,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_license_scan, op5_packing, op6_mixing, op7_pii, op10_fingerprint)}
+    return {f.__name__: f for f in (op1_quality, op4_license_scan, op5_packing, op6_mixing, op7_pii, op8_toxicity, op10_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
