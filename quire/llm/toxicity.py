@@ -25,7 +25,7 @@ from quire.llm.common import map_batches
 from quire.llm.text import ALNUM, LOWER, buffers, prefix_hashes, ranges, slices, span_hashes, words
 
 WINDOW, STRIDE = 32, 24
-WORD_SLOTS, CHAR_SLOTS = 1 << 14, 1 << 12
+WORD_SLOTS, CHAR_SLOTS = 1 << 17, 1 << 12
 DIM, HIDDEN = 8, 8
 
 Model = dict[str, np.ndarray]
@@ -48,6 +48,7 @@ class Batch:
         starts, ends, rows = words(body, offsets, ALNUM)
         prefix = prefix_hashes(body)
         keys, first, self.word = np.unique(span_hashes(prefix, starts, ends), return_index=True, return_inverse=True)
+        self.row = rows
         self.slot = (keys % np.uint64(WORD_SLOTS)).astype(np.int64)
         a, b = starts[first], ends[first]
         # triples of bytes within a word; a shorter word is one
@@ -152,7 +153,7 @@ def backward(m: Model, batch: Batch, cache, dlogit: np.ndarray) -> Model:
     return g
 
 
-def train(texts: list[str], y: np.ndarray, least_steps: int = 320, seed: int = 5, group: int = 64, windows: int = 6) -> Model | None:
+def train(texts: list[str], y: np.ndarray, least_steps: int = 320, seed: int = 5, group: int = 64, windows: int = 6, least_docs: int = 5) -> Model | None:
     """Adam on groups of documents, for at least 5 epochs; None without both labels."""
     if not len(y) or y.min() == y.max():
         return None
@@ -164,6 +165,14 @@ def train(texts: list[str], y: np.ndarray, least_steps: int = 320, seed: int = 5
     for i in range(0, len(order), group):
         part = order[i : i + group]
         batches[i] = (Batch(*buffers(pa.array([texts[j] for j in part], pa.large_string()))), y[part].astype(np.float32))
+    # words of few documents have no vector of their own, lest documents be learnt by heart
+    spread = np.zeros(WORD_SLOTS, np.int64)
+    for batch, label in batches.values():
+        if len(batch.word):
+            pairs = np.unique(batch.slot[batch.word] * len(label) + batch.row)
+            spread += np.bincount(pairs // len(label), minlength=WORD_SLOTS)
+    common = (spread >= least_docs)[:, None].astype(np.float32)
+    m["word"] *= common
     epochs = max(5, -(-least_steps // len(batches)))
     for epoch in range(epochs):
         for i in rng.permutation(list(batches)).tolist():
@@ -181,6 +190,7 @@ def train(texts: list[str], y: np.ndarray, least_steps: int = 320, seed: int = 5
             logit, cache = forward(m, batch, chosen, keep=True)
             p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
             grads = backward(m, batch, cache, ((p - label[batch.window_row[chosen]]) / len(label)).astype(np.float32))
+            grads["word"] *= common
             step += 1
             rate = 0.01 if epoch < epochs - max(1, epochs // 6) else 0.003
             for k, g in grads.items():
