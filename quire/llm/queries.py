@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import fingerprints, licenses, mixing, packing, pii, quality, toxicity
+from quire.llm import fingerprints, licenses, linededup, mixing, neardup, packing, pii, quality, toxicity
 from quire.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return cleaned.selectExpr("doc_id", "_lines AS n_lines", "_removed AS n_removed", "text")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -42,8 +51,8 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality, op4_license_scan, op5_packing, op6_mixing, op7_pii, op8_toxicity, op10_fingerprint)}
+    return {f.__name__: f for f in (op1_quality, op2_neardup, op4_license_scan, op5_packing, op6_mixing, op7_pii, op8_toxicity, op9_line_dedup, op10_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.MIX_SQL}
+    return {"op2_neardup": neardup.NEAR_SQL, "op6_mixing": mixing.MIX_SQL, "op9_line_dedup": linededup.LINES_SQL}

@@ -161,7 +161,8 @@ def shingles(body: np.ndarray, offsets: np.ndarray, kind: np.ndarray, k: int) ->
 
 def distinct_per_row(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (hash, row), ordered by row and then hash."""
-    order = np.lexsort((hashes, rows))
+    # one sort of (row, upper bits of the hash); rows of a slice number less than 2**24
+    order = np.argsort((rows.astype(np.uint64) << np.uint64(40)) | (hashes >> np.uint64(24)))
     h, r = hashes[order], rows[order]
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
