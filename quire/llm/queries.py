@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import fingerprints, licenses, linededup, mixing, neardup, packing, pii, quality, toxicity
+from quire.llm import fingerprints, licenses, linededup, mixing, neardup, neighbours, packing, pii, quality, toxicity
 from quire.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.selectExpr("doc_id", "_lines AS n_lines", "_removed AS n_removed", "text")
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality, op2_neardup, op4_license_scan, op5_packing, op6_mixing, op7_pii, op8_toxicity, op9_line_dedup, op10_fingerprint)}
+    return {f.__name__: f for f in (op1_quality, op2_neardup, op3_neighbours, op4_license_scan, op5_packing, op6_mixing, op7_pii, op8_toxicity, op9_line_dedup, op10_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
