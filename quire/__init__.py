@@ -1,0 +1 @@
+"""Documents as DataFrames: readers, layout and structure operators, writers."""
