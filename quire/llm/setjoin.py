@@ -8,7 +8,8 @@ Used for documents (word shingles) and for lines.  Four steps:
    are settled there and then.  Counting moves packed arrays, 6 bytes a token, and each
    chunk of rows counts its own repetitions first, so a token that a third of all rows
    hold reaches its reducer once per chunk.
-2. Equal sets form classes; one set of each class goes on.
+2. Equal sets form classes; one set of each class goes on, and is counted once more,
+   without copies.
 3. `ordered`: tokens of the remaining sets are ordered rare first; tokens of one set
    alone only count as positions.  `candidates` joins the prefixes, with the index
    prefix on the shorter side, length and positional filters; a token of many sets is
@@ -51,6 +52,14 @@ def needed(n: np.ndarray, num: int, den: int) -> np.ndarray:
 def sets_of(part: pa.RecordBatch, column: str, extract: Extract):
     """Distinct (token, item), item rows and numbers, sizes, and two signatures of each item."""
     tokens, items, row, number = extract(*buffers(part.column(column)))
+    if "wanted" in part.schema.names:  # the item numbers that are wanted of each row
+        lists = part.column("wanted")
+        asked = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        pairs = np.repeat(np.arange(part.num_rows), asked) << 32 | lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        keep = np.isin(row.astype(np.int64) << 32 | number, pairs)
+        of = keep[items]
+        tokens, items = tokens[of], (np.cumsum(keep) - 1)[items[of]]
+        row, number = row[keep], number[keep]
     tokens, items = distinct_per_row(tokens, items)
     size = np.bincount(items, minlength=len(row)).astype(np.int64)
     first = np.concatenate([[0], np.cumsum(size)])
@@ -72,10 +81,9 @@ def estimated_buckets(df: DataFrame, parts: int) -> int:
     return int(min(max(parts, size // (8 << 20)), 1 << 22)) if size < 1 << 60 else parts
 
 
-def profile(items: DataFrame, extract: Extract, num: int, den: int) -> DataFrame:
+def profile(items: DataFrame, extract: Extract, num: int, den: int, buckets: int | None = None) -> DataFrame:
     """One row per item of `items` (id long, text string): its size, signatures and whether it may have a partner."""
-    parts = parallelism(items.sparkSession)
-    buckets = estimated_buckets(items, parts)
+    buckets = buckets or estimated_buckets(items, parallelism(items.sparkSession))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -187,24 +195,23 @@ def classes_of(alive: DataFrame) -> DataFrame:
     return alive.groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "number")).alias("first"), F.count("*").alias("copies")).select(F.col("s1").alias("e"), "n", "first", "copies")
 
 
-def sets_again(items: DataFrame, classes: DataFrame, extract: Extract) -> DataFrame:
-    """(e, n, tokens) of each class, read again from its first item alone."""
+def first_items(items: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of `items` that hold the first item of a class, with the item numbers `wanted` of them."""
     wanted = classes.groupBy(F.col("first.id").alias("_id")).agg(F.collect_list(F.col("first.number")).alias("wanted"))
-    found = items.join(sized(wanted), F.col("id") == F.col("_id")).select("id", "text", "wanted")
+    return items.join(sized(durable(wanted)), F.col("id") == F.col("_id")).select("id", "text", "wanted")
+
+
+def sets_again(items: DataFrame, classes: DataFrame, extract: Extract) -> DataFrame:
+    """(e, n, tokens) of each class, read again from its first item alone (twice, if that row is repeated)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1 << 19):
-            tokens, owner, row, number, size, s1, _ = sets_of(part, "text", extract)
-            lists = part.column("wanted").combine_chunks() if isinstance(part.column("wanted"), pa.ChunkedArray) else part.column("wanted")
-            asked = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            pairs = np.repeat(np.arange(part.num_rows), asked) << 32 | lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            keep = np.isin(row.astype(np.int64) << 32 | number, pairs) & (size > 0)
-            of = keep[owner]
-            ends = np.concatenate([[0], np.cumsum(size[keep])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(s1[keep].view(np.int64)), pa.array(size[keep]), pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens[of].view(np.int64)))], names=["e", "n", "tokens"])
+            tokens, _, _, _, size, s1, _ = sets_of(part, "text", extract)
+            some = size > 0
+            ends = np.concatenate([[0], np.cumsum(size[some])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(s1[some].view(np.int64)), pa.array(size[some]), pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens.view(np.int64)))], names=["e", "n", "tokens"])
 
-    read = found.mapInArrow(run, "e long, n long, tokens array<long>")
-    return read.join(classes.select("e"), "e", "left_semi").dropDuplicates(["e"])
+    return first_items(items, classes).mapInArrow(run, "e long, n long, tokens array<long>")
 
 
 def ordered(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -214,7 +221,7 @@ def ordered(sets: DataFrame, num: int, den: int) -> DataFrame:
     """
     rows = sets.select("e", "n", F.explode("tokens").alias("token"))
     often = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    kept = rows.join(often, "token").groupBy("e", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("tokens"))
+    kept = rows.join(often, "token").groupBy("e", "n").agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("tokens"))
     return kept.withColumn("lone", F.col("n") - F.size("tokens")).where(f"lone < n - ceil(n * {num} / {den}) + 1")
 
 
@@ -311,7 +318,12 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, block: int =
 
 def links(items: DataFrame, classes: DataFrame, extract: Extract, num: int, den: int) -> DataFrame:
     """(x, y): the linked pairs of different classes, each once."""
-    sets = durable(sets_again(items, classes, extract))
+    # Copies are gone now, so counting again, over first items alone, settles most classes.
+    # (The size of a join is badly estimated, hence the number of buckets of the whole input.)
+    buckets = estimated_buckets(items, parallelism(items.sparkSession))
+    again = profile(first_items(items, classes), extract, num, den, buckets).where("alive").select(F.col("s1").alias("e")).distinct()
+    left = durable(classes.join(again, "e", "left_semi"))
+    sets = durable(sets_again(items, left, extract))
     rare = durable(ordered(sets, num, den))
     return durable(verified(candidates(rare, num, den), rare, num, den))
 
