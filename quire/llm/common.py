@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import glob
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +46,17 @@ def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+@lru_cache(maxsize=1)
+def one_blas_thread() -> None:
+    """Keeps numpy's matrix products on one thread: tasks already fill the cores."""
+    for path in glob.glob(str(Path(np.__file__).resolve().parent.parent / "numpy.libs" / "*openblas*")):
+        lib = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(lib, name):
+                getattr(lib, name)(1)
+                break
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -66,19 +66,22 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return gone.groupBy("id").agg(F.array_sort(F.collect_set("number")).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", prefix: str = "_", **options) -> DataFrame:
     """The documents with their repeated lines removed, and _lines, _removed counts added.
 
+    `prefix` begins the added names; columns that have them already are replaced.
+
     Texts stay where they are while the table of documents that lose lines is within the
     broadcast bound.
     """
     gone = durable(repeated_lines(docs, text, doc_id, **options))
     size = gone.agg(F.sum(F.size("gone")).alias("n")).first()["n"] or 0
-    joined = docs.join(sized(gone.withColumnRenamed("id", "_id"), max(size // 8, gone.count())), F.col(doc_id).cast("long") == F.col("_id"), "left").drop("_id")
+    gone = gone.select(F.col("id").alias("__q_id"), F.col("gone").alias("__q_gone"))
+    joined = docs.join(sized(gone, max(size // 8, gone.count())), F.col(doc_id).cast("long") == F.col("__q_id"), "left").drop("__q_id")
     lines = F.split(F.col(text), "\n", -1)
-    kept = F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone", i)), "\n"))
-    counted = joined.withColumns({"_lines": F.coalesce(F.length(text) - F.length(F.translate(F.col(text), "\n", "")) + 1, F.lit(0)).cast("long"), "_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long")})
-    return counted.withColumn(text, kept).drop("gone")
+    kept = F.when(F.col("__q_gone").isNull(), F.col(text)).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__q_gone", i)), "\n"))
+    counts = {"lines": F.coalesce(F.length(text) - F.length(F.translate(F.col(text), "\n", "")) + 1, F.lit(0)).cast("long"), "removed": F.coalesce(F.size("__q_gone"), F.lit(0)).cast("long")}
+    return joined.withColumns({prefix + k: v for k, v in counts.items()}).withColumn(text, kept).drop("__q_gone")
 
 
 #: DuckDB SQL of op9 over `documents`.

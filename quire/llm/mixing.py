@@ -101,13 +101,13 @@ def mixed(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", seed:
     chosen = plan(docs, source=source, doc_id=doc_id, seed=seed, **options)
     inside = F.col("before") * 2 + F.col("size") <= F.col("partial") * 2
     last = F.struct("key", F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("doc_id"), "size")
-    cuts = chosen.groupBy(F.col("source").alias("_source")).agg(F.max("epochs").alias("_epochs"), F.max(F.when(inside & (F.col("partial") > 0), last)).alias("_cut"))
+    cuts = chosen.groupBy(F.col("source").alias("__q_source")).agg(F.max("epochs").alias("__q_epochs"), F.max(F.when(inside & (F.col("partial") > 0), last)).alias("__q_cut"))
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
     own = F.struct(key.alias("key"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.coalesce(F.regexp_count(F.col(options.get("text", "text")), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    joined = docs.join(sized(durable(cuts)), F.col(source).eqNullSafe(F.col("_source")))
-    copies = F.col("_epochs") + F.when(F.col("_cut").isNotNull() & (own <= F.col("_cut")), 1).otherwise(0)
-    repeated = joined.withColumn("_copies", copies.cast("int")).where("_copies > 0")
-    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in columns])
+    joined = docs.join(sized(durable(cuts)), F.col(source).eqNullSafe(F.col("__q_source")))
+    copies = F.col("__q_epochs") + F.when(F.col("__q_cut").isNotNull() & (own <= F.col("__q_cut")), 1).otherwise(0)
+    repeated = joined.withColumn("__q_copies", copies.cast("int")).where("__q_copies > 0")
+    return repeated.withColumn("__q_copy", F.explode(F.sequence(F.lit(1), F.col("__q_copies")))).select(*[F.col(f"`{c}`") for c in columns])
 
 
 #: DuckDB SQL of mix() over `documents`.

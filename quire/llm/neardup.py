@@ -66,8 +66,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def distinct_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """The documents without near duplicates: of each component the least doc_id stays."""
     found = near_duplicates(docs, text, doc_id, **options)
-    gone = durable(found.where("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(sized(gone), F.col(doc_id) == F.col("_gone"), "left_anti")
+    gone = durable(found.where("component_id != doc_id").select(F.col("doc_id").alias("__q_gone")).distinct())
+    return docs.join(sized(gone), F.col(doc_id) == F.col("__q_gone"), "left_anti")
 
 
 #: DuckDB SQL of near_duplicates() over `documents`.

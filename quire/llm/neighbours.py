@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import durable
+from quire.llm.common import durable, one_blas_thread
 
 FOUND = "query_id long, vec_id long, score double"
 
@@ -106,6 +106,7 @@ def search(vectors: DataFrame, queries_where: str = "vec_id % 20 = 0", vec_id: s
     def meet(own: pa.Table, asked: pa.Table) -> pa.Table:
         if not own.num_rows or not asked.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        one_blas_thread()
         index = Block(_matrix(own.column("v"), dim), own.column("vec_id").to_numpy(), largest, m)
         found = index.search(_matrix(asked.column("v"), dim), asked.column("vec_id").to_numpy(), k, largest, spare, collide)
         return pa.table(dict(zip(("query_id", "vec_id", "score"), (np.concatenate(x) for x in found))))

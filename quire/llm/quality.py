@@ -165,9 +165,11 @@ def site_posteriors(evidence_rows: DataFrame) -> DataFrame:
     return joined.select("host", "path", "n", "host_mean", posterior.alias("path_mean"), (_logit(posterior) - _logit(F.lit(mean))).alias("shift"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, text: str = "text", doc_id: str = "doc_id", fit_rows: int = 20_000, weight: float = 0.5, threshold: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, text: str = "text", doc_id: str = "doc_id", fit_rows: int = 20_000, weight: float = 0.5, threshold: float = 0.5, prefix: str = "_") -> DataFrame:
     """The documents with _evidence, _path_mean, _score (0 to 1) and _keep added.
 
+    `prefix` begins the added names; columns that have them already are replaced.
+
     `host`, `path`: by default the source, and the language below it.  `weight`: share of
     the site's shift that a document gets.  Rejected are scores below `threshold`.
     """
@@ -176,7 +178,8 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     model = fit_on_labels(docs, labels, fit_rows, text, doc_id)
     logit = evidence(model, text)
     sites = site_posteriors(docs.select(host.alias("host"), path.alias("path"), (1 / (1 + F.exp(-logit))).alias("p")))
-    sites = durable(sites.select(F.col("host").alias("_host"), F.col("path").alias("_path"), F.col("path_mean").alias("_path_mean"), "shift"))
-    scored = docs.withColumns({"_evidence": logit, "_h": host, "_p": path}).join(sized(sites), F.col("_h").eqNullSafe(F.col("_host")) & F.col("_p").eqNullSafe(F.col("_path")), "left")
-    score = 1 / (1 + F.exp(-(F.col("_evidence") + weight * F.coalesce(F.col("shift"), F.lit(0.0)))))
-    return scored.withColumn("_score", score).withColumn("_keep", F.col("_score") >= threshold).drop("_h", "_p", "_host", "_path", "shift")
+    sites = durable(sites.select(F.col("host").alias("__q_host"), F.col("path").alias("__q_path"), F.col("path_mean").alias("__q_mean"), F.col("shift").alias("__q_shift")))
+    scored = docs.withColumns({"__q_logit": logit, "__q_h": host, "__q_p": path}).join(sized(sites), F.col("__q_h").eqNullSafe(F.col("__q_host")) & F.col("__q_p").eqNullSafe(F.col("__q_path")), "left")
+    score = 1 / (1 + F.exp(-(F.col("__q_logit") + weight * F.coalesce(F.col("__q_shift"), F.lit(0.0)))))
+    named = {"evidence": F.col("__q_logit"), "path_mean": F.col("__q_mean"), "score": score, "keep": score >= threshold}
+    return scored.withColumns({prefix + k: v for k, v in named.items()}).drop("__q_logit", "__q_h", "__q_p", "__q_host", "__q_path", "__q_mean", "__q_shift")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import map_batches
+from quire.llm.common import map_batches, one_blas_thread
 from quire.llm.text import ALNUM, LOWER, buffers, prefix_hashes, ranges, slices, span_hashes, words
 
 WINDOW, STRIDE = 32, 24
@@ -157,6 +157,7 @@ def train(texts: list[str], y: np.ndarray, least_steps: int = 320, seed: int = 5
     """Adam on groups of documents, for at least 5 epochs; None without both labels."""
     if not len(y) or y.min() == y.max():
         return None
+    one_blas_thread()
     rng = np.random.default_rng(seed)
     m = new_model()
     mean, square, step = {k: np.zeros_like(v) for k, v in m.items()}, {k: np.zeros_like(v) for k, v in m.items()}, 0
@@ -220,6 +221,7 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        one_blas_thread()
         n = batch.num_rows
         best = np.full(n, -40.0)
         if shared.value is not None:
