@@ -22,7 +22,7 @@ ORACLE_SQL = None
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score, shrunk over their sites, is at least 0.5."""
     columns = docs.columns
-    return quality.classify(docs, table(spark, sf_dir, "labels")).where("_keep").select(*[F.col(f"`{c}`") for c in columns])
+    return quality.classify(docs, table(spark, sf_dir, "labels"), prefix="__q_").where("__q_keep").select(*[F.col(f"`{c}`") for c in columns])
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     A document all of whose lines were seen before, and that had text, is gone with them.
     """
     columns = docs.columns
-    cleaned = linededup.dedup_lines(docs).where("NOT (_removed > 0 AND trim(text) = '')")
+    cleaned = linededup.dedup_lines(docs, prefix="__q_").where("NOT (__q_removed > 0 AND trim(text) = '')")
     return _counted(cleaned).select(*[F.col(f"`{c}`") for c in columns])
 
 
