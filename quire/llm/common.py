@@ -57,11 +57,34 @@ def one_blas_thread() -> None:
                 break
 
 
+def bound_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Bounds Arrow batches by bytes, as texts can be long: workers' memory doesn't depend on them."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Gives a worker's free memory back after each partition, as workers are reused."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _release()
+
+    return wrapped
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str | None = "text", budget: int = 1 << 21) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str | None = "text", budget: int = 1 << 19) -> DataFrame:
     """mapInArrow over slices whose texts have about `budget` bytes; longer texts stay whole."""
     from quire.llm.text import slices
 
@@ -71,4 +94,5 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
             if out is not None and out.num_rows:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(lean(run), schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import parallelism
+from quire.llm.common import bound_batches, lean, parallelism
 from quire.llm.text import buffers, mix, prefix_hashes, ranges, slices, span_hashes
 
 WINDOW = 64
@@ -242,4 +242,5 @@ def fingerprint(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ran
                 if take.num_rows > 1:
                     yield compare_with_next(take.column(0), *buffers(take.column(1)))
 
-    return sorted_.mapInArrow(run, OUT)
+    bound_batches(spark)
+    return sorted_.mapInArrow(lean(run), OUT)

@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import bound_batches, lean
 from quire.llm.text import buffers, prefix_hashes, ranges, slices, span_hashes
 
 
@@ -102,7 +103,7 @@ def split_words(points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of texts; remembers the ids of the words it has seen, up to a bound."""
 
-    def __init__(self, path: str, remember: int = 1_000_000):
+    def __init__(self, path: str, remember: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -294,7 +295,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, windows: int =
             rows.clear()
             return out
 
-        for part in slices(batches, "text", 1 << 19):
+        for part in slices(batches, "text", 1 << 18):
             ids, bounds = enc.encode(*buffers(part.column(1)))
             for i, key in enumerate(part.column(0).to_pylist()):
                 own = np.append(ids[bounds[i] : bounds[i + 1]], np.int32(end_id))
@@ -331,5 +332,6 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, windows: int =
             emit([*(fill(waiting, capacity) if waiting else []), *([last] if last else [])])
             yield batch()
 
-    out = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, OUT)
+    bound_batches(docs.sparkSession)
+    out = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(lean(run), OUT)
     return out if with_ids else out.drop("ids")

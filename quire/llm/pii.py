@@ -90,8 +90,10 @@ _CUES = {
 FEATURES = (
     "bias", "in_email", "in_ip", "in_card", "in_phone", "at", "at_domain", "quad", "quad_port", "plus", "paren", "hyphen_groups",
     "d1_3", "d4_7", "d8_15", "d16_19", "d20", "luhn", "letters", "hex", "slash_colon", "money", "cue_email", "cue_ip", "cue_card",
-    "cue_phone", "group3", "group4", "next_group", "prev_group",
+    "cue_phone", "group3", "group4", "next_group", "prev_group", "phone_groups", "date",
 )
+_TEN = re.compile(r"(?:\+?1[-.])?\(?[0-9]{3}\)?[-.][0-9]{3}[-.][0-9]{4}")
+_DATE = re.compile(r"(?:19|20)[0-9]{2}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./][0-9]{2,4}")
 _GROUPS = re.compile(r"\(?[0-9]{2,4}\)?(?:[-.][0-9]{2,4})*")
 
 
@@ -147,6 +149,7 @@ def nodes(text: str, base: list[Span]) -> tuple[list[tuple[int, int, int]], np.n
         for q, kind in enumerate(KINDS):
             f[22 + q] = bool(_CUES[kind].intersection(cues[j]))
         f[26], f[27] = groups and n == 3, groups and n == 4
+        f[30], f[31] = _TEN.fullmatch(w) is not None, _DATE.fullmatch(w) is not None
         keys.append(digits if n >= 6 else w.lower())
     for j in range(len(found)):
         if j + 1 < len(found) and found[j + 1][0] == found[j][0] + 1:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import durable, sized
+from quire.llm.common import bound_batches, durable, lean, sized
 from quire.llm.text import SPACED, buffers, distinct_per_row, gram_hashes, prefix_hashes, slices, span_hashes, words
 
 FEATURES = (
@@ -113,7 +113,7 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, fit_rows: int, text: str =
             x = features(*buffers(part.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), part.column(1)], names=["x", "y"])
 
-    rows = joined.mapInArrow(run, "x array<double>, y double").toPandas()
+    rows = joined.mapInArrow(lean(run), "x array<double>, y double").toPandas()
     if not len(rows):
         return np.zeros(len(FEATURES) + 1)
     x, y = np.stack(rows["x"].to_numpy()), rows["y"].to_numpy()
@@ -175,6 +175,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     """
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
+    bound_batches(docs.sparkSession)
     model = fit_on_labels(docs, labels, fit_rows, text, doc_id)
     logit = evidence(model, text)
     sites = site_posteriors(docs.select(host.alias("host"), path.alias("path"), (1 / (1 + F.exp(-logit))).alias("p")))

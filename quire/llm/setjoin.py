@@ -32,12 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import durable, parallelism, sized
+from quire.llm.common import bound_batches, durable, lean, parallelism, sized
 from quire.llm.text import buffers, distinct_per_row, mix, slices
 
 #: Items of a chunk; their numbers take 16 bits, the last one marks tokens repeated in the chunk.
 ITEMS, REPEATED = 60_000, 65_535
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 
 #: (bytes, offsets, wanted items of each row or None) -> (token, item), (row, number in the row) of each item.
 #: Items ascend; every row's items come together.
@@ -131,7 +131,7 @@ def profile(items: DataFrame, extract: Extract, num: int, den: int, buckets: int
             chunk += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in _COUNTED.split(", ")])
 
-        for part in slices(batches, "text", 1 << 19):
+        for part in slices(batches, "text", 1 << 18):
             tokens, owner, row, number, size, s1, s2 = sets_of(part, "text", extract)
             ids = part.column("id").to_numpy(zero_copy_only=False).astype(np.int64)[row]
             done = 0
@@ -185,7 +185,8 @@ def profile(items: DataFrame, extract: Extract, num: int, den: int, buckets: int
                 shared += np.bincount(np.frombuffer(blob.as_buffer(), np.uint16), minlength=len(ids))
         return pa.table({"id": ids, "number": numbers, "n": sizes, "s1": s1, "s2": s2, "alive": (shared >= need) & (sizes > 0)})
 
-    counted = items.mapInArrow(count, _COUNTED)
+    bound_batches(items.sparkSession)
+    counted = items.mapInArrow(lean(count), _COUNTED)
     met = counted.groupBy("bucket").applyInArrow(meet, met_schema)
     return met.groupBy("chunk").applyInArrow(settle, PROFILE)
 
@@ -198,20 +199,23 @@ def classes_of(alive: DataFrame) -> DataFrame:
 def first_items(items: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows of `items` that hold the first item of a class, with the item numbers `wanted` of them."""
     wanted = classes.groupBy(F.col("first.id").alias("_id")).agg(F.collect_list(F.col("first.number")).alias("wanted"))
-    return items.join(sized(durable(wanted)), F.col("id") == F.col("_id")).select("id", "text", "wanted")
+    wanted = durable(wanted)
+    # rows and 4-byte numbers, counted in rows of 32 bytes
+    size = wanted.agg((F.count("*") + F.coalesce(F.sum(F.size("wanted")), F.lit(0)) / 8).cast("long")).first()[0]
+    return items.join(sized(wanted, size), F.col("id") == F.col("_id")).select("id", "text", "wanted")
 
 
 def sets_again(items: DataFrame, classes: DataFrame, extract: Extract) -> DataFrame:
     """(e, n, tokens) of each class, read again from its first item alone (twice, if that row is repeated)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 1 << 19):
+        for part in slices(batches, "text", 1 << 18):
             tokens, _, _, _, size, s1, _ = sets_of(part, "text", extract)
             some = size > 0
             ends = np.concatenate([[0], np.cumsum(size[some])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(s1[some].view(np.int64)), pa.array(size[some]), pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens.view(np.int64)))], names=["e", "n", "tokens"])
 
-    return first_items(items, classes).mapInArrow(run, "e long, n long, tokens array<long>")
+    return first_items(items, classes).mapInArrow(lean(run), "e long, n long, tokens array<long>")
 
 
 def ordered(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -313,7 +317,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, block: int =
         if out is not None and out.num_rows:
             yield out
 
-    return stream.mapInArrow(run, "x long, y long")
+    return stream.mapInArrow(lean(run), "x long, y long")
 
 
 def links(items: DataFrame, classes: DataFrame, extract: Extract, num: int, den: int) -> DataFrame:

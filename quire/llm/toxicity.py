@@ -68,13 +68,13 @@ class Batch:
         unseen = len(keys)  # a slot of zeros for places without a word
         self.tokens = np.where(self.mask, self.word[index] if len(self.word) else 0, unseen)
 
-    def inputs(self, m: Model) -> np.ndarray:
-        """One row of 2*DIM per distinct word, and a last row of zeros."""
+    def inputs(self, m: Model, kept: np.ndarray | None = None) -> np.ndarray:
+        """One row of 2*DIM per distinct word, and a last row of zeros; `kept` masks inputs in training."""
         x = np.zeros((len(self.slot) + 1, 2 * DIM), np.float32)
         if len(self.slot):
             x[:-1, :DIM] = m["word"][self.slot]
             x[:-1, DIM:] = np.add.reduceat(m["char"][self.chars], self.char_start, axis=0) / self.char_count[:, None]
-        return x
+        return x if kept is None else x * kept
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -102,10 +102,10 @@ def _recur(proj: np.ndarray, tokens: np.ndarray, mask: np.ndarray, u: np.ndarray
     return out, trace
 
 
-def forward(m: Model, batch: Batch, windows: np.ndarray | None = None, keep: bool = False):
+def forward(m: Model, batch: Batch, windows: np.ndarray | None = None, keep: bool = False, kept: np.ndarray | None = None):
     """Logit of each window; with `keep`, what backward() needs."""
     tokens, mask = (batch.tokens, batch.mask) if windows is None else (batch.tokens[windows], batch.mask[windows])
-    x = batch.inputs(m)
+    x = batch.inputs(m, kept)
     proj = {d: x @ m[d + "W"] + m[d + "c"] for d in "fb"}
     hf, tf = _recur(proj["f"], tokens, mask, m["fU"], range(WINDOW), keep)
     hb, tb = _recur(proj["b"], tokens, mask, m["bU"], range(WINDOW - 1, -1, -1), keep)
@@ -116,12 +116,12 @@ def forward(m: Model, batch: Batch, windows: np.ndarray | None = None, keep: boo
     weight /= np.maximum(weight.sum(0), 1e-9)
     pooled = (weight[:, :, None] * states).sum(0)
     logit = pooled @ m["out"] + m["bias"]
-    return logit if not keep else (logit, (tokens, mask, x, states, weight, pooled, {"f": tf, "b": tb}))
+    return logit if not keep else (logit, (tokens, mask, x, states, weight, pooled, kept, {"f": tf, "b": tb}))
 
 
 def backward(m: Model, batch: Batch, cache, dlogit: np.ndarray) -> Model:
     """Gradients of sum(dlogit * logit)."""
-    tokens, mask, x, states, weight, pooled, traces = cache
+    tokens, mask, x, states, weight, pooled, kept, traces = cache
     h = HIDDEN
     g: Model = {"out": pooled.T @ dlogit, "bias": dlogit.sum(keepdims=True)}
     dpool = dlogit[:, None] * m["out"]
@@ -147,6 +147,8 @@ def backward(m: Model, batch: Batch, cache, dlogit: np.ndarray) -> Model:
             carry = ds * z + dg @ u.T + total * ~live
         g[d + "U"], g[d + "W"], g[d + "c"] = du, x.T @ dproj, dproj.sum(0)
         dx += dproj @ m[d + "W"].T
+    if kept is not None:
+        dx *= kept
     g["word"], g["char"] = np.zeros_like(m["word"]), np.zeros_like(m["char"])
     np.add.at(g["word"], batch.slot, dx[:-1, :DIM])
     np.add.at(g["char"], batch.chars, np.repeat(dx[:-1, DIM:] / batch.char_count[:, None], batch.char_count, axis=0))
@@ -166,19 +168,24 @@ def train(texts: list[str], y: np.ndarray, least_steps: int = 320, seed: int = 5
     for i in range(0, len(order), group):
         part = order[i : i + group]
         batches[i] = (Batch(*buffers(pa.array([texts[j] for j in part], pa.large_string()))), y[part].astype(np.float32))
-    # words of few documents have no vector of their own, lest documents be learnt by heart
-    spread = np.zeros(WORD_SLOTS, np.int64)
+    # A word's vector starts from how far its share of toxic documents lies from that of all,
+    # in standard errors; words of few documents have none, lest documents be learnt by heart.
+    spread, toxic = np.zeros(WORD_SLOTS, np.int64), np.zeros(WORD_SLOTS, np.int64)
     for batch, label in batches.values():
         if len(batch.word):
             pairs = np.unique(batch.slot[batch.word] * len(label) + batch.row)
             spread += np.bincount(pairs // len(label), minlength=WORD_SLOTS)
+            toxic += np.bincount(pairs // len(label), label[pairs % len(label)], WORD_SLOTS).astype(np.int64)
     common = (spread >= least_docs)[:, None].astype(np.float32)
-    m["word"] *= common
+    share = float(np.mean(y))
+    apart = (toxic - spread * share) / np.sqrt(np.maximum(spread * share * (1 - share), 1e-9))
+    m["word"][:] = 0
+    m["word"][:, 0] = np.where((spread >= least_docs) & (np.abs(apart) > 3), np.clip(apart / 4, -1.5, 1.5), 0)
     epochs = max(5, -(-least_steps // len(batches)))
     for epoch in range(epochs):
         for i in rng.permutation(list(batches)).tolist():
             batch, label = batches[i]
-            if epoch < max(2, epochs // 3):  # some windows of each document, all with its label
+            if epoch < 1:  # some windows of each document, all with its label
                 pick = rng.permutation(len(batch.window_row))
                 order_ = np.argsort(batch.window_row[pick], kind="stable")
                 rank = ranges(np.bincount(batch.window_row, minlength=len(label)))
@@ -188,10 +195,16 @@ def train(texts: list[str], y: np.ndarray, least_steps: int = 320, seed: int = 5
                 by = np.lexsort((-logit, batch.window_row))
                 rank = ranges(np.bincount(batch.window_row, minlength=len(label)))
                 chosen = by[(rank == 0) | ((rank == 1) & (label[batch.window_row[by]] == 0))]
-            logit, cache = forward(m, batch, chosen, keep=True)
+            # inputs are dropped at random: characters of a word often, its own vector seldom
+            kept = np.ones((len(batch.slot) + 1, 2 * DIM), np.float32)
+            kept[rng.random(len(kept)) < 0.05, :DIM] = 0
+            kept[rng.random(len(kept)) < 0.3, DIM:] = 0
+            logit, cache = forward(m, batch, chosen, keep=True, kept=kept)
             p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
             grads = backward(m, batch, cache, ((p - label[batch.window_row[chosen]]) / len(label)).astype(np.float32))
             grads["word"] *= common
+            for k in ("char", "fW", "bW", "fU", "bU"):
+                grads[k] += np.float32(2e-4) * m[k]
             step += 1
             rate = 0.01 if epoch < epochs - max(1, epochs // 6) else 0.003
             for k, g in grads.items():
