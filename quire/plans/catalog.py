@@ -221,7 +221,7 @@ def table_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT (count(*) * 3 + 3)::BIGINT AS positions, 0::BIGINT AS untiled FROM nation")
 def tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = tb.grid(read_html(_nation_html(spark, sf_dir)))
-    return g.agg(F.count("*").alias("positions")).crossJoin(tb.untiled(tb.origins(g), g).agg(F.count("*").alias("untiled")))
+    return g.join(tb.untiled(tb.origins(g), g), tb.CELL, "left").agg(F.count("*").alias("positions"), F.count("times").alias("untiled"))
 
 
 @query("SELECT (row_number() OVER (ORDER BY r_regionkey, n_nationkey) - 1)::INT AS row_index, r_name AS c0, CAST(n_nationkey AS VARCHAR) AS c1, n_name AS c2 FROM nation JOIN region ON r_regionkey = n_regionkey")
