@@ -181,6 +181,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     sites = site_posteriors(docs.select(host.alias("host"), path.alias("path"), (1 / (1 + F.exp(-logit))).alias("p")))
     sites = durable(sites.select(F.col("host").alias("__q_host"), F.col("path").alias("__q_path"), F.col("path_mean").alias("__q_mean"), F.col("shift").alias("__q_shift")))
     scored = docs.withColumns({"__q_logit": logit, "__q_h": host, "__q_p": path}).join(sized(sites), F.col("__q_h").eqNullSafe(F.col("__q_host")) & F.col("__q_p").eqNullSafe(F.col("__q_path")), "left")
-    score = 1 / (1 + F.exp(-(F.col("__q_logit") + weight * F.coalesce(F.col("__q_shift"), F.lit(0.0)))))
+    # (Without coalesce a filter on the score makes Spark ask first whether the evidence is null, and compute it twice.)
+    score = 1 / (1 + F.exp(-(F.coalesce("__q_logit", F.lit(0.0)) + weight * F.coalesce(F.col("__q_shift"), F.lit(0.0)))))
     named = {"evidence": F.col("__q_logit"), "path_mean": F.col("__q_mean"), "score": score, "keep": score >= threshold}
     return scored.withColumns({prefix + k: v for k, v in named.items()}).drop("__q_logit", "__q_h", "__q_p", "__q_host", "__q_path", "__q_mean", "__q_shift")
