@@ -30,12 +30,12 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that match an earlier line; n_chars follows the text.
+    """Texts without the lines that match an earlier line by their words; n_chars follows the text.
 
     A document all of whose lines were seen before, and that had text, is gone with them.
     """
     columns = docs.columns
-    cleaned = linededup.dedup_lines(docs, prefix="__q_").where("NOT (__q_removed > 0 AND trim(text) = '')")
+    cleaned = linededup.dedup_lines(docs, prefix="__q_", by_words=True).where("NOT (__q_removed > 0 AND trim(text) = '')")
     return _counted(cleaned).select(*[F.col(f"`{c}`") for c in columns])
 
 

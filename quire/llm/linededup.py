@@ -6,6 +6,10 @@ integers); every line that matches an earlier one, in order of doc_id and line n
 is removed.  Token order, prefix, positional and length filters and verification are
 those of `setjoin`; equal lines form classes and are never expanded into pairs.
 
+With `by_words` a line's tokens are its words, each counted within the line (the second
+"the" is a token of its own), and every line that has a word takes part: lines with one
+changed word match from 9 words up, equal short lines always.
+
 Lines end at line feeds.  Shorter lines, empty lines and lines of documents with a null
 doc_id stay.  A null text stays null.  doc_id should be unique; rows that share one
 lose the same line numbers.  Other columns pass through.
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import setjoin
 from quire.llm.common import durable, sized
-from quire.llm.text import LOWER, SPACED, buffers, gram_hashes, prefix_hashes, slices, span_hashes, words
+from quire.llm.text import LOWER, SPACED, gram_hashes, mix, prefix_hashes, ranges, span_hashes, words
 
 
 def line_sets(k: int, least_words: int) -> setjoin.Extract:
@@ -51,13 +55,36 @@ def line_sets(k: int, least_words: int) -> setjoin.Extract:
     return extract
 
 
-def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 3, num: int = 80, den: int = 100, least_words: int = 5) -> DataFrame:
-    """(id, gone): per document the numbers, from 0, of the lines that match an earlier line."""
+def word_sets(body: np.ndarray, offsets: np.ndarray):
+    """Sets of words, counted within the line; of every line that has one."""
+    feeds = np.flatnonzero(body == 10)
+    edges = np.sort(np.concatenate([offsets[:-1], feeds + 1]), kind="stable")  # one start a line
+    row_of = np.searchsorted(offsets, feeds, side="right") - 1
+    count = np.bincount(row_of, minlength=len(offsets) - 1) + 1
+    starts, ends, _ = words(LOWER[body], offsets, SPACED)
+    line = np.searchsorted(edges, starts, side="right") - 1
+    tokens = span_hashes(prefix_hashes(LOWER[body]), starts, ends)
+    order = np.lexsort((tokens, line))
+    tokens, line = tokens[order], line[order]
+    fresh = np.ones(len(tokens), bool)
+    fresh[1:] = (tokens[1:] != tokens[:-1]) | (line[1:] != line[:-1])
+    again = ranges(np.diff(np.append(np.flatnonzero(fresh), len(tokens)))).astype(np.uint64)
+    some = np.bincount(line, minlength=len(edges)) > 0
+    row = np.repeat(np.arange(len(count)), count)
+    number = np.arange(len(edges)) - np.repeat(np.cumsum(count) - count, count)
+    return mix(tokens + again * np.uint64(0x9E3779B97F4A7C15)), (np.cumsum(some) - 1)[line], row[some], number[some]
+
+
+def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 3, num: int = 80, den: int = 100, least_words: int = 5, by_words: bool = False) -> DataFrame:
+    """(id, gone): per document the numbers, from 0, of the lines that match an earlier line.
+
+    `by_words`: sets of words instead of runs, for all lines with a word; k and least_words don't count.
+    """
     items = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    extract = line_sets(k, least_words)
-    seen = durable(setjoin.profile(items, extract, num, den).where("alive").drop("alive"))
+    extract = word_sets if by_words else line_sets(k, least_words)
+    seen = durable(setjoin.signed(items, extract) if by_words else setjoin.profile(items, extract, num, den).where("alive").drop("alive"))
     classes = durable(setjoin.classes_of(seen))
-    pairs = setjoin.links(items, classes, extract, num, den)
+    pairs = (setjoin.common_links if by_words else setjoin.links)(items, classes, extract, num, den)
     both = pairs.union(pairs.select("y", "x")).toDF("e", "other")
     other = both.join(classes.select(F.col("e").alias("other"), F.col("first").alias("rival")), "other").groupBy("e").agg(F.min("rival").alias("rival"))
     doomed = classes.join(other, "e", "left").withColumn("lost", F.coalesce(F.col("rival") < F.col("first"), F.lit(False))).where("copies > 1 OR lost")

@@ -234,12 +234,18 @@ def candidates(sets: DataFrame, num: int, den: int, split: int = 512) -> DataFra
     prefix = f"CAST(n - ((n * {num} + {den} - 1) DIV {den}) + 1 AS INT)"
     index = f"CAST(n - ((2 * n * {num} + {num + den} - 1) DIV {num + den}) + 1 AS INT)"
     rows = sets.selectExpr("e", "n", "lone", f"{index} AS short", f"posexplode(slice(tokens, 1, CAST({prefix} - lone AS INT))) AS (at, t)").selectExpr("e", "n", "lone + at AS place", "short", "t.df AS df", "t.token AS token")
+    return met(rows, num, den, split)
+
+
+def met(rows: DataFrame, num: int, den: int, split: int = 512, bits: tuple[str, ...] = ()) -> DataFrame:
+    """(x, y, token, df) of prefix rows (e, n, place, short, df, token); `bits`: columns of parity bits of the sets."""
     salts = F.ceil(F.col("df") / split).cast("int")
-    x = rows.select(F.col("token"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("e").alias("x"), F.col("n").alias("xn"), F.col("place").alias("xp"))
-    y = rows.where("place < short").select("token", F.pmod("e", salts).cast("int").alias("salt"), F.col("e").alias("y"), F.col("n").alias("yn"), F.col("place").alias("yp"), "df")
-    pairs = x.join(y, ["token", "salt"]).where(
-        f"(yn < xn OR (yn = xn AND y < x)) AND yn * {den} >= xn * {num} AND least(xn - xp, yn - yp) * {num + den} >= (xn + yn) * {num}"
-    )
+    x = rows.select(F.col("token"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("e").alias("x"), F.col("n").alias("xn"), F.col("place").alias("xp"), *[F.col(b).alias(f"x_{b}") for b in bits])
+    y = rows.where("place < short").select("token", F.pmod("e", salts).cast("int").alias("salt"), F.col("e").alias("y"), F.col("n").alias("yn"), F.col("place").alias("yp"), "df", *[F.col(b).alias(f"y_{b}") for b in bits])
+    fit = f"(yn < xn OR (yn = xn AND y < x)) AND yn * {den} >= xn * {num} AND least(xn - xp, yn - yp) * {num + den} >= (xn + yn) * {num}"
+    if bits:  # bits that differ are no more than tokens that differ
+        fit += " AND " + " + ".join(f"bit_count(x_{b} ^ y_{b})" for b in bits) + f" <= xn + yn - 2 * (((xn + yn) * {num} + {num + den - 1}) DIV {num + den})"
+    pairs = x.join(y, ["token", "salt"]).where(fit)
     return pairs.groupBy("x", "y").agg(F.max(F.struct("df", "token")).alias("g")).select("x", "y", "g.df", "g.token")
 
 
@@ -332,6 +338,92 @@ def links(items: DataFrame, classes: DataFrame, extract: Extract, num: int, den:
     return durable(verified(candidates(rare, num, den), rare, num, den))
 
 
+def signed(items: DataFrame, extract: Extract) -> DataFrame:
+    """The rows of `profile` that aren't empty, without its count: for sets of common tokens, which it settles few of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", 1 << 18):
+            _, _, row, number, size, s1, s2 = sets_of(part, "text", extract)
+            ids = part.column("id").to_numpy(zero_copy_only=False).astype(np.int64)[row]
+            some = size > 0
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(number[some].astype(np.int32)), pa.array(size[some]), pa.array(s1[some].view(np.int64)), pa.array(s2[some].view(np.int64))], names=["id", "number", "n", "s1", "s2"])
+
+    bound_batches(items.sparkSession)
+    return items.mapInArrow(lean(run), "id long, number int, n long, s1 long, s2 long")
+
+
+#: Hash buckets of the frequency table, and pieces that it is added up in.
+FREQUENCIES, PIECES = 1 << 20, 16
+
+
+def frequencies(items: DataFrame, extract: Extract) -> np.ndarray:
+    """Number of sets with a token of each hash bucket: never less than that of one token."""
+    width = FREQUENCIES // PIECES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(FREQUENCIES, np.int64)
+        for part in slices(batches, "text", 1 << 18):
+            bucket, n = np.unique(sets_of(part, "text", extract)[0] & np.uint64(FREQUENCIES - 1), return_counts=True)
+            total[bucket.astype(np.int64)] += n
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([x.tobytes() for x in total.reshape(PIECES, width)], pa.binary())], names=["piece", "counts"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in group.column("counts"))
+        return pa.table({"piece": group.column("piece").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros((PIECES, width), np.int64)
+    schema = "piece int, counts binary"
+    for r in items.mapInArrow(lean(count), schema).groupBy("piece").applyInArrow(add, schema).collect():
+        out[r["piece"]] = np.frombuffer(r["counts"], np.int64)
+    return out.reshape(-1)
+
+
+_PREFIX = "e long, n long, place long, short long, df long, token long, b1 long, b2 long"
+
+
+def prefixes(first: DataFrame, extract: Extract, num: int, den: int, often: np.ndarray) -> DataFrame:
+    """The prefix tokens of each set, rare buckets first, that another set may hold, with 128 parity bits of the set."""
+    table = first.sparkSession.sparkContext.broadcast(often)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", 1 << 18):
+            tokens, owner, _, _, n, s1, _ = sets_of(part, "text", extract)
+            if not len(tokens):
+                continue
+            df = table.value[(tokens & np.uint64(FREQUENCIES - 1)).astype(np.int64)]
+            order = np.lexsort((tokens, df, owner))
+            tokens, owner, df = tokens[order], owner[order], df[order]
+            some = np.flatnonzero(n)
+            starts = (np.cumsum(n) - n)[some]
+            bit = np.uint64(1) << (tokens >> np.uint64(58))
+            upper = (tokens >> np.uint64(57)) & np.uint64(1) == 1
+            bits = np.zeros((2, len(n)), np.uint64)
+            for i, own in enumerate((upper, ~upper)):
+                bits[i, some] = np.bitwise_xor.reduceat(np.where(own, bit, np.uint64(0)), starts)
+            place = np.arange(len(tokens)) - np.repeat(starts, n[some])
+            last = n - needed(n, num, den) + 1
+            short = n - needed(2 * n, num, num + den) + 1
+            keep = (place < last[owner]) & (df > 1)
+            of = owner[keep]
+            columns = [s1[of].view(np.int64), n[of], place[keep], short[of], df[keep], tokens[keep].view(np.int64), *bits[:, of].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in _PREFIX.split(", ")])
+
+    return first.mapInArrow(lean(run), _PREFIX)
+
+
+def common_links(items: DataFrame, classes: DataFrame, extract: Extract, num: int, den: int) -> DataFrame:
+    """As `links`, for sets whose tokens are mostly common: tokens are ordered by a table of hash
+    buckets, so only prefixes move; parity bits reject most pairs where they meet."""
+    first = first_items(items, classes)
+    rows = prefixes(first, extract, num, den, frequencies(first, extract))
+    pairs = durable(met(rows, num, den, bits=("b1", "b2")))
+    members = pairs.select(F.col("x").alias("e")).union(pairs.select("y")).distinct()
+    sets = sets_again(items, classes.join(members, "e", "left_semi"), extract)
+    sets = durable(sets.select("e", "n", F.transform("tokens", lambda t: F.struct(t.alias("token"))).alias("tokens")))
+    return durable(verified(pairs, sets, num, den))
+
+
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """(node, root): least node reachable, for nodes with an edge, by alternating large and small stars.
 

@@ -349,3 +349,36 @@ def test_pipeline_stages(spark, rows, tmp_path):
     frame(spark, rows).limit(0).write.parquet(f"{tmp_path}/empty/documents.parquet")
     spark.read.parquet(f"{tmp_path}/labels.parquet").write.parquet(f"{tmp_path}/empty/labels.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_lines_repeated_by_words_equal_brute_force(spark):
+    rng = random.Random(12)
+    docs = []
+    for i in range(60):
+        lines = ["All rights reserved.", "menu", "", " ", rng.choice(["x x y z", "x y z x", "x y z z"])]
+        for _ in range(4):
+            w = sentence(random.Random(rng.randrange(30)), rng.choice([9, 12, 20, 40])).split()
+            at = rng.randrange(len(w))
+            lines.append(" ".join(w[:at] + rng.choice([[w[at]], ["new"], [w[at], "new"], []]) + w[at + 1 :]))
+        docs.append((i, "\n".join(lines), "a"))
+    bags = []
+    for k, t, _ in docs:
+        for n, s in enumerate(t.split("\n")):
+            w = s.lower().split()
+            bags.append((k, n, {(x, w[:j].count(x)) for j, x in enumerate(w)}))
+    bags = [b for b in bags if b[2]]
+    gone = {(k, n) for j, (k, n, s) in enumerate(bags) if any(100 * len(s & o) >= 80 * len(s | o) for _, _, o in bags[:j])}
+    want = {k: "\n".join(s for n, s in enumerate(t.split("\n")) if (k, n) not in gone) for k, t, _ in docs}
+    cleaned = linededup.dedup_lines(frame(spark, docs), by_words=True)
+    assert {r["doc_id"]: r["text"] for r in cleaned.collect()} == want
+    assert {(i, 0) for i in range(1, 60)} <= gone and "\nmenu\n" in want[0] and "menu" not in want[1]
+    assert linededup.dedup_lines(frame(spark, docs).limit(0), by_words=True).count() == 0
+
+
+def test_pipeline_drops_lines_with_one_changed_word(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    words = sentence(random.Random(1), 12).split()
+    changed = " ".join(words[:6] + ["other"] + words[7:])
+    docs = frame(spark, [(1, " ".join(words), "a"), (2, changed + "\nown line", "a")])
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    assert out == {1: " ".join(words), 2: "own line"}
