@@ -382,3 +382,10 @@ def test_pipeline_drops_lines_with_one_changed_word(spark):
     docs = frame(spark, [(1, " ".join(words), "a"), (2, changed + "\nown line", "a")])
     out = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
     assert out == {1: " ".join(words), 2: "own line"}
+
+
+def test_pipeline_drops_repeats_of_short_lines(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = frame(spark, [(1, "first own line\n\nAll rights reserved.\nmenu", "a"), (2, "all  rights reserved.\nsecond own text here\n\nmenu", "a")])
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    assert out == {1: "first own line\n\nAll rights reserved.\nmenu", 2: "second own text here\n"}
