@@ -3,8 +3,8 @@
 A feature is a window of 64 bytes.  Windows are ranked by how improbable their entropy
 is among windows of text (a fixed model, so that equal texts have equal fingerprints
 everywhere); of every 64 neighbouring windows the rarest, leftmost on ties, gets a
-vote, and windows with at least 16 votes are the document's features.  Features are
-hashed into Bloom filters of 2048 bits, 128 features each, chained in order of
+vote, and windows with at least 16 votes are the document's features; where none has
+so many, those with the most votes are.  Features are hashed into Bloom filters of 2048 bits, 128 features each, chained in order of
 position.  Two fingerprints are compared by the bit overlap of their filters,
 normalised between the overlap expected by chance and the largest possible one.
 
@@ -78,10 +78,16 @@ def features(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     """(row, position in the row, hash) of the features of each row, in order of position.
 
     A row with fewer than 64 windows has all its windows of 8 bytes (or itself, if shorter).
+    A longer row without a window of 16 votes has those with the most votes, equal ones once.
     """
+    return _features(body, offsets)[:3]
+
+
+def _features(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """`features`, and the rows that have windows of fewer than 16 votes."""
     lengths = np.diff(offsets)
     prefix = prefix_hashes(body)
-    rows, at = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rows, at, bare = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(body) >= WINDOW + NEIGHBOURS - 1:
         rank = _RANK[window_sums(body) // _STEP]
         low = (rank << 40) + np.arange(len(rank))
@@ -95,6 +101,13 @@ def features(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         votes = np.bincount(low[inside] & ((1 << 40) - 1), minlength=len(body))
         at = np.flatnonzero(votes >= VOTES)
         rows = np.searchsorted(offsets, at, side="right") - 1
+        bare = np.flatnonzero((lengths >= WINDOW + NEIGHBOURS - 1) & (np.bincount(rows, minlength=len(lengths)) == 0))
+        most = []
+        for a, b in zip(offsets[bare].tolist(), offsets[bare + 1].tolist()):
+            top = a + np.flatnonzero(votes[a:b] == votes[a:b].max())
+            most.append(np.sort(top[np.unique(span_hashes(prefix, top, top + WINDOW), return_index=True)[1]]))
+        if most:
+            at, rows = np.concatenate([at, *most]), np.concatenate([rows, np.repeat(bare, [len(m) for m in most])])
     short = np.flatnonzero((lengths > 0) & (lengths < WINDOW + NEIGHBOURS - 1))
     size = np.minimum(lengths[short], SMALL)
     number = lengths[short] - size + 1
@@ -104,7 +117,7 @@ def features(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     end = np.concatenate([at + WINDOW, extra + np.repeat(size, number)])
     order = np.argsort(begin, kind="stable")
     begin, owner, end = begin[order], owner[order], end[order]
-    return owner, begin - offsets[owner], span_hashes(prefix, begin, end)
+    return owner, begin - offsets[owner], span_hashes(prefix, begin, end), bare
 
 
 def filters(rows: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +172,7 @@ def compare_with_next(ids: pa.Array, body: np.ndarray, offsets: np.ndarray) -> p
     quarter = n_chars // 4
     kept = heads[first_char[:-1] + n_chars - quarter] - offsets[:-1]
     borrowed = heads[first_char[1:-1] + np.minimum(quarter[:-1], n_chars[1:])] - offsets[1:-1]
-    rows, at, hashes = features(body, offsets)
+    rows, at, hashes, bare = _features(body, offsets)
     chains, first = filters(rows, hashes, n + 1)
     # Only the seam and the new tail of the edited text are computed again: a feature
     # depends on no more than 63 windows either side.
@@ -167,12 +180,18 @@ def compare_with_next(ids: pa.Array, body: np.ndarray, offsets: np.ndarray) -> p
     seam = np.maximum(kept[:-1] - _SEAM, 0)
     tails = [raw[offsets[i] + seam[i] : offsets[i] + kept[i]] + raw[offsets[i + 1] : offsets[i + 1] + borrowed[i]] for i in range(n)]
     tail_offsets = np.concatenate([[0], np.cumsum([len(t) for t in tails])]).astype(np.int64)
-    trows, tat, thashes = features(np.frombuffer(b"".join(tails), np.uint8), tail_offsets)
+    trows, tat, thashes, tbare = _features(np.frombuffer(b"".join(tails), np.uint8), tail_offsets)
     switch = np.where(seam > 0, kept[:-1] - (WINDOW + NEIGHBOURS - 2), 0)
-    keep = rows < n
+    keep = (rows < n) & ~np.isin(rows, bare)
     keep[keep] = at[keep] < switch[rows[keep]]
-    tkeep = tat + seam[trows] >= switch[trows]
+    tkeep = (tat + seam[trows] >= switch[trows]) & ~(np.isin(trows, tbare) & (seam[trows] > 0))
     erows, ehashes = np.concatenate([rows[keep], trows[tkeep]]), np.concatenate([hashes[keep], thashes[tkeep]])
+    # an edited text without a feature left is looked at as a whole
+    lone = np.flatnonzero((np.bincount(erows, minlength=n) == 0) & (kept[:-1] + borrowed > 0))
+    if len(lone):
+        texts = [raw[offsets[i] : offsets[i] + kept[i]] + raw[offsets[i + 1] : offsets[i + 1] + borrowed[i]] for i in lone.tolist()]
+        lrows, _, lhashes = features(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64))
+        erows, ehashes = np.concatenate([erows, lone[lrows]]), np.concatenate([ehashes, lhashes])
     order = np.argsort(erows, kind="stable")
     edited, efirst = filters(erows[order], ehashes[order], n)
     out: dict[str, list] = {"sha": [], "fp": [], "efp": [], "near": [], "next": []}

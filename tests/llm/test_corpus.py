@@ -389,3 +389,23 @@ def test_pipeline_drops_repeats_of_short_lines(spark):
     docs = frame(spark, [(1, "first own line\n\nAll rights reserved.\nmenu", "a"), (2, "all  rights reserved.\nsecond own text here\n\nmenu", "a")])
     out = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
     assert out == {1: "first own line\n\nAll rights reserved.\nmenu", 2: "second own text here\n"}
+
+
+def test_fingerprints_of_texts_without_a_voted_window(spark):
+    rng = random.Random(5)
+    prose = " ".join(rng.choice(WORDS) for _ in range(9000))
+    texts = [prose[i * 211 : i * 211 + n] for i, n in enumerate(range(127, 201))]
+    texts += ["spam " * 300, "ab" * 2000, "x" * 700, prose[:9000] + "z" * 3000, "z" * 12_000, "-=+ " * 40, prose[500:2500], ""]
+    got = sorted(fingerprints.fingerprint(frame(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect(), key=lambda r: r["doc_id"])
+
+    def digest(t):
+        b = t.encode()
+        r, _, h = fingerprints.features(np.frombuffer(b, np.uint8), np.array([0, len(b)]))
+        return fingerprints.encoded(fingerprints.filters(r, h, 1)[0])
+
+    for i, t in enumerate(texts):
+        q = len(t) // 4
+        edited = t[: len(t) - q] + texts[(i + 1) % len(texts)][:q]
+        assert got[i]["fingerprint"] == digest(t) and got[i]["edited_fingerprint"] == digest(edited)
+        assert (got[i]["fingerprint"] == "") == (t == "") and (got[i]["edited_fingerprint"] == "") == (edited == "")
+    assert len({r["fingerprint"] for r in got[:78]}) == 77 + 1 and all(r["near_next"] < 0.5 for r in got[70:77])
