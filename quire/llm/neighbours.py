@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours by collision-counting hashing.
+"""Nearest neighbours by collision-counting hashing.
 
 Vectors are projected on random directions; each block of vectors keeps one sorted array
 per direction.  Around a query's own projections windows are opened in all arrays and
@@ -6,6 +6,9 @@ widened step by step (virtual rehashing: a wider window is a coarser hash table,
 building one).  A vector that falls into the windows of enough directions collides often
 enough to be verified against the original vectors; widening stops once the wanted
 number, `spare` of the block and 5 times the root of its size have been verified.
+Then every other vector whose upper bound reaches the last of the best k is verified
+too, so the result is exact whatever the norms: the bound is the inner product within
+the span of some directions, plus the product of the norms of what lies outside it.
 
 Nearness is the inner product, found as least distance: candidates are lifted by one
 component onto a sphere, which doesn't change the order.
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import durable, one_blas_thread
 
+#: Dimensions of the span that bounds inner products.
+SPAN = 32
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -45,6 +50,13 @@ class Block:
         values = self.axes @ vectors.T + axes[:, -1:] * lift
         self.order = np.argsort(values, axis=1).astype(np.int32)
         self.sorted = np.take_along_axis(values, self.order.astype(np.int64), axis=1)
+        self.basis = np.linalg.qr(self.axes[:SPAN].T)[0]
+        self.inner, self.outer = self.spanned(vectors)
+
+    def spanned(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Coordinates within the span, and the norms of what lies outside it."""
+        inner = x @ self.basis
+        return inner, np.linalg.norm(x - inner @ self.basis.T, axis=1)
 
     def search(self, queries: np.ndarray, ids: np.ndarray, k: int, largest: float, spare: float, collide: float) -> tuple[list, list, list]:
         n, m = len(self.vectors), len(self.order)
@@ -58,6 +70,8 @@ class Block:
             high[i] = np.searchsorted(self.sorted[i], at[i] + widths[:, None], side="right")
         enough, least = min(n, k + 1 + int(np.ceil(spare * n + 5 * np.sqrt(n)))), int(np.ceil(collide * m))
         found: tuple[list, list, list] = ([], [], [])
+        inner, outer = self.spanned(queries)
+        slack = 1e-9 * largest * np.linalg.norm(queries, axis=1)  # rounding
         for q in range(len(queries)):
             count = np.zeros(n, np.int64)
             a = b = None
@@ -74,6 +88,12 @@ class Block:
                 if len(hits) >= enough:
                     break
             scores = self.vectors[hits] @ queries[q]
+            ranked = scores[self.ids[hits] != ids[q]]
+            reached = np.partition(ranked, -k)[-k] if len(ranked) >= k else -np.inf
+            rest = self.inner @ inner[q] + self.outer * outer[q] >= reached - slack[q]
+            rest[hits] = False
+            rest = np.flatnonzero(rest)
+            hits, scores = np.concatenate([hits, rest]), np.concatenate([scores, self.vectors[rest] @ queries[q]])
             own = self.ids[hits]
             keep = own != ids[q]
             scores, own = scores[keep], own[keep]

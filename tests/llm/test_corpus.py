@@ -409,3 +409,19 @@ def test_fingerprints_of_texts_without_a_voted_window(spark):
         assert got[i]["fingerprint"] == digest(t) and got[i]["edited_fingerprint"] == digest(edited)
         assert (got[i]["fingerprint"] == "") == (t == "") and (got[i]["edited_fingerprint"] == "") == (edited == "")
     assert len({r["fingerprint"] for r in got[:78]}) == 77 + 1 and all(r["near_next"] < 0.5 for r in got[70:77])
+
+
+def test_neighbours_are_exact_in_a_whole_block_whatever_the_norms():
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(16_384, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    long, spread = v.copy(), v * rng.lognormal(0, 0.5, (len(v), 1))
+    long[5] *= 3
+    ids, asked = np.arange(len(v)), np.arange(0, len(v), 400)
+    for own in (v, long, spread):
+        largest = np.linalg.norm(own, axis=1).max()
+        found = neighbours.Block(own, ids, largest, 128).search(own[asked], ids[asked], 20, largest, 0.08, 0.62)
+        for q, near in zip(asked, found[1]):
+            scores = own @ own[q]
+            scores[q] = -np.inf
+            assert near.tolist() == np.lexsort((ids, -scores))[:20].tolist()
