@@ -64,10 +64,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def distinct_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """The documents without near duplicates: of each component the least doc_id stays."""
+    """The documents without near duplicates: of each component the least doc_id stays.
+
+    Of rows that share doc_id and set one stays, that of the least text.
+    """
     found = near_duplicates(docs, text, doc_id, **options)
     gone = durable(found.where("component_id != doc_id").select(F.col("doc_id").alias("__q_gone")).distinct())
-    return docs.join(sized(gone), F.col(doc_id) == F.col("__q_gone"), "left_anti")
+    twice = durable(found.where("component_id = doc_id").groupBy(F.col("doc_id").alias("__q_twice")).agg(F.count("*").alias("n")).where("n > 1").select("__q_twice"))
+    kept = docs.join(sized(gone), F.col(doc_id) == F.col("__q_gone"), "left_anti")
+    if twice.isEmpty():
+        return kept
+    k = options.get("k", 5)
+    same = F.col(doc_id).cast("long") == F.col("__q_twice")
+    words = F.regexp_extract_all(F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    grams = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("__q_words") - k)), lambda i: F.array_join(F.slice("__q_words", i + 1, k), " "))))
+    repeated = kept.join(sized(twice), same, "left_semi").select(F.col(doc_id).cast("long").alias("__q_id"), F.coalesce(F.col(text), F.lit("")).alias("__q_text"), words.alias("__q_words"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__q_row"))
+    one = repeated.groupBy("__q_id", F.sha2(F.array_join(grams, "\n"), 256)).agg(F.min_by("__q_row", "__q_text").alias("__q_row")).select("__q_row.*")
+    return kept.join(sized(twice), same, "left_anti").union(one)
 
 
 #: DuckDB SQL of near_duplicates() over `documents`.

@@ -425,3 +425,14 @@ def test_neighbours_are_exact_in_a_whole_block_whatever_the_norms():
             scores = own @ own[q]
             scores[q] = -np.inf
             assert near.tolist() == np.lexsort((ids, -scores))[:20].tolist()
+
+
+def test_distinct_documents_keep_one_of_repeated_rows(spark):
+    rng = random.Random(3)
+    a, b = sentence(rng, 30), sentence(rng, 30)
+    docs = frame(spark, [(1, a, "a")] * 40 + [(1, b, "a"), (2, a.upper(), "a"), (3, None, "a"), (3, "", "a"), (4, sentence(rng, 30), "a"), (None, a, "a"), (None, a, "a")])
+    got = neardup.distinct_documents(docs)
+    assert got.columns == docs.columns
+    kept = [(r["doc_id"], r["text"]) for r in got.collect()]
+    assert sorted(kept, key=repr)[:2] == sorted([(1, a), (1, b)], key=repr)
+    assert sorted(str(k) for k, _ in kept) == ["1", "1", "3", "4", "None", "None"]
