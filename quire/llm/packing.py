@@ -107,7 +107,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.remember = remember
         self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], np.int64)
         self.clear()
@@ -156,7 +156,9 @@ class Encoder:
         heads = np.append(np.flatnonzero((body & 0xC0) != 0x80), len(body))
         bounds = np.searchsorted(heads, offsets)
         unsure = np.flatnonzero(_classes()[points] == _UNSURE)
-        odd = np.unique(np.searchsorted(bounds, unsure, side="right") - 1)
+        # so are texts with an added token, such as <|endoftext|>, that is one id as a whole
+        marked = np.array([m.start() for a in self.added for m in re.finditer(re.escape(a), raw)], np.int64)
+        odd = np.union1d(np.searchsorted(bounds, unsure, side="right") - 1, np.searchsorted(offsets, marked, side="right") - 1)
         starts = split_words(points, bounds)
         first, end = heads[starts], heads[np.append(starts[1:], len(points))]
         keys = span_hashes(prefix_hashes(body), first, end)

@@ -436,3 +436,15 @@ def test_distinct_documents_keep_one_of_repeated_rows(spark):
     kept = [(r["doc_id"], r["text"]) for r in got.collect()]
     assert sorted(kept, key=repr)[:2] == sorted([(1, a), (1, b)], key=repr)
     assert sorted(str(k) for k, _ in kept) == ["1", "1", "3", "4", "None", "None"]
+
+
+def test_packing_takes_added_tokens_as_the_tokenizer_does():
+    from tokenizers import Tokenizer
+
+    path = packing.default_vocabulary()
+    plain = Tokenizer.from_file(path)
+    added = next(t.content for t in plain.get_added_tokens_decoder().values())
+    texts = ["one two", f"one{added}two {added}", "", added, added[:-1], "é three", f"{added[:4]}", f"{added[4:]} x"]
+    ids, bounds = packing.Encoder(path).encode(*kernels.buffers(pa.array(texts)))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(ids[bounds[3] : bounds[4]]) == 1
