@@ -1,37 +1,49 @@
 """Nearest neighbours by collision-counting hashing.
 
 Vectors are projected on random directions; each block of vectors keeps one sorted array
-per direction.  Around a query's own projections windows are opened in all arrays and
-widened step by step (virtual rehashing: a wider window is a coarser hash table, without
-building one).  A vector that falls into the windows of enough directions collides often
-enough to be verified against the original vectors; widening stops once the wanted
-number, `spare` of the block and 5 times the root of its size have been verified.
-Then every other vector whose upper bound reaches the last of the best k is verified
-too, so the result is exact whatever the norms: the bound is the inner product within
-the span of some directions, plus the product of the norms of what lies outside it.
+per direction, cut at quantiles, with the set of vectors below each cut as a bitmap.  A
+query opens a window around its own projection in every array: two cuts, outward, hence
+the difference of two bitmaps.  Collisions are counted in all arrays at once by adding
+the windows' bitmaps bit by bit, and vectors that exceed the collision threshold are
+verified against the original vectors.
+
+Virtual rehashing: a window has the half-width of the radius that is looked at, and
+radii grow step by step.  The threshold is what a vector at that radius reaches with a
+chance of `1 - miss`, nearer ones with a higher one; a query ends at a radius within
+which k vectors have been verified; once k are found, the next radius is that of the k-th.
+None is larger than that of the k-th best in a fixed sample of `sample` vectors (those
+with the least hash of their id), which no k-th best of all can lie beyond, so recall doesn't rest on how many vectors were looked at: no bound
+is set on candidates.  With fewer than k others in the sample every vector is verified.
 
 Nearness is the inner product, found as least distance: candidates are lifted by one
-component onto a sphere, which doesn't change the order.
+component onto a sphere, which doesn't change the order.  Blocks hold vectors of like
+norm (within a factor of root 2), each with a sphere of its own; a block whose norms
+cannot reach the k-th best is passed over.
 
 The stated query set meets all rows in blocks of bounded size on both sides; each block
-returns its best k a query, and these are merged.  Every row is indexed.
+returns its best k a query, and these are merged.  Every row is indexed.  Scores are
+summed in one fixed order, so equal vectors have equal scores.
 
 Vectors that are null, all zero, of another length than most, or hold null or non-finite
-components take no part.  Repeated ids are rows of their own, never their own neighbours.
-An empty table or no query gives no rows.
+components take no part.  A product that overflows to NaN counts as minus infinity.
+Repeated ids are rows of their own, never their own neighbours.  An empty table or no
+query gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from statistics import NormalDist
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import durable, one_blas_thread
+from quire.llm.common import bound_batches, durable, lean, one_blas_thread, parallelism
 
-#: Dimensions of the span that bounds inner products.
-SPAN = 32
+#: Squared radii as shares of the last one, while fewer than k vectors are found.
+RADII = (0.3, 0.6, 0.8, 0.9, 1.0)
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -39,97 +51,222 @@ def directions(m: int, dim: int, seed: int = 17) -> np.ndarray:
     return np.random.default_rng(seed).normal(size=(m, dim))
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows; the order of summation depends on their length alone, so equal rows have equal ones."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = (a * b).sum(axis=1)
+    return np.where(np.isnan(out), -np.inf, out)
+
+
+def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors, and the binary logarithms of the norms: sound whatever their size."""
+    most = np.abs(x).max(axis=1, keepdims=True)
+    x = x / most
+    norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+    return x / norm[:, None], np.log2(most[:, 0]) + np.log2(norm)
+
+
+def top(owner: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of each owner, best first, ties to the smaller id."""
+    order = np.lexsort((ids, -scores, owner))
+    own = owner[order]
+    rank = np.arange(len(own)) - np.searchsorted(own, own)
+    return order[rank < k]
+
+
+class Counters:
+    """Sums of bitmaps, kept as one plane for each binary digit."""
+
+    def __init__(self, shape: tuple[int, int], most: int):
+        self.planes = [np.zeros(shape, np.uint64) for _ in range(most.bit_length())]
+        self.waiting: list[np.ndarray | None] = [None] * (most.bit_length() + 1)
+
+    def add(self, x: np.ndarray, digit: int = 0) -> None:
+        """Two bitmaps of a digit are added at once, with one carry."""
+        while (other := self.waiting[digit]) is not None:
+            self.waiting[digit] = None
+            plane = self.planes[digit]
+            odd = other ^ x
+            carry = (other & x) | (odd & plane)
+            plane ^= odd
+            x, digit = carry, digit + 1
+            if digit == len(self.planes):
+                return
+        self.waiting[digit] = x
+
+    def reached(self, least: int) -> np.ndarray:
+        """Bitmap of the sums of at least `least`."""
+        for digit, x in enumerate(self.waiting):
+            while x is not None and digit < len(self.planes):
+                carry = self.planes[digit] & x
+                self.planes[digit] ^= x
+                x, digit = (carry, digit + 1) if carry.any() else (None, digit)
+        self.waiting = [None] * len(self.waiting)
+        equal, more = ~np.zeros_like(self.planes[0]), np.zeros_like(self.planes[0])
+        for digit in range(len(self.planes) - 1, -1, -1):
+            if least >> digit & 1:
+                equal &= self.planes[digit]
+            else:
+                more |= equal & self.planes[digit]
+                equal &= ~self.planes[digit]
+        return more | equal
+
+
 class Block:
-    """Sorted projections of a block of vectors."""
+    """The index of a block: sorted projections, cut at quantiles, with a bitmap for each cut."""
 
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray, largest: float, m: int):
-        self.vectors, self.ids = vectors, ids
-        lift = np.sqrt(np.maximum(largest**2 - np.einsum("ij,ij->i", vectors, vectors), 0))
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, m: int, cuts: int = 64):
+        self.vectors, self.ids, self.m = vectors, ids, m
+        whole, size = unit(vectors)
+        self.largest = float(size.max())
+        norm = np.exp2(size - self.largest)
         axes = directions(m, vectors.shape[1] + 1)
         self.axes = axes[:, :-1]
-        values = self.axes @ vectors.T + axes[:, -1:] * lift
-        self.order = np.argsort(values, axis=1).astype(np.int32)
-        self.sorted = np.take_along_axis(values, self.order.astype(np.int64), axis=1)
-        self.basis = np.linalg.qr(self.axes[:SPAN].T)[0]
-        self.inner, self.outer = self.spanned(vectors)
-
-    def spanned(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Coordinates within the span, and the norms of what lies outside it."""
-        inner = x @ self.basis
-        return inner, np.linalg.norm(x - inner @ self.basis.T, axis=1)
-
-    def search(self, queries: np.ndarray, ids: np.ndarray, k: int, largest: float, spare: float, collide: float) -> tuple[list, list, list]:
-        n, m = len(self.vectors), len(self.order)
-        # queries are scaled onto the sphere of the candidates: the order by inner product stays
-        unit = queries * (largest / np.linalg.norm(queries, axis=1, keepdims=True))
-        at = self.axes @ unit.T
-        widths = largest * np.array([0.5, 0.7, 0.85, 0.95, 1.05, 1.15, 1.25, 1.4, 1.6, 1.9, 2.4, 3.2, np.inf])
-        low, high = np.empty((m, len(widths), len(queries)), np.int64), np.empty((m, len(widths), len(queries)), np.int64)
+        values = (self.axes @ whole.T) * norm + axes[:, -1:] * np.sqrt(np.maximum(1 - norm**2, 0))
+        n = len(vectors)
+        at = np.unique(np.arange(1, cuts) * n // cuts)
+        self.cuts = np.sort(values, axis=1)[:, at] if n > 1 else np.zeros((m, 0))
+        words = -(-n // 64)
+        self.below = np.zeros((m, self.cuts.shape[1] + 2, words * 8), np.uint8)
         for i in range(m):
-            low[i] = np.searchsorted(self.sorted[i], at[i] - widths[:, None])
-            high[i] = np.searchsorted(self.sorted[i], at[i] + widths[:, None], side="right")
-        enough, least = min(n, k + 1 + int(np.ceil(spare * n + 5 * np.sqrt(n)))), int(np.ceil(collide * m))
-        found: tuple[list, list, list] = ([], [], [])
-        inner, outer = self.spanned(queries)
-        slack = 1e-9 * largest * np.linalg.norm(queries, axis=1)  # rounding
-        for q in range(len(queries)):
-            count = np.zeros(n, np.int64)
-            a = b = None
-            for w in range(len(widths)):
-                na, nb = low[:, w, q], high[:, w, q]
-                if a is None:
-                    part = [self.order[i, na[i] : nb[i]] for i in range(m)]
-                else:
-                    part = [self.order[i, s:e] for i in range(m) for s, e in ((na[i], a[i]), (b[i], nb[i])) if e > s]
-                if part:
-                    count += np.bincount(np.concatenate(part), minlength=n)
-                a, b = na, nb
-                hits = np.flatnonzero(count >= least)
-                if len(hits) >= enough:
-                    break
-            scores = self.vectors[hits] @ queries[q]
-            ranked = scores[self.ids[hits] != ids[q]]
-            reached = np.partition(ranked, -k)[-k] if len(ranked) >= k else -np.inf
-            rest = self.inner @ inner[q] + self.outer * outer[q] >= reached - slack[q]
-            rest[hits] = False
-            rest = np.flatnonzero(rest)
-            hits, scores = np.concatenate([hits, rest]), np.concatenate([scores, self.vectors[rest] @ queries[q]])
-            own = self.ids[hits]
-            keep = own != ids[q]
-            scores, own = scores[keep], own[keep]
-            top = np.lexsort((own, -scores))[:k]
-            found[0].append(np.full(len(top), ids[q]))
-            found[1].append(own[top])
-            found[2].append(scores[top])
-        return found
-
-
-def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    lists = column.combine_chunks()
+            low = values[i] < self.cuts[i][:, None]
+            self.below[i, 1:-1, : -(-n // 8)] = np.packbits(low, axis=1, bitorder="little")
+        self.below[:, -1, : -(-n // 8)] = np.packbits(np.ones(n, bool), bitorder="little")
+        self.below = self.below.view(np.uint64)
+
+    def colliding(self, at: np.ndarray, width: np.ndarray, least: int) -> np.ndarray:
+        """For each query the bitmap of vectors with at least `least` collisions; at: projections of the queries."""
+        count = Counters((at.shape[1], self.below.shape[2]), self.m)
+        for i in range(self.m):
+            low = np.searchsorted(self.cuts[i], at[i] - width, side="right")
+            high = np.searchsorted(self.cuts[i], at[i] + width, side="right") + 1
+            count.add(self.below[i, high] ^ self.below[i, low])
+        return count.reached(least)
+
+    def search(self, queries: np.ndarray, ids: np.ndarray, reach: np.ndarray, k: int, miss: float = 0.15, batch: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query id, vector id, score) of the best k found; reach: a score that the k-th best of all has at least."""
+        parts = [self._search(queries[i : i + batch], ids[i : i + batch], reach[i : i + batch], k, miss) for i in range(0, len(queries), batch)]
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    def _search(self, queries, ids, reach, k, miss):
+        whole, size = unit(queries)
+        with np.errstate(divide="ignore", over="ignore"):
+            scale = np.exp2(np.clip(size + self.largest, -1070, 1023))
+            least = np.where(np.isfinite(reach), reach / scale, -np.inf)  # as the cosine on the sphere
+        p = 2 * NormalDist().cdf(1.0) - 1
+        enough = int(np.floor(self.m * p - NormalDist().inv_cdf(1 - miss) * np.sqrt(self.m * p * (1 - p))))
+        at = self.axes @ whole.T
+        none = np.zeros(0, np.int64)
+        owner, vector, score = none, none, np.zeros(0)
+        held = (none, none, np.zeros(0))
+        open_ = np.flatnonzero(least <= 1 + 1e-9)  # others can't reach their k-th best here
+        lost = open_[~np.isfinite(least[open_])]
+        open_ = open_[np.isfinite(least[open_])]
+        if len(lost):
+            owner, vector = np.repeat(lost, len(self.ids)), np.tile(np.arange(len(self.ids)), len(lost))
+            score = self._scores(queries, owner, vector)
+        last = np.maximum(2 - 2 * least, 1e-9)
+        seen = np.zeros((len(ids), self.below.shape[2]), np.uint64)
+        wide = last * RADII[0]  # squared radii
+        for step in range(len(RADII) + 1):
+            if not len(open_):
+                break
+            hits = self.colliding(at[:, open_], np.sqrt(wide[open_]), enough)
+            q, v = np.nonzero(np.unpackbits((hits & ~seen[open_]).view(np.uint8), axis=1, bitorder="little", count=len(self.ids)))
+            seen[open_] |= hits
+            q = open_[q]
+            s = self._scores(queries, q, v)
+            keep = self.ids[v] != ids[q]
+            q, v, s = np.concatenate([held[0], q[keep]]), np.concatenate([held[1], v[keep]]), np.concatenate([held[2], s[keep]])
+            best = top(q, self.ids[v], s, k)
+            q, v, s = q[best], v[best], s[best]
+            full = np.bincount(q, minlength=len(ids)) >= k
+            kth = np.full(len(ids), -np.inf)
+            kth[q] = s  # the last of each query is its k-th
+            with np.errstate(invalid="ignore"):
+                reached = np.where(full[open_], 2 - 2 * kth[open_] / scale[open_], np.inf)
+            done = (reached <= wide[open_]) | (wide[open_] >= last[open_])
+            # the k-th best lies no farther than the k-th found: that radius, if known, is the last
+            following = last[open_] * RADII[min(step + 1, len(RADII) - 1)]
+            wide[open_] = np.minimum(np.where(np.isfinite(reached), reached * (1 + 1e-9), following), last[open_])
+            mine = done[np.searchsorted(open_, q)]
+            owner, vector, score = np.concatenate([owner, q[mine]]), np.concatenate([vector, v[mine]]), np.concatenate([score, s[mine]])
+            held = (q[~mine], v[~mine], s[~mine])
+            open_ = open_[~done]
+        keep = self.ids[vector] != ids[owner]
+        owner, vector, score = owner[keep], vector[keep], score[keep]
+        best = top(owner, self.ids[vector], score, k)
+        return ids[owner[best]], self.ids[vector[best]], score[best]
+
+    def _scores(self, queries: np.ndarray, q: np.ndarray, v: np.ndarray, chunk: int = 1024) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *(products(self.vectors[v[i : i + chunk]], queries[q[i : i + chunk]]) for i in range(0, len(q), chunk))])
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def search(vectors: DataFrame, queries_where: str = "vec_id % 20 = 0", vec_id: str = "vec_id", embedding: str = "embedding", k: int = 20, m: int = 128, spare: float = 0.08, collide: float = 0.62, block: int = 16_384) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k nearest found, ties to the smaller id."""
+def search(vectors: DataFrame, queries_where: str = "vec_id % 20 = 0", vec_id: str = "vec_id", embedding: str = "embedding", k: int = 20, m: int = 512, miss: float = 0.15, block: int = 16_384, sample: int = 2_048) -> DataFrame:
+    """query_id, rank, vec_id, score: each query's k nearest found, ties to the smaller id.
+
+    `block`: most vectors of a block (four times as many queries); `sample`: vectors that bound the k-th best.
+    """
+    spark = vectors.sparkSession
     e = F.col("v")
     sound = ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(e, lambda x: x != 0)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & e.isNotNull() & sound)
-    about = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("largest"), F.count(F.when(F.expr(queries_where), 1)).alias("queries")).orderBy(F.desc("n"), "dim").first()
-    dim, largest = (about["dim"], about["largest"]) if about else (1, 1.0)
-    across, down = (max(1, -(-about["n"] // block)), max(1, -(-about["queries"] * 8 // block))) if about else (1, 1)
+    most = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    norm = F.log2(most) + 0.5 * F.log2(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / most) * (x / most)))
+    rows = rows.withColumn("shell", F.floor(2 * norm).cast("int")).withColumn("asked", F.expr(queries_where))
+    # One row a shell and length: doubles have some 4,200 shells.
+    about = rows.groupBy(F.size("v").alias("dim"), "shell").agg(F.count("*").alias("n"), F.count(F.when(F.col("asked"), 1)).alias("queries"))
+    sizes = about.groupBy("dim").agg(F.sum("n").alias("n"), F.sum("queries").alias("queries"), F.map_from_entries(F.collect_list(F.struct("shell", "n"))).alias("shells")).orderBy(F.desc("n"), "dim").first()
+    dim, n, asked = (sizes["dim"], sizes["n"], sizes["queries"]) if sizes else (1, 0, 0)
+    # Blocks of no more than `block` vectors; smaller ones while there are fewer than tasks.
+    size = max(1, min(block, max(block // 2, -(-n // parallelism(spark)))))
+    across = {s: -(-c // size) for s, c in (sizes["shells"] if sizes else {}).items()}
+    base, total = {}, 0
+    for s in sorted(across):
+        base[s], total = total, total + across[s]
+    down = max(1, -(-asked // (4 * block)))
     rows = rows.where(F.size("v") == dim)
-    grid = lambda n: F.array(*[F.lit(i) for i in range(n)]) if n <= 64 else F.sequence(F.lit(0), F.lit(n - 1))
-    place = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    left = rows.select("vec_id", "v", place(across).alias("a"), F.explode(grid(down)).alias("b"))
-    right = rows.where(queries_where).select("vec_id", "v", F.explode(grid(across)).alias("a"), place(down).alias("b"))
+    table = F.create_map(*[F.lit(x) for s in sorted(across) for x in (s, (base[s] << 32) + across[s])]) if across else F.create_map(F.lit(0), F.lit(1 << 0))
+    spot = table[F.col("shell")]
+    mine = F.shiftright(spot, 32) + F.pmod(F.xxhash64("vec_id", F.lit(1)), F.expr("1L") * spot.bitwiseAND(F.lit(0xFFFFFFFF)))
+    grid = lambda c: F.sequence(F.lit(0), F.lit(max(1, c) - 1))
+    left = rows.select("vec_id", "v", mine.cast("int").alias("a"), F.explode(grid(down)).alias("b"))
 
-    def meet(own: pa.Table, asked: pa.Table) -> pa.Table:
-        if not own.num_rows or not asked.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+    few = rows.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).toArrow()
+    sampled = spark.sparkContext.broadcast((few.column("vec_id").to_numpy(), _matrix(few.column("v"), dim)))
+
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_blas_thread()
-        index = Block(_matrix(own.column("v"), dim), own.column("vec_id").to_numpy(), largest, m)
-        found = index.search(_matrix(asked.column("v"), dim), asked.column("vec_id").to_numpy(), k, largest, spare, collide)
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), (np.concatenate(x) for x in found))))
+        ids, known = sampled.value
+        for part in batches:
+            own, x = part.column(0).to_numpy(), _matrix(part.column(1), dim)
+            reach = np.full(len(own), -np.inf)
+            for i in range(0, len(own), 256):
+                with np.errstate(over="ignore", invalid="ignore"):
+                    s = x[i : i + 256] @ known.T
+                s[np.isnan(s) | (own[i : i + 256, None] == ids)] = -np.inf
+                if len(ids) > k:
+                    # less the most that another order of summation could change
+                    kth = np.partition(s, -k, axis=1)[:, -k]
+                    reach[i : i + 256] = kth - 1e-9 * np.abs(kth)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(reach)], names=["vec_id", "v", "reach"])
+
+    bound_batches(spark)
+    queries = rows.where("asked").select("vec_id", "v").mapInArrow(lean(reached), "vec_id long, v array<double>, reach double")
+    right = queries.select("vec_id", "v", "reach", F.explode(grid(total)).alias("a"), F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(down)).cast("int").alias("b"))
+
+    def meet(own: pa.Table, asked: pa.Table) -> pa.Table:
+        found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        if own.num_rows and asked.num_rows:
+            one_blas_thread()
+            index = Block(_matrix(own.column("v"), dim), own.column("vec_id").to_numpy(), m)
+            found = index.search(_matrix(asked.column("v"), dim), asked.column("vec_id").to_numpy(), asked.column("reach").to_numpy(), k, miss)
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), found)))
 
     found = durable(left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(meet, FOUND))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

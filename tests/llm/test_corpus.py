@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -160,7 +161,7 @@ def test_neighbours_recall_and_odd_vectors(spark):
     rows = [(i, x.tolist()) for i, x in enumerate(v)]
     odd = [(2000, None), (2020, [0.0] * 16), (2040, [float("nan")] * 16), (2060, [None] * 16), (2080, [1.0, 2.0]), (None, v[0].tolist())]
     table = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>")
-    got = neighbours.search(table, block=300).collect()
+    got = neighbours.search(table, block=300, sample=200).collect()
     by = {}
     for r in got:
         by.setdefault(r["query_id"], []).append(r)
@@ -411,20 +412,85 @@ def test_fingerprints_of_texts_without_a_voted_window(spark):
     assert len({r["fingerprint"] for r in got[:78]}) == 77 + 1 and all(r["near_next"] < 0.5 for r in got[70:77])
 
 
-def test_neighbours_are_exact_in_a_whole_block_whatever_the_norms():
+def recall_of(spark, v, k=20):
+    """Share of the true neighbours found, and the rows found; every query has k."""
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    by = {}
+    for r in neighbours.search(table).collect():
+        by.setdefault(r["query_id"], []).append(r)
+    assert sorted(by) == list(range(0, len(v), 20))
+    hits = 0
+    for q, found in by.items():
+        assert len(found) == min(k, len(v) - 1)
+        scores = v @ v[q]
+        scores[q] = -np.inf
+        hits += len({r["vec_id"] for r in found} & set(np.lexsort((np.arange(len(v)), -scores))[:k].tolist()))
+    return hits / (min(k, len(v) - 1) * len(by))
+
+
+@pytest.mark.parametrize("norms", ["equal", "one long", "spread"])
+def test_neighbours_recall_whatever_the_norms(spark, norms):
     rng = np.random.default_rng(6)
+    v = rng.normal(size=(6_000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    if norms == "one long":
+        v[5] *= 10
+    if norms == "spread":
+        v *= rng.lognormal(0, 0.5, (len(v), 1))
+    assert recall_of(spark, v) >= 0.9
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables")
+def test_neighbours_recall_on_the_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").orderBy("vec_id").collect()
+    assert recall_of(spark, np.array([r["embedding"] for r in rows], float)) >= 0.9
+
+
+def test_neighbours_verify_a_part_of_the_pairs():
+    rng = np.random.default_rng(8)
     v = rng.normal(size=(16_384, 64))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    long, spread = v.copy(), v * rng.lognormal(0, 0.5, (len(v), 1))
-    long[5] *= 3
-    ids, asked = np.arange(len(v)), np.arange(0, len(v), 400)
-    for own in (v, long, spread):
-        largest = np.linalg.norm(own, axis=1).max()
-        found = neighbours.Block(own, ids, largest, 128).search(own[asked], ids[asked], 20, largest, 0.08, 0.62)
-        for q, near in zip(asked, found[1]):
-            scores = own @ own[q]
-            scores[q] = -np.inf
-            assert near.tolist() == np.lexsort((ids, -scores))[:20].tolist()
+    ids, asked = np.arange(len(v)), np.arange(0, 800, 20)
+    reach = np.sort(v[asked] @ v[:2_048].T, axis=1)[:, -21]
+    index, seen = neighbours.Block(v, ids, 512), []
+    scores = index._scores
+    index._scores = lambda queries, q, x: (seen.append(len(q)), scores(queries, q, x))[1]
+    q, found, score = index.search(v[asked], asked, reach, 20)
+    assert sum(seen) < 0.15 * len(asked) * len(v)
+    full = v[asked] @ v.T
+    full[np.arange(len(asked)), asked] = -np.inf
+    want = np.argsort(-full, axis=1, kind="stable")[:, :20]
+    assert np.mean([len(set(found[q == a]) & set(w)) / 20 for a, w in zip(asked, want)]) >= 0.9
+
+
+def test_neighbours_tie_and_overflow(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(1_100, 16))
+    v[100:1_050] = v[100]  # equal vectors have equal scores, the smaller id first
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(5_000, [1e200] * 16), (5_001, [1e-200] * 16), (5_002, [1e308, -1e308] * 8)]
+    by = {}
+    for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        by.setdefault(r["query_id"], []).append(r)
+    assert {len(x) for x in by.values()} == {20} and set(by) == {*range(0, 1_100, 20), 5_000}
+    same = [r["vec_id"] for r in by[100] if abs(r["score"] - v[100] @ v[100]) < 1e-9]
+    assert same == sorted(same) and len({r["score"] for r in by[100] if r["vec_id"] in range(100, 1_050)}) == 1
+    for q in range(0, 100, 20):
+        large = [r["vec_id"] for r in by[q] if r["vec_id"] >= 5_000]
+        assert large == [r["vec_id"] for r in by[q]][: len(large)] and set(large) == {i for i, x in ((5_000, v[q].sum()), (5_002, v[q][::2].sum() - v[q][1::2].sum())) if x > 0}
+
+
+def test_counters_add_bitmaps():
+    rng = np.random.default_rng(1)
+    bits = rng.random((37, 3, 128)) < 0.6
+    count = neighbours.Counters((3, 2), 37)
+    for b in bits:
+        count.add(np.packbits(b, axis=1, bitorder="little").view(np.uint64))
+    for least in (0, 1, 20, 22, 37):
+        count2 = neighbours.Counters((3, 2), 37)
+        for b in bits:
+            count2.add(np.packbits(b, axis=1, bitorder="little").view(np.uint64))
+        got = np.unpackbits(count2.reached(least).view(np.uint8), axis=1, bitorder="little").astype(bool)
+        assert (got == (bits.sum(0) >= least)).all()
 
 
 def test_distinct_documents_keep_one_of_repeated_rows(spark):
