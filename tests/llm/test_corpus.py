@@ -467,7 +467,7 @@ def test_neighbours_tie_and_overflow(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(1_100, 16))
     v[100:1_050] = v[100]  # equal vectors have equal scores, the smaller id first
-    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(5_000, [1e200] * 16), (5_001, [1e-200] * 16), (5_002, [1e308, -1e308] * 8)]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(5_000, [1e200] * 16), (5_001, [1e-200] * 16), (5_002, [1e306, -1e306] * 8)]
     by = {}
     for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
         by.setdefault(r["query_id"], []).append(r)
