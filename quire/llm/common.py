@@ -25,11 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints that all executors share: `spark.checkpoint.dir` of the session.
 
-    Only where that is unset (tests, one machine) a folder of our own is set.
+    Only where that is unset and Spark is local (tests) a folder of our own is set.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quire-checkpoint-"))
     return sc.getCheckpointDir()
 
 

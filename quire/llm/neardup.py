@@ -41,14 +41,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     seen = durable(setjoin.profile(known, extract, num, den))
     classes = durable(setjoin.classes_of(seen.where("alive")))
     pairs = setjoin.links(known, classes, extract, num, den)
-    name = classes.select("e", F.col("first.id").alias("id"), "copies")
+    name = classes.select("e", "s2", "n", F.col("first.id").alias("id"), "copies")
     both = pairs.union(pairs.select("y", "x")).toDF("e", "other")
-    similar = both.join(name.select(F.col("e").alias("other"), "copies"), "other").groupBy("e").agg(F.sum("copies").alias("others"))
+    similar = both.join(classes.select(F.col("e").alias("other"), "copies"), "other").groupBy("e").agg(F.sum("copies").alias("others"))
     edges = pairs.join(name.select(F.col("e").alias("x"), F.col("id").alias("a")), "x").join(name.select(F.col("e").alias("y"), F.col("id").alias("b")), "y").select("a", "b")
     root = setjoin.components(edges)
     about = name.join(similar, "e", "left").join(root, F.col("id") == F.col("node"), "left")
-    about = durable(about.select("e", F.col("id").alias("class_id"), "copies", F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("root", "id").alias("root")))
-    found = seen.join(sized(about), (F.col("s1") == F.col("e")) & F.col("alive"), "left").select(
+    about = durable(about.select("e", F.col("s2").alias("_s2"), F.col("n").alias("_n"), F.col("id").alias("class_id"), "copies", F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("root", "id").alias("root")))
+    same = (F.col("s1") == F.col("e")) & (F.col("s2") == F.col("_s2")) & (F.col("n") == F.col("_n"))
+    found = seen.join(sized(about), same & F.col("alive"), "left").select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
         F.coalesce(F.col("copies") - 1 + F.col("others"), F.lit(0)).cast("long").alias("n_similar"),

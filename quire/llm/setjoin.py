@@ -18,8 +18,12 @@ Used for documents (word shingles) and for lines.  Four steps:
    each set travels once a block rather than once a pair; the suffix filter compares
    histograms of tokens before the overlap is counted exactly.
 
-Tokens are 64-bit hashes; two different tokens or sets collide with a probability of
-about 1e-19 a pair.
+For sets of common tokens, such as the words of lines, `signed`, `common_pairs` and
+`common_links` do the same with packed prefixes instead of steps 1 and 3.
+
+Tokens are 64-bit hashes, which collide with a chance of 5e-20 a pair.  Sets are told
+apart by two signatures and their size; between classes that may have partners, links
+are kept by the first signature.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import bound_batches, durable, lean, parallelism, sized
-from quire.llm.text import buffers, distinct_per_row, mix, slices
+from quire.llm.text import buffers, distinct_per_row, mix, ranges, row_order, slices
 
 #: Items of a chunk; their numbers take 16 bits, the last one marks tokens repeated in the chunk.
 ITEMS, REPEATED = 60_000, 65_535
@@ -191,18 +195,21 @@ def profile(items: DataFrame, extract: Extract, num: int, den: int, buckets: int
     return met.groupBy("chunk").applyInArrow(settle, PROFILE)
 
 
-def classes_of(alive: DataFrame) -> DataFrame:
-    """One row per class of equal sets: e (its key), n, first (id, number), copies."""
-    return alive.groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "number")).alias("first"), F.count("*").alias("copies")).select(F.col("s1").alias("e"), "n", "first", "copies")
+def classes_of(items: DataFrame) -> DataFrame:
+    """One row per class of equal sets: e (its key), s2, n, first (id, tie if there is one, number), copies."""
+    place = [c for c in ("id", "tie", "number") if c in items.columns]
+    return items.groupBy("s1", "s2", "n").agg(F.min(F.struct(*place)).alias("first"), F.count("*").alias("copies")).select(F.col("s1").alias("e"), "s2", "n", "first", "copies")
 
 
 def first_items(items: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows of `items` that hold the first item of a class, with the item numbers `wanted` of them."""
-    wanted = classes.groupBy(F.col("first.id").alias("_id")).agg(F.collect_list(F.col("first.number")).alias("wanted"))
+    keys = [c for c in ("id", "tie") if c in items.columns]
+    wanted = classes.groupBy(*[F.col(f"first.{c}").alias(f"_{c}") for c in keys]).agg(F.collect_list(F.col("first.number")).alias("wanted"))
     wanted = durable(wanted)
     # rows and 4-byte numbers, counted in rows of 32 bytes
     size = wanted.agg((F.count("*") + F.coalesce(F.sum(F.size("wanted")), F.lit(0)) / 8).cast("long")).first()[0]
-    return items.join(sized(wanted, size), F.col("id") == F.col("_id")).select("id", "text", "wanted")
+    on = [F.col(c) == F.col(f"_{c}") for c in keys]
+    return items.join(sized(wanted, size), on).select(*items.columns, "wanted")
 
 
 def sets_again(items: DataFrame, classes: DataFrame, extract: Extract) -> DataFrame:
@@ -218,6 +225,30 @@ def sets_again(items: DataFrame, classes: DataFrame, extract: Extract) -> DataFr
     return first_items(items, classes).mapInArrow(lean(run), "e long, n long, tokens array<long>")
 
 
+#: Rows of one key that a task should meet at most.
+HOT = 50_000
+
+
+def hot_keys(rows: DataFrame, key: str, by: str, part: int = 64) -> DataFrame:
+    """(key, salts) of keys with about HOT rows or more, counted in a part of the rows.
+
+    It only decides how rows are spread: results are the same whatever it finds.
+    """
+    seen = rows.where(F.pmod(F.xxhash64(by), F.lit(part)) == 0).groupBy(key).agg(F.count("*").alias("n")).where(f"n * {part} >= {HOT}")
+    return durable(seen.select(key, F.ceil(F.col("n") * part / HOT).cast("int").alias("salts")))
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, by: str, hot: DataFrame) -> DataFrame:
+    """rows joined with the one row a key of `table`; rows of a hot key are spread by the hash of `by`."""
+    if hot.isEmpty():
+        return rows.join(table, key)
+    hot = sized(hot)
+    salt = F.coalesce(F.pmod(F.xxhash64(by), F.col("salts")).cast("int"), F.lit(0))
+    left = rows.join(hot, key, "left").withColumn("salt", salt).drop("salts")
+    right = table.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return left.join(right, [key, "salt"]).drop("salt")
+
+
 def ordered(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(e, n, lone, tokens): tokens of several sets, rare first, after `lone` tokens of this set alone.
 
@@ -225,7 +256,8 @@ def ordered(sets: DataFrame, num: int, den: int) -> DataFrame:
     """
     rows = sets.select("e", "n", F.explode("tokens").alias("token"))
     often = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    kept = rows.join(often, "token").groupBy("e", "n").agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("tokens"))
+    joined = spread_join(rows, often, "token", "e", hot_keys(rows, "token", "e"))
+    kept = joined.groupBy("e", "n").agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("tokens"))
     return kept.withColumn("lone", F.col("n") - F.size("tokens")).where(f"lone < n - ceil(n * {num} / {den}) + 1")
 
 
@@ -237,15 +269,17 @@ def candidates(sets: DataFrame, num: int, den: int, split: int = 512) -> DataFra
     return met(rows, num, den, split)
 
 
-def met(rows: DataFrame, num: int, den: int, split: int = 512, bits: tuple[str, ...] = ()) -> DataFrame:
-    """(x, y, token, df) of prefix rows (e, n, place, short, df, token); `bits`: columns of parity bits of the sets."""
+def met(rows: DataFrame, num: int, den: int, split: int = 512) -> DataFrame:
+    """(x, y, token, df) of prefix rows (e, n, place, short, df, token)."""
     salts = F.ceil(F.col("df") / split).cast("int")
-    x = rows.select(F.col("token"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("e").alias("x"), F.col("n").alias("xn"), F.col("place").alias("xp"), *[F.col(b).alias(f"x_{b}") for b in bits])
-    y = rows.where("place < short").select("token", F.pmod("e", salts).cast("int").alias("salt"), F.col("e").alias("y"), F.col("n").alias("yn"), F.col("place").alias("yp"), "df", *[F.col(b).alias(f"y_{b}") for b in bits])
+    x = rows.select(F.col("token"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("e").alias("x"), F.col("n").alias("xn"), F.col("place").alias("xp"))
+    y = rows.where("place < short").select("token", F.pmod("e", salts).cast("int").alias("salt"), F.col("e").alias("y"), F.col("n").alias("yn"), F.col("place").alias("yp"), "df")
     fit = f"(yn < xn OR (yn = xn AND y < x)) AND yn * {den} >= xn * {num} AND least(xn - xp, yn - yp) * {num + den} >= (xn + yn) * {num}"
-    if bits:  # bits that differ are no more than tokens that differ
-        fit += " AND " + " + ".join(f"bit_count(x_{b} ^ y_{b})" for b in bits) + f" <= xn + yn - 2 * (((xn + yn) * {num} + {num + den - 1}) DIV {num + den})"
-    pairs = x.join(y, ["token", "salt"]).where(fit)
+    return one_each(x.join(y, ["token", "salt"]).where(fit))
+
+
+def one_each(pairs: DataFrame) -> DataFrame:
+    """Each pair (x, y) once, with the commonest token that it met at."""
     return pairs.groupBy("x", "y").agg(F.max(F.struct("df", "token")).alias("g")).select("x", "y", "g.df", "g.token")
 
 
@@ -338,96 +372,195 @@ def links(items: DataFrame, classes: DataFrame, extract: Extract, num: int, den:
     return durable(verified(candidates(rare, num, den), rare, num, den))
 
 
-def signed(items: DataFrame, extract: Extract) -> DataFrame:
-    """The rows of `profile` that aren't empty, without its count: for sets of common tokens, which it settles few of."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 1 << 18):
-            _, _, row, number, size, s1, s2 = sets_of(part, "text", extract)
-            ids = part.column("id").to_numpy(zero_copy_only=False).astype(np.int64)[row]
-            some = size > 0
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(number[some].astype(np.int32)), pa.array(size[some]), pa.array(s1[some].view(np.int64)), pa.array(s2[some].view(np.int64))], names=["id", "number", "n", "s1", "s2"])
-
-    bound_batches(items.sparkSession)
-    return items.mapInArrow(lean(run), "id long, number int, n long, s1 long, s2 long")
-
+# ---- sets whose tokens are mostly common, such as the words of lines ----------------------
 
 #: Hash buckets of the frequency table, and pieces that it is added up in.
 FREQUENCIES, PIECES = 1 << 20, 16
+SIGNED = "id long, tie long, number int, n long, s1 long, s2 long, piece int, counts binary"
+
 
+def signed(items: DataFrame, extract: Extract) -> DataFrame:
+    """Size and signatures of every item of `items` (id, tie, text) that isn't empty.
 
-def frequencies(items: DataFrame, extract: Extract) -> np.ndarray:
-    """Number of sets with a token of each hash bucket: never less than that of one token."""
+    Rows with `counts` hold pieces of the frequency table instead: how many sets have a
+    token of each hash bucket.
+    """
     width = FREQUENCIES // PIECES
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(FREQUENCIES, np.int64)
         for part in slices(batches, "text", 1 << 18):
-            bucket, n = np.unique(sets_of(part, "text", extract)[0] & np.uint64(FREQUENCIES - 1), return_counts=True)
-            total[bucket.astype(np.int64)] += n
+            tokens, _, row, number, size, s1, s2 = sets_of(part, "text", extract)
+            total += np.bincount((tokens & np.uint64(FREQUENCIES - 1)).astype(np.int64), minlength=FREQUENCIES)
+            some = size > 0
+            n = int(some.sum())
+            own = [part.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[row][some] for c in ("id", "tie")]
+            columns = [*map(pa.array, own), pa.array(number[some].astype(np.int32)), pa.array(size[some]), pa.array(s1[some].view(np.int64)), pa.array(s2[some].view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SIGNED.split(", ")])
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([x.tobytes() for x in total.reshape(PIECES, width)], pa.binary())], names=["piece", "counts"])
+            blank = [pa.nulls(PIECES, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())]
+            counts = [x.tobytes() for x in total.reshape(PIECES, width)]
+            yield pa.RecordBatch.from_arrays([*blank, pa.array(range(PIECES), pa.int32()), pa.array(counts, pa.binary())], names=[x.split()[0] for x in SIGNED.split(", ")])
+
+    bound_batches(items.sparkSession)
+    return items.mapInArrow(lean(run), SIGNED)
+
+
+def frequencies(seen: DataFrame) -> np.ndarray:
+    """The frequency table of `signed`: a bucket's count is never less than that of one token."""
+    width = FREQUENCIES // PIECES
 
     def add(group: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in group.column("counts"))
         return pa.table({"piece": group.column("piece").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
     out = np.zeros((PIECES, width), np.int64)
-    schema = "piece int, counts binary"
-    for r in items.mapInArrow(lean(count), schema).groupBy("piece").applyInArrow(add, schema).collect():
+    for r in seen.where("counts IS NOT NULL").select("piece", "counts").groupBy("piece").applyInArrow(add, "piece int, counts binary").collect():
         out[r["piece"]] = np.frombuffer(r["counts"], np.int64)
     return out.reshape(-1)
 
 
-_PREFIX = "e long, n long, place long, short long, df long, token long, b1 long, b2 long"
+def prefix_tokens(part: pa.RecordBatch, extract: Extract, num: int, den: int, often: np.ndarray):
+    """Of each set the tokens of its prefix, rare buckets first: (token, place), of which item; sizes, signatures and parity bits."""
+    tokens, owner, _, _, n, s1, _ = sets_of(part, "text", extract)
+    df = often[(tokens & np.uint64(FREQUENCIES - 1)).astype(np.int64)]
+    rank = np.minimum(63, 2 * np.log2(np.maximum(df, 1))).astype(np.uint64)  # in steps of root 2, then by hash
+    order = row_order((rank << np.uint64(58)) | (tokens >> np.uint64(6)), owner)
+    some = np.flatnonzero(n)
+    starts = (np.cumsum(n) - n)[some]
+    bits = np.zeros(len(n), np.uint64)
+    if len(some):
+        bits[some] = np.bitwise_xor.reduceat(np.uint64(1) << (tokens >> np.uint64(58)), starts)
+    place = np.arange(len(tokens)) - np.repeat(starts, n[some])
+    # a set so small that only its equals can match is left out
+    other = (n * den // num > n) | (needed(n, num, den) < n) | (needed(2 * n, num, num + den) < n)
+    keep = (place < (n - needed(n, num, den) + 1)[owner]) & other[owner] & (df[order] > 1)
+    return tokens[order][keep], place[keep], owner[keep], n, s1, bits
 
 
-def prefixes(first: DataFrame, extract: Extract, num: int, den: int, often: np.ndarray) -> DataFrame:
-    """The prefix tokens of each set, rare buckets first, that another set may hold, with 128 parity bits of the set."""
-    table = first.sparkSession.sparkContext.broadcast(often)
+_PIECE = "bucket int, keys binary, sizes binary, places binary, bits binary, e binary"
+
+
+def common_pairs(items: DataFrame, extract: Extract, num: int, den: int, often: np.ndarray, buckets: int, split: int = 8192) -> DataFrame:
+    """(x, y, token, df): pairs of different sets that share a prefix token and pass the length, positional
+    and parity filters, found where the tokens' buckets meet; packed, 26 bytes a token.
+
+    Copies within a chunk are sent once.  Tokens of more than about `split` sets are spread
+    over salts: one side of a pair goes to all of them, the other to one.
+    """
+    shared = items.sparkSession.sparkContext.broadcast(often)
+
+    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", 1 << 18):
+            token, count = np.unique(prefix_tokens(part, extract, num, den, shared.value)[0].view(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(count)], names=["token", "n"])
+
+    # Counted in a part of the rows: it only decides how tokens are spread.
+    some = items.where(F.pmod(F.xxhash64("id", "tie", F.lit(3)), F.lit(64)) == 0).mapInArrow(lean(common), "token long, n long")
+    hot = some.groupBy("token").agg((64 * F.sum("n")).alias("n")).where(f"n > {split}").orderBy(F.desc("n"), "token").limit(1_000_000).toPandas().sort_values("token")
+    spread = items.sparkSession.sparkContext.broadcast((hot["token"].to_numpy(np.int64).view(np.uint64), -(-hot["n"].to_numpy(np.int64) // split)))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        n_bytes = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal held, n_bytes
+            token, size, place, bits, e = (np.concatenate([h[i] for h in held]) for i in range(5))
+            held, n_bytes = [], 0
+            short = size - needed(2 * size, num, num + den) + 1
+            hot_tokens, hot_salts = spread.value
+            salts = np.ones(len(token), np.int64)
+            if len(hot_tokens):
+                order = np.argsort(hot_tokens)
+                at = order[np.minimum(np.searchsorted(hot_tokens, token, sorter=order), len(order) - 1)]
+                salts = np.where(hot_tokens[at] == token, hot_salts[at], 1)
+            salt = ranges(salts)
+            index = np.repeat(place < short, salts) & (salt == np.repeat((e % salts.astype(np.uint64)).astype(np.int64), salts))
+            token, size, place, bits, e = (np.repeat(x, salts) for x in (token, size, place, bits, e))
+            key = mix(token + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            which = (key >> np.uint64(32)) % np.uint64(buckets)
+            order = row_order(key ^ e, (which * np.uint64(1)).astype(np.int64)) if buckets < 1 << 24 else np.lexsort((key ^ e, which))
+            key, e, which = key[order], e[order], which[order]
+            fresh = np.ones(len(key), bool)
+            fresh[1:] = (key[1:] != key[:-1]) | (e[1:] != e[:-1])
+            order, key, e, which = order[fresh], key[fresh], e[fresh], which[fresh].astype(np.int64)
+            size, bits = size[order].astype(np.uint32), bits[order]
+            place = (np.minimum(place[order], 32_767) | np.where(index[order], 1 << 15, 0)).astype(np.uint16)
+            cut = np.flatnonzero(np.diff(which, prepend=-1))
+            ends = np.append(cut[1:], len(which))
+            low = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            columns = [pa.array(which[cut].astype(np.int32))] + [pa.array([x[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()) for x in (low, size, place, bits, e)]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _PIECE.split(", ")])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1 << 18):
-            tokens, owner, _, _, n, s1, _ = sets_of(part, "text", extract)
-            if not len(tokens):
-                continue
-            df = table.value[(tokens & np.uint64(FREQUENCIES - 1)).astype(np.int64)]
-            order = np.lexsort((tokens, df, owner))
-            tokens, owner, df = tokens[order], owner[order], df[order]
-            some = np.flatnonzero(n)
-            starts = (np.cumsum(n) - n)[some]
-            bit = np.uint64(1) << (tokens >> np.uint64(58))
-            upper = (tokens >> np.uint64(57)) & np.uint64(1) == 1
-            bits = np.zeros((2, len(n)), np.uint64)
-            for i, own in enumerate((upper, ~upper)):
-                bits[i, some] = np.bitwise_xor.reduceat(np.where(own, bit, np.uint64(0)), starts)
-            place = np.arange(len(tokens)) - np.repeat(starts, n[some])
-            last = n - needed(n, num, den) + 1
-            short = n - needed(2 * n, num, num + den) + 1
-            keep = (place < last[owner]) & (df > 1)
-            of = owner[keep]
-            columns = [s1[of].view(np.int64), n[of], place[keep], short[of], df[keep], tokens[keep].view(np.int64), *bits[:, of].view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in _PREFIX.split(", ")])
-
-    return first.mapInArrow(lean(run), _PREFIX)
-
-
-def common_links(items: DataFrame, classes: DataFrame, extract: Extract, num: int, den: int) -> DataFrame:
-    """As `links`, for sets whose tokens are mostly common: tokens are ordered by a table of hash
-    buckets, so only prefixes move; parity bits reject most pairs where they meet."""
-    first = first_items(items, classes)
-    rows = prefixes(first, extract, num, den, frequencies(first, extract))
-    pairs = durable(met(rows, num, den, bits=("b1", "b2")))
+            token, place, owner, n, s1, bits = prefix_tokens(part, extract, num, den, shared.value)
+            held.append((token, n[owner], place, bits[owner], s1[owner]))
+            n_bytes += int(buffers(part.column("text"))[1][-1])
+            if n_bytes >= CHUNK_BYTES:
+                yield from flush()
+        if held:
+            yield from flush()
+
+    def meet(group: pa.Table) -> pa.Table:
+        read = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in group.column(name)])
+        key, size, place, bits, e = read("keys", np.uint32), read("sizes", np.uint32).astype(np.int64), read("places", np.uint16), read("bits", np.uint64), read("e", np.uint64)
+        # tokens of one set alone go first, copies next
+        order = np.argsort(key)
+        k = key[order]
+        again = np.zeros(len(k), bool)
+        again[1:] = k[1:] == k[:-1]
+        again[:-1] |= again[1:]
+        order = order[again]
+        order = order[np.lexsort((e[order], size[order], key[order]))]
+        key, size, place, bits, e = (x[order] for x in (key, size, place, bits, e))
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (e[1:] != e[:-1]) | (size[1:] != size[:-1])
+        # an indexed row of a set stands for its copies
+        index = np.bitwise_or.reduceat(place >> 15, np.flatnonzero(fresh)).astype(bool) if len(key) else fresh
+        key, size, place, bits, e = (x[fresh] for x in (key, size, place & 0x7FFF, bits, e))
+        place = place.astype(np.int64)
+        found: list[tuple[np.ndarray, ...]] = []
+        run = np.searchsorted(key, key)
+        left = np.searchsorted(key, key, side="right") - run
+        i = np.arange(len(key))
+        for d in range(1, len(key)):
+            i = i[i + d < len(key)]
+            j = i + d
+            i = i[(key[i] == key[j]) & (size[j] * num <= size[i] * den)]
+            if not len(i):
+                break
+            j = i + d
+            both = size[i] + size[j]
+            least = -(-both * num // (num + den))
+            fit = (index[i] | (index[j] & (size[i] == size[j]))) & (np.minimum(size[i] - place[i], size[j] - place[j]) >= least)
+            fit &= np.bitwise_count(bits[i] ^ bits[j]) <= both - 2 * least
+            fit &= e[i] != e[j]
+            if fit.any():
+                a, b = i[fit], j[fit]
+                found.append((e[b], e[a], key[a], left[a]))
+        x, y, token, df = (np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.uint64) for c in range(4))
+        return pa.table({"x": x.view(np.int64), "y": y.view(np.int64), "token": token.astype(np.int64), "df": df.astype(np.int64)})
+
+    bound_batches(items.sparkSession)
+    return one_each(items.mapInArrow(lean(send), _PIECE).groupBy("bucket").applyInArrow(meet, "x long, y long, token long, df long"))
+
+
+def common_links(items: DataFrame, seen: DataFrame, classes: DataFrame, extract: Extract, num: int, den: int) -> DataFrame:
+    """As `links`, for sets whose tokens are mostly common: ordered by a table of hash buckets, so
+    only prefixes move; parity bits reject most pairs where they meet."""
+    buckets = estimated_buckets(items, parallelism(items.sparkSession))
+    pairs = durable(common_pairs(items, extract, num, den, frequencies(seen), buckets))
     members = pairs.select(F.col("x").alias("e")).union(pairs.select("y")).distinct()
     sets = sets_again(items, classes.join(members, "e", "left_semi"), extract)
     sets = durable(sets.select("e", "n", F.transform("tokens", lambda t: F.struct(t.alias("token"))).alias("tokens")))
     return durable(verified(pairs, sets, num, den))
 
 
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): least node reachable, for nodes with an edge, by alternating large and small stars.
 
-    The number of rounds grows with the logarithm of the longest path.
+    Rounds go on until nothing changes; their number grows with the logarithm of the longest path.
     """
 
     def state(e: DataFrame) -> tuple:
@@ -436,12 +569,11 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
 
     e = durable(edges.toDF("a", "b").where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = state(e)
-    for _ in range(limit):
-        if not before[0]:
-            break
+    while before[0]:
         near = e.union(e.select("b", "a"))
-        least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = near.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        least = durable(near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n")))
+        hot = least.where(F.col("n") > HOT).select("a", F.ceil(F.col("n") / HOT).cast("int").alias("salts"))
+        large = spread_join(near, least.drop("n"), "a", "b", hot).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small_least.select("a", F.col("m").alias("b")))
         e = durable(small.where("a != b").distinct())

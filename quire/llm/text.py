@@ -159,10 +159,28 @@ def shingles(body: np.ndarray, offsets: np.ndarray, kind: np.ndarray, k: int) ->
     return grams, owner, counts
 
 
+def row_order(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Order by row and then hash.
+
+    One sort of (row, upper bits of the hash); where these bits tie, the whole hashes are sorted.
+    """
+    if len(rows) and int(rows.max()) >= 1 << 24:
+        return np.lexsort((hashes, rows))
+    key = (rows.astype(np.uint64) << np.uint64(40)) | (hashes >> np.uint64(24))
+    order = np.argsort(key)
+    key = key[order]
+    tied = key[1:] == key[:-1]
+    unequal = tied & (hashes[order[1:]] != hashes[order[:-1]])
+    if unequal.any():
+        run = np.concatenate([[0], np.cumsum(~tied)])
+        at = np.flatnonzero(np.isin(run, run[1:][unequal]))
+        order[at] = order[at[np.lexsort((hashes[order[at]], run[at]))]]
+    return order
+
+
 def distinct_per_row(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (hash, row), ordered by row and then hash."""
-    # one sort of (row, upper bits of the hash); rows of a slice number less than 2**24
-    order = np.argsort((rows.astype(np.uint64) << np.uint64(40)) | (hashes >> np.uint64(24)))
+    order = row_order(hashes, rows)
     h, r = hashes[order], rows[order]
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])

@@ -136,24 +136,71 @@ def test_components_of_a_long_path(spark):
     assert {k: v for k, v in got.items() if k != v} == {**{i: 0 for i in range(1, 301)}, 501: 500}
 
 
+def bag(line):
+    w = line.translate({c: c + 32 for c in range(65, 91)}).split()
+    return {(x, w[:j].count(x)) for j, x in enumerate(w)}
+
+
+def removed_lines(docs):
+    """Of rows (doc_id, text) with distinct ids: the (doc_id, line number) that match an earlier line."""
+    bags = [(k, n, bag(s)) for k, t in sorted(docs) for n, s in enumerate((t or "").split("\n"))]
+    bags = [b for b in bags if b[2]]
+    return {(k, n) for j, (k, n, s) in enumerate(bags) if any(100 * len(s & o) >= 80 * len(s | o) for _, _, o in bags[:j])}
+
+
 def test_repeated_lines_equal_brute_force(spark, rows):
     rng = random.Random(2)
-    extra = [(200 + i, "\n".join(rng.choice(["short one", sentence(random.Random(rng.randrange(25)), 20), ""]) for _ in range(6)), "z") for i in range(40)]
+    extra = [(200 + i, "\n".join(rng.choice(["short one", sentence(random.Random(rng.randrange(25)), 20), "", " \t"]) for _ in range(6)), "z") for i in range(40)]
     docs = [r for r in rows if r[0] is not None][:-1] + extra
-    lines = [(k, n, s) for k, t, _ in sorted((r for r in docs if r[1] is not None), key=lambda r: r[0]) for n, s in enumerate(t.split("\n"))]
-    sets = [(k, n, next(iter(brute_sets([s], 3)))) for k, n, s in lines if len(re.findall(r"[^\x20\x09-\x0D]+", s)) >= 5]
-    gone = set()
-    for j, (k, n, s) in enumerate(sets):
-        if any(100 * len(s & o) >= 80 * len(s | o) for _, _, o in sets[:j]):
-            gone.add((k, n))
+    gone = removed_lines([(k, t) for k, t, _ in docs if k != 100 and t is not None] + [(100, docs[[r[0] for r in docs].index(100)][1])])
     want = {k: None if t is None else "\n".join(s for n, s in enumerate(t.split("\n")) if (k, n) not in gone) for k, t, _ in docs}
-    cleaned = linededup.dedup_lines(frame(spark, docs))
-    assert {r["doc_id"]: r["text"] for r in cleaned.collect()} == want
-    assert {r["gone"] for r in cleaned.collect()} == {"g"}
-    assert len(gone) > 50
+    cleaned = linededup.dedup_lines(frame(spark, docs)).collect()
+    assert {r["doc_id"]: r["text"] for r in cleaned} == want
+    assert {r["gone"] for r in cleaned} == {"g"} and len(gone) > 50
+    assert all(r["_lines"] == (0 if want[r["doc_id"]] is None else dict((k, t) for k, t, _ in docs)[r["doc_id"]].count("\n") + 1) for r in cleaned)
+    assert sum(r["_removed"] for r in cleaned) == len(gone)
     assert linededup.dedup_lines(frame(spark, docs).limit(0)).count() == 0
 
 
+def test_rows_with_one_doc_id_keep_their_own_lines(spark):
+    """Rows that share doc_id lose only their own repeats; of equal rows one keeps its lines."""
+    same = "first line of it\n\nsecond line of it"
+    docs = [(1, same, "a")] * 5 + [(1, "second line of it\nunique precious line here", "a"), (1, "short\nshort", "a"), (2, same, "a"), (None, same, "a"), (None, same, "a"), (3, None, "a"), (3, None, "a"), (4, "", "a"), (4, "", "a")]
+    got = linededup.dedup_lines(frame(spark, docs)).collect()
+    texts = sorted((str(r["doc_id"]), r["text"] if r["text"] is not None else "-") for r in got)
+    of = lambda k: [t for i, t in texts if i == k]
+    assert len(got) == len(docs) and of("None") == [same, same] and of("3") == ["-", "-"] and of("4") == ["", ""] and of("2") == [""]
+    assert of("1").count("") == 4 and any("unique precious line here" in t for t in of("1")) and "short" in of("1")
+    lines = [x for t in of("1") for x in t.split("\n")]
+    assert sorted(x for x in lines if x) == ["first line of it", "second line of it", "short", "unique precious line here"]
+
+
+def test_hot_prefix_tokens_are_spread(spark):
+    """Tokens of more sets than a salt holds give the same links."""
+    from quire.llm import setjoin
+
+    rng = random.Random(21)
+    rows = [(i, 0, " ".join(["hot", *(f"w{rng.randrange(60)}" for _ in range(8))])) for i in range(400)]
+    rows += [(400 + i, 0, t + " more") for i, (_, _, t) in enumerate(rows[::4])]
+    items = spark.createDataFrame(rows, "id long, tie long, text string")
+    seen = setjoin.durable(setjoin.signed(items, linededup.word_sets))
+    often = setjoin.frequencies(seen)
+    found = [{tuple(sorted((r["x"], r["y"]))) for r in setjoin.common_pairs(items, linededup.word_sets, 80, 100, often, 8, split=split).collect()} for split in (2, 1 << 30)]
+    key = {(r["id"]): r["s1"] for r in seen.where("counts IS NULL").collect()}
+    bags = {i: bag(t) for i, _, t in rows}
+    true = {tuple(sorted((key[i], key[j]))) for i, j in combinations(bags, 2) if bags[i] != bags[j] and 100 * len(bags[i] & bags[j]) >= 80 * len(bags[i] | bags[j])}
+    assert true and true <= found[0] and true <= found[1]
+
+
+def test_distinct_per_row_with_tied_upper_bits():
+    rng = np.random.default_rng(5)
+    upper = rng.integers(0, 3, 4000).astype(np.uint64) << np.uint64(40)
+    hashes = upper | rng.integers(0, 4, 4000).astype(np.uint64)
+    rows = rng.integers(0, 3, 4000)
+    h, r = kernels.distinct_per_row(hashes, rows)
+    assert sorted(zip(r.tolist(), h.tolist())) == sorted(set(zip(rows.tolist(), hashes.tolist()))) == list(zip(r.tolist(), h.tolist()))
+
+
 def test_neighbours_recall_and_odd_vectors(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(1200, 16)) * rng.uniform(0.5, 2, (1200, 1))
@@ -362,18 +409,12 @@ def test_lines_repeated_by_words_equal_brute_force(spark):
             at = rng.randrange(len(w))
             lines.append(" ".join(w[:at] + rng.choice([[w[at]], ["new"], [w[at], "new"], []]) + w[at + 1 :]))
         docs.append((i, "\n".join(lines), "a"))
-    bags = []
-    for k, t, _ in docs:
-        for n, s in enumerate(t.split("\n")):
-            w = s.lower().split()
-            bags.append((k, n, {(x, w[:j].count(x)) for j, x in enumerate(w)}))
-    bags = [b for b in bags if b[2]]
-    gone = {(k, n) for j, (k, n, s) in enumerate(bags) if any(100 * len(s & o) >= 80 * len(s | o) for _, _, o in bags[:j])}
+    gone = removed_lines([(k, t) for k, t, _ in docs])
     want = {k: "\n".join(s for n, s in enumerate(t.split("\n")) if (k, n) not in gone) for k, t, _ in docs}
-    cleaned = linededup.dedup_lines(frame(spark, docs), by_words=True)
+    cleaned = linededup.dedup_lines(frame(spark, docs))
     assert {r["doc_id"]: r["text"] for r in cleaned.collect()} == want
     assert {(i, 0) for i in range(1, 60)} <= gone and "\nmenu\n" in want[0] and "menu" not in want[1]
-    assert linededup.dedup_lines(frame(spark, docs).limit(0), by_words=True).count() == 0
+    assert linededup.dedup_lines(frame(spark, docs).limit(0)).count() == 0
 
 
 def test_pipeline_drops_lines_with_one_changed_word(spark):
