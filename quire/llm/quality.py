@@ -11,7 +11,8 @@ hash of their id); all site statistics cover every document.  Only aggregates ar
 shuffled; texts never are, unless the site table outgrows its checked broadcast bound.
 
 Null and empty texts have all-zero features.  Null hosts and paths are sites of their
-own.  Without labels every document scores 0.5 and is kept.  Repeated rows get equal
+own.  Where label rows of a document differ, the least quality counts.  Without labels,
+or with one kind alone, every document scores 0.5 and is kept.  Repeated rows get equal
 scores; other columns pass through.
 """
 
@@ -103,17 +104,17 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> n
 
 
 def fit_on_labels(docs: DataFrame, labels: DataFrame, fit_rows: int, text: str = "text", doc_id: str = "doc_id") -> np.ndarray:
-    """The classifier of labelled documents; fetches their features alone, at most `fit_rows` rows."""
-    chosen = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("double").alias("_y")).dropna().dropDuplicates(["_id"])
-    chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
-    joined = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id").select("text", "_y").limit(2 * fit_rows)
+    """The classifier of labelled documents; fetches their features alone, of at most `fit_rows` rows: the least hashes of the id, then the least features."""
+    chosen = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("double").alias("_y")).dropna().groupBy("_id").agg(F.min("_y").alias("_y"))
+    chosen = chosen.withColumn("_key", F.xxhash64("_id")).orderBy("_key", "_id").limit(fit_rows)
+    joined = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id").select("text", "_y", "_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1 << 18):
             x = features(*buffers(part.column(0)))
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), part.column(1)], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), part.column(1), part.column(2)], names=["x", "y", "key"])
 
-    rows = joined.mapInArrow(lean(run), "x array<double>, y double").toPandas()
+    rows = joined.mapInArrow(lean(run), "x array<double>, y double, key long").orderBy("key", "x", "y").limit(fit_rows).toPandas()
     if not len(rows):
         return np.zeros(len(FEATURES) + 1)
     x, y = np.stack(rows["x"].to_numpy()), rows["y"].to_numpy()
