@@ -7,11 +7,14 @@ whole text; a document's score is that of its most toxic window.
 
 Training is multiple-instance: first every sampled window carries its document's label,
 then each document's most toxic window does.  It uses at most `fit_rows` labelled
-documents (least hash of the id) outside the held-out fold.  Scoring is map-only;
+documents (least hash of the id) of at most `fit_chars` code points outside the held-out
+fold, so what the driver holds is bounded.  Scoring is map-only and reads whole texts;
 distinct words of a batch are embedded once.
 
 Null and empty texts are scored as one window without words.  Repeated rows get equal
-scores.  Without labels of both kinds every score is 0.
+scores.  Where label rows of a document differ, it counts as toxic; of texts that share a
+doc_id the least is learnt from.  With labels of one kind alone every score is that
+label, without labels 0.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -155,31 +158,36 @@ def backward(m: Model, batch: Batch, cache, dlogit: np.ndarray) -> Model:
     return g
 
 
-def train(texts: list[str], y: np.ndarray, least_steps: int = 320, seed: int = 5, group: int = 64, windows: int = 6, least_docs: int = 5) -> Model | None:
-    """Adam on groups of documents, for at least 5 epochs; None without both labels."""
+def train(texts: list[str], y: np.ndarray, least_steps: int = 320, seed: int = 5, group: int = 64, windows: int = 6, least_docs: int = 5) -> Model | float:
+    """Adam on groups of documents, for at least 5 epochs; with one kind of label that label, without any 0."""
     if not len(y) or y.min() == y.max():
-        return None
+        return float(y.min()) if len(y) else 0.0
     one_blas_thread()
     rng = np.random.default_rng(seed)
     m = new_model()
-    mean, square, step = {k: np.zeros_like(v) for k, v in m.items()}, {k: np.zeros_like(v) for k, v in m.items()}, 0
     batches: dict[int, tuple[Batch, np.ndarray]] = {}
     order = rng.permutation(len(texts))
     for i in range(0, len(order), group):
         part = order[i : i + group]
         batches[i] = (Batch(*buffers(pa.array([texts[j] for j in part], pa.large_string()))), y[part].astype(np.float32))
+    # Only slots of these texts' words are trained: a table of them alone.
+    used = np.unique(np.concatenate([batch.slot for batch, _ in batches.values()]))
+    for batch, _ in batches.values():
+        batch.slot = np.searchsorted(used, batch.slot)
+    slots = len(used)
+    m["word"] = np.zeros((slots, DIM), np.float32)
+    mean, square, step = {k: np.zeros_like(v) for k, v in m.items()}, {k: np.zeros_like(v) for k, v in m.items()}, 0
     # A word's vector starts from how far its share of toxic documents lies from that of all,
     # in standard errors; words of few documents have none, lest documents be learnt by heart.
-    spread, toxic = np.zeros(WORD_SLOTS, np.int64), np.zeros(WORD_SLOTS, np.int64)
+    spread, toxic = np.zeros(slots, np.int64), np.zeros(slots, np.int64)
     for batch, label in batches.values():
         if len(batch.word):
             pairs = np.unique(batch.slot[batch.word] * len(label) + batch.row)
-            spread += np.bincount(pairs // len(label), minlength=WORD_SLOTS)
-            toxic += np.bincount(pairs // len(label), label[pairs % len(label)], WORD_SLOTS).astype(np.int64)
+            spread += np.bincount(pairs // len(label), minlength=slots)
+            toxic += np.bincount(pairs // len(label), label[pairs % len(label)], slots).astype(np.int64)
     common = (spread >= least_docs)[:, None].astype(np.float32)
     share = float(np.mean(y))
     apart = (toxic - spread * share) / np.sqrt(np.maximum(spread * share * (1 - share), 1e-9))
-    m["word"][:] = 0
     m["word"][:, 0] = np.where((spread >= least_docs) & (np.abs(apart) > 3), np.clip(apart / 4, -1.5, 1.5), 0)
     epochs = max(5, -(-least_steps // len(batches)))
     for epoch in range(epochs):
@@ -211,17 +219,20 @@ def train(texts: list[str], y: np.ndarray, least_steps: int = 320, seed: int = 5
                 mean[k] += np.float32(0.1) * (g - mean[k])
                 square[k] += np.float32(0.005) * (g * g - square[k])
                 m[k] -= np.float32(rate / (1 - 0.9**step)) * mean[k] / (np.sqrt(square[k] / np.float32(1 - 0.995**step)) + np.float32(1e-6))
+    compact, m["word"] = m["word"], np.zeros((WORD_SLOTS, DIM), np.float32)
+    m["word"][used] = compact
     return m
 
 
-def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int, text: str = "text", doc_id: str = "doc_id") -> Model | None:
-    """A model of at most `fit_rows` labelled documents outside the held-out fold, toxic ones first."""
-    y = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("double").alias("_y")).dropna().dropDuplicates(["_id"])
+def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int, text: str = "text", doc_id: str = "doc_id", fit_chars: int = 20_000) -> Model | float:
+    """A model of at most `fit_rows` labelled documents, of at most `fit_chars` code points, outside the held-out fold; a third toxic if there are so many."""
+    y = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("double").alias("_y")).dropna().groupBy("_id").agg(F.max("_y").alias("_y"))
     y = y.where("crc32(CAST(_id AS STRING)) % 5 != 0").withColumn("_key", F.xxhash64("_id"))
     toxic = y.where("_y = 1").orderBy("_key", "_id").limit(fit_rows // 3)
     clean = y.where("_y = 0").orderBy("_key", "_id").limit(fit_rows - fit_rows // 3)
     chosen = F.broadcast(toxic.union(clean).drop("_key"))
-    rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t")).join(chosen, "_id").dropDuplicates(["_id"]).orderBy("_id").toPandas()
+    known = docs.select(F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t")).where(F.length("_t") <= fit_chars)
+    rows = known.join(chosen, "_id").groupBy("_id").agg(F.min("_t").alias("_t"), F.min("_y").alias("_y")).orderBy("_id").toPandas()
     return train(rows["_t"].tolist(), rows["_y"].to_numpy())
 
 
@@ -236,12 +247,12 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         one_blas_thread()
         n = batch.num_rows
-        best = np.full(n, -40.0)
-        if shared.value is not None:
-            b = Batch(*buffers(batch.column(1)))
+        if isinstance(shared.value, float):
+            p = np.full(n, shared.value)
+        else:
+            best, b = np.full(n, -40.0), Batch(*buffers(batch.column(1)))
             np.maximum.at(best, b.window_row, forward(shared.value, b).astype(float))
-        p = 1 / (1 + np.exp(-np.clip(best, -40, 40)))
-        p[best <= -40] = 0.0
+            p = 1 / (1 + np.exp(-np.clip(best, -40, 40)))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     key = F.col(doc_id).cast("long")
