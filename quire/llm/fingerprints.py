@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import bound_batches, lean, parallelism
+from quire.llm.common import bound_batches, lean, one_blas_thread, parallelism
 from quire.llm.text import buffers, mix, prefix_hashes, ranges, slices, span_hashes
 
 WINDOW = 64
@@ -143,14 +143,18 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
         a, b = b, a
     na, nb = np.bitwise_count(a).sum(1).astype(float), np.bitwise_count(b).sum(1).astype(float)
     best = np.zeros(len(a))
-    for i in range(len(a)):
-        both = np.bitwise_count(a[i] & b).sum(1)
-        most = np.minimum(na[i], nb)
-        chance = na[i] * nb / BITS
-        score = np.where(na[i] * nb > 0, (both - chance) / np.maximum(most - chance, 1e-9), 0.0)
-        # A filter much emptier than its partner isn't taken as contained in it.
-        score *= np.sqrt(most / np.maximum(na[i], nb))
-        best[i] = score.max()
+    spread = lambda x: np.unpackbits(x.view(np.uint8), axis=1).astype(np.float32)
+    step = 256  # filters of a block: common bits of two blocks are one matrix product
+    for j in range(0, len(b), step):
+        other, size = spread(b[j : j + step]).T, nb[None, j : j + step]
+        for i in range(0, len(a), step):
+            own = na[i : i + step, None]
+            both = spread(a[i : i + step]) @ other
+            most, chance = np.minimum(own, size), own * size / BITS
+            score = np.where(own * size > 0, (both - chance) / np.maximum(most - chance, 1e-9), 0.0)
+            # A filter much emptier than its partner isn't taken as contained in it.
+            score *= np.sqrt(most / np.maximum(np.maximum(own, size), 1))
+            best[i : i + step] = np.maximum(best[i : i + step], score.max(axis=1))
     return float(np.clip((best * na).sum() / na.sum(), 0, 1))
 
 
@@ -244,6 +248,7 @@ def fingerprint(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ran
     sorted_ = both.select("doc_id", "text", "ord", "at.range", "at.guest").repartitionById(parts, "range").sortWithinPartitions("range", "guest", "ord", "text").select("doc_id", "text", "range", "guest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_blas_thread()
         held: pa.RecordBatch | None = None
         for part in slices(batches, "text", 1 << 17):  # small slices stay in the CPU cache
             # one run per range; of a range's guests only the first counts
