@@ -202,6 +202,26 @@ class Block:
         return np.concatenate([np.zeros(0), *(products(self.vectors[v[i : i + chunk]], queries[q[i : i + chunk]]) for i in range(0, len(q), chunk))])
 
 
+SOUND = "vec_id long, v array<double>, shell int"
+
+
+def sound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The vectors that take part, each with its shell: norms within a factor of root 2."""
+    for part in batches:
+        lists = part.column(1)
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # null components become NaN
+        size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        start = np.cumsum(size) - size
+        most = np.maximum.reduceat(np.abs(flat), start) if len(start) else np.zeros(0)
+        keep = np.isfinite(most) & (most > 0)  # NaN and infinity pass into the maximum
+        scaled = flat / np.repeat(np.where(keep, most, 1), size)
+        with np.errstate(invalid="ignore"):
+            norm = np.log2(np.where(keep, most, 1)) + 0.5 * np.log2(np.where(keep, np.add.reduceat(scaled * scaled, start), 1)) if len(start) else most
+        chosen = pa.array(keep)
+        shell = pa.array(np.floor(2 * norm[keep]).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([part.column(0).filter(chosen), lists.filter(chosen), shell], names=["vec_id", "v", "shell"])
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
@@ -213,12 +233,9 @@ def search(vectors: DataFrame, queries_where: str = "vec_id % 20 = 0", vec_id: s
     `block`: most vectors of a block (four times as many queries); `sample`: vectors that bound the k-th best.
     """
     spark = vectors.sparkSession
-    e = F.col("v")
-    sound = ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(e, lambda x: x != 0)
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & e.isNotNull() & sound)
-    most = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    norm = F.log2(most) + 0.5 * F.log2(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / most) * (x / most)))
-    rows = rows.withColumn("shell", F.floor(2 * norm).cast("int")).withColumn("asked", F.expr(queries_where))
+    bound_batches(spark)
+    given = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v")).where("vec_id IS NOT NULL AND size(v) > 0")
+    rows = given.mapInArrow(lean(sound), SOUND).withColumn("asked", F.expr(queries_where))
     # One row a shell and length: doubles have some 4,200 shells.
     about = rows.groupBy(F.size("v").alias("dim"), "shell").agg(F.count("*").alias("n"), F.count(F.when(F.col("asked"), 1)).alias("queries"))
     sizes = about.groupBy("dim").agg(F.sum("n").alias("n"), F.sum("queries").alias("queries"), F.map_from_entries(F.collect_list(F.struct("shell", "n"))).alias("shells")).orderBy(F.desc("n"), "dim").first()
@@ -256,7 +273,6 @@ def search(vectors: DataFrame, queries_where: str = "vec_id % 20 = 0", vec_id: s
                     reach[i : i + 256] = kth - 1e-9 * np.abs(kth)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(reach)], names=["vec_id", "v", "reach"])
 
-    bound_batches(spark)
     queries = rows.where("asked").select("vec_id", "v").mapInArrow(lean(reached), "vec_id long, v array<double>, reach double")
     right = queries.select("vec_id", "v", "reach", F.explode(grid(total)).alias("a"), F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(down)).cast("int").alias("b"))
 
