@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import linededup, mixing, neardup, packing, quality
-from quire.llm.common import shared_folder, table
+from quire.llm.common import table, work_folder
 
 #: SQL can't express the fitted classifier; tests hold each stage against brute force.
 ORACLE_SQL = None
@@ -66,7 +66,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; what lies between them is kept in the shared folder."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{work_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number + 1 < len(STAGES):

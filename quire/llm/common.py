@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import glob
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -14,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that may be broadcast: a checked bound, beyond which shuffle joins are used.
-BROADCAST_ROWS = 400_000
+#: Bytes that may be broadcast, at 64 a row: a checked bound, beyond which the same joins shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,17 +37,46 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def work_folder(spark: SparkSession) -> str:
+    """This application's folder of written tables in the shared folder; it goes when the application ends."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quire_folder", None) is None:
+        path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/quire-{uuid.uuid4().hex}")
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+        sc._quire_folder = path.toString()
+    return sc._quire_folder
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cuts lineage: writes the table in the shared folder and reads it again.
+
+    (A checkpoint would compute the last stage twice, once to count and once to write.)
+    """
+    path = f"{work_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._quire_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._quire_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(rows: int | None, items: int | None = 0) -> bool:
+    """Whether a table of so many narrow rows, with so many 16-byte items in lists, may be broadcast."""
+    return ((rows or 0) * 64 + (items or 0) * 16) <= BROADCAST_BYTES
 
 
-def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Marks a side for broadcast if it has at most BROADCAST_ROWS narrow rows; else leaves it to shuffle."""
+def sized(df: DataFrame, rows: int | None = None, items: int | None = 0) -> DataFrame:
+    """Marks a side for broadcast if it is `small`; else leaves it to shuffle."""
     if rows is None:
-        rows = df.limit(BROADCAST_ROWS + 1).count()
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+        rows = df.limit(BROADCAST_BYTES // 64 + 1).count()
+    return F.broadcast(df) if small(rows, items) else df
 
 
 @lru_cache(maxsize=1)

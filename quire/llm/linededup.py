@@ -126,7 +126,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pre
         twins = twins.join(sized(least), ["__q_id", "__q_tie"]).withColumn("__q_again", F.col("__q_row") != F.col("__q_least"))
         keyed = keyed.join(sized(twice), ["__q_id", "__q_tie"], "left_anti").select(*keyed.columns).union(twins.select(*keyed.columns))
     gone = gone.select(F.col("id").alias("__q_id"), F.col("tie").alias("__q_tie"), F.col("gone").alias("__q_gone"))
-    joined = keyed.join(sized(gone, max(size // 8, gone.count())), ["__q_id", "__q_tie"], "left").drop("__q_id", "__q_tie")
+    joined = keyed.join(sized(gone, gone.count(), size), ["__q_id", "__q_tie"], "left").drop("__q_id", "__q_tie")
     added = [prefix + "lines", prefix + "removed"]
     names = [c for c in docs.columns if c not in added]
     schema = StructType([*(docs.schema[c] for c in names), *(StructField(c, LongType()) for c in added)])

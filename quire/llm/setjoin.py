@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import bound_batches, durable, lean, parallelism, sized
+from quire.llm.common import bound_batches, discard, durable, lean, parallelism, sized
 from quire.llm.text import buffers, distinct_per_row, mix, ranges, row_order, slices
 
 #: Items of a chunk; their numbers take 16 bits, the last one marks tokens repeated in the chunk.
@@ -206,10 +206,9 @@ def first_items(items: DataFrame, classes: DataFrame) -> DataFrame:
     keys = [c for c in ("id", "tie") if c in items.columns]
     wanted = classes.groupBy(*[F.col(f"first.{c}").alias(f"_{c}") for c in keys]).agg(F.collect_list(F.col("first.number")).alias("wanted"))
     wanted = durable(wanted)
-    # rows and 4-byte numbers, counted in rows of 32 bytes
-    size = wanted.agg((F.count("*") + F.coalesce(F.sum(F.size("wanted")), F.lit(0)) / 8).cast("long")).first()[0]
+    size = wanted.agg(F.count("*"), F.sum(F.size("wanted"))).first()
     on = [F.col(c) == F.col(f"_{c}") for c in keys]
-    return items.join(sized(wanted, size), on).select(*items.columns, "wanted")
+    return items.join(sized(wanted, *size), on).select(*items.columns, "wanted")
 
 
 def sets_again(items: DataFrame, classes: DataFrame, extract: Extract) -> DataFrame:
@@ -312,19 +311,46 @@ def _verify(members: list[tuple[int, int, np.ndarray]], pairs: np.ndarray, num:
     return both >= need
 
 
+Member = tuple[int, int, np.ndarray]
+
+
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, block: int = 128) -> DataFrame:
     """The (x, y) whose Jaccard reaches num/den; each pair is verified once, in one block."""
+    placed = in_blocks(pairs, block)
+    shipped = members_of(placed).join(sets.select("e", "n", F.transform("tokens", lambda t: t["token"]).alias("tokens")), "e")
+    return verified_blocks(placed, shipped, num, den)
+
+
+def in_blocks(pairs: DataFrame, block: int) -> DataFrame:
+    """(x, y, block): pairs that met at one token share blocks; a token of many sets has several."""
     side = F.greatest(F.lit(1), F.ceil(F.col("df") / block)).cast("long")
-    placed = durable(pairs.select("x", "y", F.xxhash64("token", F.pmod("x", side), F.pmod("y", side)).alias("block")))
-    member = placed.select("block", F.col("x").alias("e")).union(placed.select("block", F.col("y").alias("e"))).distinct()
-    shipped = member.join(sets.select("e", "n", F.transform("tokens", lambda t: t["token"]).alias("tokens")), "e")
-    empty = F.lit(None)
-    both = shipped.select("block", F.lit(0).alias("kind"), "e", "n", "tokens").union(placed.select("block", F.lit(1), "x", "y", empty.cast("array<long>")))
-    parts = parallelism(pairs.sparkSession)
-    stream = both.repartition(4 * parts, "block").sortWithinPartitions("block", "kind", "e", "n")
+    return durable(pairs.select("x", "y", F.xxhash64("token", F.pmod("x", side), F.pmod("y", side)).alias("block")))
+
+
+def members_of(placed: DataFrame) -> DataFrame:
+    return placed.select("block", F.col("x").alias("e")).union(placed.select("block", F.col("y").alias("e"))).distinct()
+
+
+def verified_blocks(placed: DataFrame, shipped: DataFrame, num: int, den: int, extract: Extract | None = None) -> DataFrame:
+    """The placed pairs that reach the threshold, verified where the members of their block come together.
+
+    shipped: block, e, n and tokens, or line (binary) that `extract` gives the tokens of.
+    """
+    last = shipped.columns[-1]
+    kind = shipped.schema[last].dataType.simpleString()
+    both = shipped.select("block", F.lit(0).alias("kind"), "e", "n", last).union(placed.select("block", F.lit(1), "x", "y", F.lit(None).cast(kind)))
+    stream = both.repartition(4 * parallelism(placed.sparkSession), "block").sortWithinPartitions("block", "kind", "e", "n")
+
+    def sets_in(lists: pa.Array, e: np.ndarray, n: np.ndarray) -> list[Member]:
+        if extract is None:
+            flat, offs = lists.values.to_numpy(), lists.offsets.to_numpy()
+            return [(int(a), int(b), flat[offs[k] : offs[k + 1]].copy()) for k, (a, b) in enumerate(zip(e, n))]
+        tokens, owner, *_ = sets_of(pa.RecordBatch.from_arrays([lists.cast(pa.large_string())], names=["line"]), "line", extract)
+        ends = np.searchsorted(owner, np.arange(len(e) + 1))
+        return [(int(a), int(b), tokens[ends[k] : ends[k + 1]].view(np.int64)) for k, (a, b) in enumerate(zip(e, n))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        members: list[tuple[int, int, np.ndarray]] = []
+        members: list[Member] = []
         asked: list[np.ndarray] = []
         now = None
 
@@ -338,8 +364,9 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, block: int =
         for batch in batches:
             blocks, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             e, n = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            lists = batch.column(4)
-            flat, offs = lists.values.to_numpy(), lists.offsets.to_numpy()
+            given = np.flatnonzero(kind == 0)
+            found = sets_in(batch.column(4).filter(pa.array(kind == 0)), e[given], n[given])
+            upto = np.concatenate([[0], np.cumsum(kind == 0)])
             cut = np.flatnonzero(np.diff(blocks)) + 1
             for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(blocks)]):
                 if a == b:
@@ -350,8 +377,8 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, block: int =
                         yield out
                     members, asked = [], []
                 now = blocks[a]
-                m = a + int((kind[a:b] == 0).sum())
-                members += [(int(e[k]), int(n[k]), flat[offs[k] : offs[k + 1]].copy()) for k in range(a, m)]
+                members += found[upto[a] : upto[b]]
+                m = a + int(upto[b] - upto[a])
                 asked.append(np.column_stack([e[m:b], n[m:b]]))
         out = done()
         if out is not None and out.num_rows:
@@ -546,15 +573,36 @@ def common_pairs(items: DataFrame, extract: Extract, num: int, den: int, often:
     return one_each(items.mapInArrow(lean(send), _PIECE).groupBy("bucket").applyInArrow(meet, "x long, y long, token long, df long"))
 
 
-def common_links(items: DataFrame, seen: DataFrame, classes: DataFrame, extract: Extract, num: int, den: int) -> DataFrame:
-    """As `links`, for sets whose tokens are mostly common: ordered by a table of hash buckets, so
-    only prefixes move; parity bits reject most pairs where they meet."""
+def common_links(items: DataFrame, seen: DataFrame, classes: DataFrame, extract: Extract, num: int, den: int, block: int = 128) -> DataFrame:
+    """As `links`, for lines, whose tokens are mostly common: ordered by a table of hash buckets,
+    so only prefixes move; parity bits reject most pairs where they meet.  Lines of pairs
+    that are left go as texts straight to the blocks where they are verified."""
     buckets = estimated_buckets(items, parallelism(items.sparkSession))
-    pairs = durable(common_pairs(items, extract, num, den, frequencies(seen), buckets))
-    members = pairs.select(F.col("x").alias("e")).union(pairs.select("y")).distinct()
-    sets = sets_again(items, classes.join(members, "e", "left_semi"), extract)
-    sets = durable(sets.select("e", "n", F.transform("tokens", lambda t: F.struct(t.alias("token"))).alias("tokens")))
-    return durable(verified(pairs, sets, num, den))
+    placed = in_blocks(common_pairs(items, extract, num, den, frequencies(seen), buckets), block)
+    named = members_of(placed).join(classes.select("e", "n", "first"), "e")
+    wanted = named.groupBy(F.col("first.id").alias("_id"), F.col("first.tie").alias("_tie")).agg(F.collect_list(F.struct("first.number", "block", "e", "n")).alias("wanted"))
+    wanted = durable(wanted)
+    size = wanted.agg(F.count("*"), 2 * F.sum(F.size("wanted"))).first()
+    rows = items.join(sized(wanted, *size), (F.col("id") == F.col("_id")) & (F.col("tie") == F.col("_tie"))).select("text", "wanted")
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", 1 << 18):
+            body, offsets = buffers(part.column(0))
+            feeds = np.flatnonzero(body == 10)
+            starts = np.sort(np.concatenate([offsets[:-1], feeds + 1]), kind="stable")
+            count = np.bincount(np.searchsorted(offsets, feeds, side="right") - 1, minlength=part.num_rows) + 1
+            first = np.cumsum(count) - count
+            ends = np.append(starts[1:], len(body)) - 1
+            ends[first + count - 1] = offsets[1:]
+            asked = part.column(1).flatten()
+            number, *rest = (asked.field(c) for c in range(4))
+            line = np.repeat(first, part.column(1).value_lengths().to_numpy(zero_copy_only=False)) + number.to_numpy()
+            raw = body.tobytes()
+            texts = pa.array([raw[a:b] for a, b in zip(starts[line].tolist(), ends[line].tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([*rest, texts], names=["block", "e", "n", "line"])
+
+    shipped = rows.mapInArrow(lean(send), "block long, e long, n long, line binary")
+    return durable(verified_blocks(placed, shipped, num, den, extract))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -576,8 +624,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = spread_join(near, least.drop("n"), "a", "b", hot).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small_least.select("a", F.col("m").alias("b")))
-        e = durable(small.where("a != b").distinct())
+        old, e = e, durable(small.where("a != b").distinct())
         after = state(e)
+        discard(least, old)
         if after == before:
             break
         before = after
