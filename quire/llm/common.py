@@ -53,7 +53,8 @@ def durable(df: DataFrame) -> DataFrame:
     (A checkpoint would compute the last stage twice, once to count and once to write.)
     """
     path = f"{work_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # small row groups: what a task holds while it writes
+    df.write.option("parquet.block.size", 8 << 20).option("parquet.page.size", 256 << 10).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._quire_path = path
     return out

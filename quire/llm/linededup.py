@@ -55,6 +55,9 @@ def word_sets(body: np.ndarray, offsets: np.ndarray):
     return mix(tokens + again * np.uint64(0x9E3779B97F4A7C15)), (np.cumsum(some) - 1)[line], row[some], number[some]
 
 
+word_sets.distinct = True
+
+
 def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return docs.withColumns({"__q_id": F.col(doc_id).cast("long"), "__q_tie": F.xxhash64(F.col(text))})
 

@@ -54,7 +54,9 @@ def needed(n: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def sets_of(part: pa.RecordBatch, column: str, extract: Extract):
-    """Distinct (token, item), item rows and numbers, sizes, and two signatures of each item."""
+    """Distinct (token, item) by item, item rows and numbers, sizes, and two signatures of each item.
+
+    An extract with the attribute `distinct` gives each token of an item once by itself."""
     tokens, items, row, number = extract(*buffers(part.column(column)))
     if "wanted" in part.schema.names:  # the item numbers that are wanted of each row
         lists = part.column("wanted")
@@ -64,7 +66,8 @@ def sets_of(part: pa.RecordBatch, column: str, extract: Extract):
         of = keep[items]
         tokens, items = tokens[of], (np.cumsum(keep) - 1)[items[of]]
         row, number = row[keep], number[keep]
-    tokens, items = distinct_per_row(tokens, items)
+    if not getattr(extract, "distinct", False):
+        tokens, items = distinct_per_row(tokens, items)
     size = np.bincount(items, minlength=len(row)).astype(np.int64)
     first = np.concatenate([[0], np.cumsum(size)])
 
@@ -402,7 +405,7 @@ def links(items: DataFrame, classes: DataFrame, extract: Extract, num: int, den:
 # ---- sets whose tokens are mostly common, such as the words of lines ----------------------
 
 #: Hash buckets of the frequency table, and pieces that it is added up in.
-FREQUENCIES, PIECES = 1 << 20, 16
+FREQUENCIES, PIECES = 1 << 22, 64
 SIGNED = "id long, tie long, number int, n long, s1 long, s2 long, piece int, counts binary"
 
 
@@ -412,38 +415,58 @@ def signed(items: DataFrame, extract: Extract) -> DataFrame:
     Rows with `counts` hold pieces of the frequency table instead: how many sets have a
     token of each hash bucket.
     """
-    width = FREQUENCIES // PIECES
+    names = [x.split()[0] for x in SIGNED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(FREQUENCIES, np.int64)
+        total, held, n_held = np.zeros(FREQUENCIES, np.int64), [], 0
         for part in slices(batches, "text", 1 << 18):
             tokens, _, row, number, size, s1, s2 = sets_of(part, "text", extract)
-            total += np.bincount((tokens & np.uint64(FREQUENCIES - 1)).astype(np.int64), minlength=FREQUENCIES)
+            held.append((tokens & np.uint64(FREQUENCIES - 1)).astype(np.int64))
+            n_held += len(tokens)
+            if n_held >= 1 << 21:
+                total += np.bincount(np.concatenate(held), minlength=FREQUENCIES)
+                held, n_held = [], 0
             some = size > 0
             n = int(some.sum())
             own = [part.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[row][some] for c in ("id", "tie")]
             columns = [*map(pa.array, own), pa.array(number[some].astype(np.int32)), pa.array(size[some]), pa.array(s1[some].view(np.int64)), pa.array(s2[some].view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SIGNED.split(", ")])
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=FREQUENCIES)
         if total.any():
             blank = [pa.nulls(PIECES, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())]
-            counts = [x.tobytes() for x in total.reshape(PIECES, width)]
-            yield pa.RecordBatch.from_arrays([*blank, pa.array(range(PIECES), pa.int32()), pa.array(counts, pa.binary())], names=[x.split()[0] for x in SIGNED.split(", ")])
+            counts = [packed_counts(x) for x in total.reshape(PIECES, -1)]
+            yield pa.RecordBatch.from_arrays([*blank, pa.array(range(PIECES), pa.int32()), pa.array(counts, pa.binary())], names=names)
 
     bound_batches(items.sparkSession)
     return items.mapInArrow(lean(run), SIGNED)
 
 
+def packed_counts(counts: np.ndarray) -> bytes:
+    """A byte a count; those of 255 and more follow as (place, count)."""
+    large = np.flatnonzero(counts >= 255)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + np.column_stack([large, counts[large]]).astype(np.int64).tobytes()
+
+
+def unpacked_counts(data: pa.Buffer, width: int) -> np.ndarray:
+    out = np.frombuffer(data, np.uint8, width).astype(np.int64)
+    large = np.frombuffer(data, np.uint8)[width:].tobytes()
+    place, count = np.frombuffer(large, np.int64).reshape(-1, 2).T
+    out[place] = count
+    return out
+
+
 def frequencies(seen: DataFrame) -> np.ndarray:
     """The frequency table of `signed`: a bucket's count is never less than that of one token."""
     width = FREQUENCIES // PIECES
 
     def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in group.column("counts"))
-        return pa.table({"piece": group.column("piece").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+        total = sum(unpacked_counts(x.as_buffer(), width) for x in group.column("counts"))
+        return pa.table({"piece": group.column("piece").slice(0, 1), "counts": pa.array([packed_counts(total)], pa.binary())})
 
-    out = np.zeros((PIECES, width), np.int64)
+    out = np.zeros((PIECES, width), np.int32)
     for r in seen.where("counts IS NOT NULL").select("piece", "counts").groupBy("piece").applyInArrow(add, "piece int, counts binary").collect():
-        out[r["piece"]] = np.frombuffer(r["counts"], np.int64)
+        out[r["piece"]] = np.minimum(unpacked_counts(pa.py_buffer(r["counts"]), width), 2**31 - 1)
     return out.reshape(-1)
 
 
