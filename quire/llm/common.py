@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import glob
 import tempfile
 import uuid
@@ -68,6 +69,12 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle files of plans that are done with: its cleaner goes by the driver's garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(rows: int | None, items: int | None = 0) -> bool:
     """Whether a table of so many narrow rows, with so many 16-byte items in lists, may be broadcast."""
     return ((rows or 0) * 64 + (items or 0) * 16) <= BROADCAST_BYTES

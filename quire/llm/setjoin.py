@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import bound_batches, discard, durable, lean, parallelism, sized
+from quire.llm.common import bound_batches, discard, durable, lean, parallelism, release_shuffles, sized
 from quire.llm.text import buffers, distinct_per_row, mix, ranges, row_order, slices
 
 #: Items of a chunk; their numbers take 16 bits, the last one marks tokens repeated in the chunk.
@@ -397,8 +397,11 @@ def links(items: DataFrame, classes: DataFrame, extract: Extract, num: int, den:
     buckets = estimated_buckets(items, parallelism(items.sparkSession))
     again = profile(first_items(items, classes), extract, num, den, buckets).where("alive").select(F.col("s1").alias("e")).distinct()
     left = durable(classes.join(again, "e", "left_semi"))
+    release_shuffles(items.sparkSession)
     sets = durable(sets_again(items, left, extract))
     rare = durable(ordered(sets, num, den))
+    discard(sets)
+    release_shuffles(items.sparkSession)
     return durable(verified(candidates(rare, num, den), rare, num, den))
 
 
@@ -470,6 +473,10 @@ def frequencies(seen: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
+#: Prefixes are this much longer less one, and two sets must share as many of their prefix tokens.
+SHARED = 3
+
+
 def prefix_tokens(part: pa.RecordBatch, extract: Extract, num: int, den: int, often: np.ndarray):
     """Of each set the tokens of its prefix, rare buckets first: (token, place), of which item; sizes, signatures and parity bits."""
     tokens, owner, _, _, n, s1, _ = sets_of(part, "text", extract)
@@ -484,7 +491,7 @@ def prefix_tokens(part: pa.RecordBatch, extract: Extract, num: int, den: int, of
     place = np.arange(len(tokens)) - np.repeat(starts, n[some])
     # a set so small that only its equals can match is left out
     other = (n * den // num > n) | (needed(n, num, den) < n) | (needed(2 * n, num, num + den) < n)
-    keep = (place < (n - needed(n, num, den) + 1)[owner]) & other[owner] & (df[order] > 1)
+    keep = (place < (n - needed(n, num, den) + SHARED)[owner]) & other[owner] & (df[order] > 1)
     return tokens[order][keep], place[keep], owner[keep], n, s1, bits
 
 
@@ -492,9 +499,12 @@ _PIECE = "bucket int, keys binary, sizes binary, places binary, bits binary, e b
 
 
 def common_pairs(items: DataFrame, extract: Extract, num: int, den: int, often: np.ndarray, buckets: int, split: int = 8192) -> DataFrame:
-    """(x, y, token, df): pairs of different sets that share a prefix token and pass the length, positional
+    """(x, y, token, df): pairs of different sets that share SHARED prefix tokens and pass the length, positional
     and parity filters, found where the tokens' buckets meet; packed, 26 bytes a token.
 
+    Sets that overlap by o share at least SHARED of the first n - o + SHARED tokens of each
+    (all, where o is less), and before the last of these no more than SHARED - 1.
+
     Copies within a chunk are sent once.  Tokens of more than about `split` sets are spread
     over salts: one side of a pair goes to all of them, the other to one.
     """
@@ -518,7 +528,7 @@ def common_pairs(items: DataFrame, extract: Extract, num: int, den: int, often:
             nonlocal held, n_bytes
             token, size, place, bits, e = (np.concatenate([h[i] for h in held]) for i in range(5))
             held, n_bytes = [], 0
-            short = size - needed(2 * size, num, num + den) + 1
+            short = size - needed(2 * size, num, num + den) + SHARED
             hot_tokens, hot_salts = spread.value
             salts = np.ones(len(token), np.int64)
             if len(hot_tokens):
@@ -583,17 +593,26 @@ def common_pairs(items: DataFrame, extract: Extract, num: int, den: int, often:
             j = i + d
             both = size[i] + size[j]
             least = -(-both * num // (num + den))
-            fit = (index[i] | (index[j] & (size[i] == size[j]))) & (np.minimum(size[i] - place[i], size[j] - place[j]) >= least)
+            fit = (index[i] | (index[j] & (size[i] == size[j]))) & (np.minimum(size[i] - place[i], size[j] - place[j]) + SHARED - 1 >= least)
             fit &= np.bitwise_count(bits[i] ^ bits[j]) <= both - 2 * least
             fit &= e[i] != e[j]
             if fit.any():
                 a, b = i[fit], j[fit]
-                found.append((e[b], e[a], key[a], left[a]))
-        x, y, token, df = (np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.uint64) for c in range(4))
-        return pa.table({"x": x.view(np.int64), "y": y.view(np.int64), "token": token.astype(np.int64), "df": df.astype(np.int64)})
+                found.append((e[b], e[a], key[a], left[a], np.where(least[fit] < SHARED, SHARED, 1)))
+        x, y, token, df, shared = (np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.uint64) for c in range(5))
+        # within a bucket once a pair
+        order = np.lexsort((df, y, x))
+        x, y, token, df, shared = (z[order] for z in (x, y, token, df, shared))
+        last = np.ones(len(x), bool)
+        last[:-1] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        total = np.diff(np.concatenate([[0], np.cumsum(shared.astype(np.int64))[last]]))
+        x, y, token, df = (z[last] for z in (x, y, token, df))
+        return pa.table({"x": x.view(np.int64), "y": y.view(np.int64), "token": token.astype(np.int64), "df": df.astype(np.int64), "shared": total})
 
     bound_batches(items.sparkSession)
-    return one_each(items.mapInArrow(lean(send), _PIECE).groupBy("bucket").applyInArrow(meet, "x long, y long, token long, df long"))
+    met = items.mapInArrow(lean(send), _PIECE).groupBy("bucket").applyInArrow(meet, "x long, y long, token long, df long, shared long")
+    pairs = met.groupBy("x", "y").agg(F.max(F.struct("df", "token")).alias("g"), F.sum("shared").alias("shared")).where(F.col("shared") >= SHARED)
+    return pairs.select("x", "y", "g.df", "g.token")
 
 
 def common_links(items: DataFrame, seen: DataFrame, classes: DataFrame, extract: Extract, num: int, den: int, block: int = 128) -> DataFrame:
@@ -602,6 +621,7 @@ def common_links(items: DataFrame, seen: DataFrame, classes: DataFrame, extract:
     that are left go as texts straight to the blocks where they are verified."""
     buckets = estimated_buckets(items, parallelism(items.sparkSession))
     placed = in_blocks(common_pairs(items, extract, num, den, frequencies(seen), buckets), block)
+    release_shuffles(items.sparkSession)
     named = members_of(placed).join(classes.select("e", "n", "first"), "e")
     wanted = named.groupBy(F.col("first.id").alias("_id"), F.col("first.tie").alias("_tie")).agg(F.collect_list(F.struct("first.number", "block", "e", "n")).alias("wanted"))
     wanted = durable(wanted)
