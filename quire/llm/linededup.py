@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from quire.llm import setjoin
-from quire.llm.common import bound_batches, durable, lean, sized
+from quire.llm.common import bound_batches, durable, lean, release_shuffles, sized
 from quire.llm.text import LOWER, SPACED, buffers, mix, prefix_hashes, ranges, slices, span_hashes, words
 
 
@@ -68,6 +68,7 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     seen = durable(setjoin.signed(items, word_sets))
     lines = seen.where("counts IS NULL").drop("piece", "counts")
     classes = durable(setjoin.classes_of(lines))
+    release_shuffles(docs.sparkSession)
     pairs = setjoin.common_links(items, seen, classes, word_sets, num, den)
     both = pairs.union(pairs.select("y", "x")).toDF("e", "other")
     other = both.join(classes.select(F.col("e").alias("other"), F.col("first").alias("rival")), "other").groupBy("e").agg(F.min("rival").alias("rival"))

@@ -317,6 +317,38 @@ def _verify(members: list[tuple[int, int, np.ndarray]], pairs: np.ndarray, num:
 Member = tuple[int, int, np.ndarray]
 
 
+def _verify_together(blocks: list[tuple[list[Member], np.ndarray]], num: int, den: int) -> np.ndarray:
+    """The pairs of several blocks that reach the threshold: tokens of one side are looked up among those of the other."""
+    i, j, sets, pairs = [], [], [], []
+    for members, p in blocks:
+        place = {m[0]: len(sets) + k for k, m in enumerate(members)}
+        i += [place[e] for e in p[:, 0].tolist()]
+        j += [place[e] for e in p[:, 1].tolist()]
+        sets += members
+        pairs.append(p)
+    i, j, p = np.array(i), np.array(j), np.concatenate(pairs)
+    n, size = np.array([m[1] for m in sets]), np.array([len(m[2]) for m in sets])
+    tokens = np.concatenate([m[2] for m in sets]).view(np.uint64)
+    owner = np.repeat(np.arange(len(sets)), size)
+    need = -(-(n[i] + n[j]) * num // (num + den))
+    # suffix filter: tokens in corresponding intervals differ by no more than the allowed distance
+    parts = np.bincount(owner * 8 + (tokens >> np.uint64(61)).astype(np.int64), minlength=8 * len(sets)).reshape(-1, 8)
+    ok = np.flatnonzero(np.minimum(parts[i], parts[j]).sum(axis=1) >= need)
+    order = row_order(tokens, owner)
+    tokens, first = tokens[order], np.cumsum(size) - size
+    key = (owner.astype(np.uint64) << np.uint64(44)) | (tokens >> np.uint64(20))
+    both = np.zeros(len(p), np.int64)
+    step = max(1, (1 << 22) // max(1, int(size.max())))
+    for a in range(0, len(ok), step):
+        own = ok[a : a + step]
+        k = np.repeat(first[i[own]], size[i[own]]) + ranges(size[i[own]])
+        of = np.repeat(np.arange(len(own)), size[i[own]])
+        sought = (np.repeat(j[own], size[i[own]]).astype(np.uint64) << np.uint64(44)) | (tokens[k] >> np.uint64(20))
+        at = np.minimum(np.searchsorted(key, sought), len(key) - 1)
+        both[own] = np.bincount(of[(key[at] == sought) & (tokens[at] == tokens[k])], minlength=len(own))
+    return p[both >= need]
+
+
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, block: int = 128) -> DataFrame:
     """The (x, y) whose Jaccard reaches num/den; each pair is verified once, in one block."""
     placed = in_blocks(pairs, block)
@@ -353,39 +385,52 @@ def verified_blocks(placed: DataFrame, shipped: DataFrame, num: int, den: int, e
         return [(int(a), int(b), tokens[ends[k] : ends[k + 1]].view(np.int64)) for k, (a, b) in enumerate(zip(e, n))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        members: list[Member] = []
+        members: list[Member] = []  # of the block that isn't complete yet
         asked: list[np.ndarray] = []
         now = None
+        sparse: list[tuple[list[Member], np.ndarray]] = []  # blocks of few pairs wait for one another
+        waiting = 0
 
-        def done() -> pa.RecordBatch | None:
-            p = np.concatenate(asked) if asked else np.zeros((0, 2), np.int64)
-            if not len(p):
-                return None
-            p = p[_verify(members, p, num, den)]
-            return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["x", "y"])
+        def found(pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["x", "y"])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal sparse, waiting
+            held, sparse, waiting = sparse, [], 0
+            if held:
+                yield from found(_verify_together(held, num, den))
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal members, asked, waiting
+            own, p = members, np.concatenate(asked) if asked else np.zeros((0, 2), np.int64)
+            members, asked = [], []
+            if len(p) > 2 * len(own):
+                yield from found(p[_verify(own, p, num, den)])
+            elif len(p):
+                sparse.append((own, p))
+                waiting += sum(len(m[2]) for m in own)
+                if waiting > 1 << 19:
+                    yield from flush()
 
         for batch in batches:
             blocks, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             e, n = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             given = np.flatnonzero(kind == 0)
-            found = sets_in(batch.column(4).filter(pa.array(kind == 0)), e[given], n[given])
+            sets = sets_in(batch.column(4).filter(pa.array(kind == 0)), e[given], n[given])
             upto = np.concatenate([[0], np.cumsum(kind == 0)])
             cut = np.flatnonzero(np.diff(blocks)) + 1
             for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(blocks)]):
                 if a == b:
                     continue
                 if now is not None and blocks[a] != now:
-                    out = done()
-                    if out is not None and out.num_rows:
-                        yield out
-                    members, asked = [], []
+                    yield from close()
                 now = blocks[a]
-                members += found[upto[a] : upto[b]]
+                members += sets[upto[a] : upto[b]]
                 m = a + int(upto[b] - upto[a])
                 asked.append(np.column_stack([e[m:b], n[m:b]]))
-        out = done()
-        if out is not None and out.num_rows:
-            yield out
+        yield from close()
+        yield from flush()
 
     return stream.mapInArrow(lean(run), "x long, y long")
 
@@ -475,6 +520,8 @@ def frequencies(seen: DataFrame) -> np.ndarray:
 
 #: Prefixes are this much longer less one, and two sets must share as many of their prefix tokens.
 SHARED = 3
+#: Sizes from here on are sent as this.
+LONG = 65_535
 
 
 def prefix_tokens(part: pa.RecordBatch, extract: Extract, num: int, den: int, often: np.ndarray):
@@ -500,7 +547,7 @@ _PIECE = "bucket int, keys binary, sizes binary, places binary, bits binary, e b
 
 def common_pairs(items: DataFrame, extract: Extract, num: int, den: int, often: np.ndarray, buckets: int, split: int = 8192) -> DataFrame:
     """(x, y, token, df): pairs of different sets that share SHARED prefix tokens and pass the length, positional
-    and parity filters, found where the tokens' buckets meet; packed, 26 bytes a token.
+    and parity filters, found where the tokens' buckets meet; packed, 23 bytes a token.
 
     Sets that overlap by o share at least SHARED of the first n - o + SHARED tokens of each
     (all, where o is less), and before the last of these no more than SHARED - 1.
@@ -545,8 +592,8 @@ def common_pairs(items: DataFrame, extract: Extract, num: int, den: int, often:
             fresh = np.ones(len(key), bool)
             fresh[1:] = (key[1:] != key[:-1]) | (e[1:] != e[:-1])
             order, key, e, which = order[fresh], key[fresh], e[fresh], which[fresh].astype(np.int64)
-            size, bits = size[order].astype(np.uint32), bits[order]
-            place = (np.minimum(place[order], 32_767) | np.where(index[order], 1 << 15, 0)).astype(np.uint16)
+            size, bits = np.minimum(size[order], LONG).astype(np.uint16), bits[order]
+            place = (np.minimum(place[order], 127) | np.where(index[order], 128, 0)).astype(np.uint8)
             cut = np.flatnonzero(np.diff(which, prepend=-1))
             ends = np.append(cut[1:], len(which))
             low = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -564,7 +611,7 @@ def common_pairs(items: DataFrame, extract: Extract, num: int, den: int, often:
 
     def meet(group: pa.Table) -> pa.Table:
         read = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in group.column(name)])
-        key, size, place, bits, e = read("keys", np.uint32), read("sizes", np.uint32).astype(np.int64), read("places", np.uint16), read("bits", np.uint64), read("e", np.uint64)
+        key, size, place, bits, e = read("keys", np.uint32), read("sizes", np.uint16).astype(np.int64), read("places", np.uint8), read("bits", np.uint64), read("e", np.uint64)
         # tokens of one set alone go first, copies next
         order = np.argsort(key)
         k = key[order]
@@ -577,8 +624,8 @@ def common_pairs(items: DataFrame, extract: Extract, num: int, den: int, often:
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (e[1:] != e[:-1]) | (size[1:] != size[:-1])
         # an indexed row of a set stands for its copies
-        index = np.bitwise_or.reduceat(place >> 15, np.flatnonzero(fresh)).astype(bool) if len(key) else fresh
-        key, size, place, bits, e = (x[fresh] for x in (key, size, place & 0x7FFF, bits, e))
+        index = np.bitwise_or.reduceat(place >> 7, np.flatnonzero(fresh)).astype(bool) if len(key) else fresh
+        key, size, place, bits, e = (x[fresh] for x in (key, size, place & 127, bits, e))
         place = place.astype(np.int64)
         found: list[tuple[np.ndarray, ...]] = []
         run = np.searchsorted(key, key)
@@ -587,7 +634,7 @@ def common_pairs(items: DataFrame, extract: Extract, num: int, den: int, often:
         for d in range(1, len(key)):
             i = i[i + d < len(key)]
             j = i + d
-            i = i[(key[i] == key[j]) & (size[j] * num <= size[i] * den)]
+            i = i[(key[i] == key[j]) & ((size[j] * num <= size[i] * den) | (size[j] == LONG))]
             if not len(i):
                 break
             j = i + d
@@ -595,10 +642,11 @@ def common_pairs(items: DataFrame, extract: Extract, num: int, den: int, often:
             least = -(-both * num // (num + den))
             fit = (index[i] | (index[j] & (size[i] == size[j]))) & (np.minimum(size[i] - place[i], size[j] - place[j]) + SHARED - 1 >= least)
             fit &= np.bitwise_count(bits[i] ^ bits[j]) <= both - 2 * least
+            fit |= size[j] == LONG  # such sets are verified without these filters
             fit &= e[i] != e[j]
             if fit.any():
                 a, b = i[fit], j[fit]
-                found.append((e[b], e[a], key[a], left[a], np.where(least[fit] < SHARED, SHARED, 1)))
+                found.append((e[b], e[a], key[a], left[a], np.where((least[fit] < SHARED) | (size[b] == LONG), SHARED, 1)))
         x, y, token, df, shared = (np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.uint64) for c in range(5))
         # within a bucket once a pair
         order = np.lexsort((df, y, x))
@@ -607,12 +655,13 @@ def common_pairs(items: DataFrame, extract: Extract, num: int, den: int, often:
         last[:-1] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
         total = np.diff(np.concatenate([[0], np.cumsum(shared.astype(np.int64))[last]]))
         x, y, token, df = (z[last] for z in (x, y, token, df))
-        return pa.table({"x": x.view(np.int64), "y": y.view(np.int64), "token": token.astype(np.int64), "df": df.astype(np.int64), "shared": total})
+        met = np.minimum(df.astype(np.int64), 2**31 - 1) << 32 | token.astype(np.int64)
+        return pa.table({"x": x.view(np.int64), "y": y.view(np.int64), "met": met, "shared": total.astype(np.int32)})
 
     bound_batches(items.sparkSession)
-    met = items.mapInArrow(lean(send), _PIECE).groupBy("bucket").applyInArrow(meet, "x long, y long, token long, df long, shared long")
-    pairs = met.groupBy("x", "y").agg(F.max(F.struct("df", "token")).alias("g"), F.sum("shared").alias("shared")).where(F.col("shared") >= SHARED)
-    return pairs.select("x", "y", "g.df", "g.token")
+    met = items.mapInArrow(lean(send), _PIECE).groupBy("bucket").applyInArrow(meet, "x long, y long, met long, shared int")
+    pairs = met.groupBy("x", "y").agg(F.max("met").alias("met"), F.sum("shared").alias("shared")).where(F.col("shared") >= SHARED)
+    return pairs.select("x", "y", F.shiftright("met", 32).alias("df"), F.col("met").alias("token"))
 
 
 def common_links(items: DataFrame, seen: DataFrame, classes: DataFrame, extract: Extract, num: int, den: int, block: int = 128) -> DataFrame:
