@@ -33,10 +33,19 @@ def is_roman(c: Column) -> Column:
 
 
 def numbering_depth(c: Column) -> Column:
-    """Depth of a heading's number: `5.` 1, `5.3` 2, `B.1` 2, `IV.` 1; null without one."""
-    first = F.regexp_extract(c, r"^\s*((?:[0-9]{1,3}|[A-Z])(?:\.[0-9]{1,3})*\.?|[IVXLCDM]{1,5}\.)\s+\S", 1)
-    core = F.regexp_replace(first, r"\.$", "")
-    return F.when((first == "") | (core.rlike("^[A-Z]$") & ~first.endswith(".")), None).otherwise(F.size(F.split(core, r"\.")))
+    """Depth of a heading's number: `5.` 1, `5.3` 2, `B.1` 2, `IV.` 1, `01 - ` 1; null without one.
+
+    Numbers go to 99 and six levels deep; what follows must begin with a capital letter and
+    be no sentence.  A letter or roman number alone needs its dot.
+    """
+    head = F.regexp_extract(c, r"^([0-9A-Za-z.]+)", 1)
+    rest = F.regexp_extract(c, r"(?s)^[0-9A-Za-z.]+[ \t\-–—)]*\s*(.*)$", 1)
+    parts = F.filter(F.split(head, r"\."), lambda p: p != "")
+    number, name = r"^0*[0-9]{1,2}$", "^(?:[IVXLCDM]{1,5}|[A-Z])$"
+    sound = (F.size(parts) >= 1) & (F.size(parts) <= 6) & F.forall(parts, lambda p: p.rlike(number) | p.rlike(name))
+    sentence = rest.endswith(".") & (F.size(F.split(F.trim(rest), r"\s+")) >= 4)
+    bare_name = (F.size(parts) == 1) & head.rlike("^[A-Z]") & ~head.contains(".")
+    return F.when(sound & rest.rlike(r"^\p{Lu}") & ~sentence & ~bare_name, F.size(parts))
 
 
 def is_title_like(c: Column) -> Column:
@@ -85,9 +94,13 @@ def is_spaceless_script(c: Column) -> Column:
 
 
 def is_numeric_cell(c: Column) -> Column:
-    """Digits in currency, percent or bracket dress; years 1900 to 2099 aren't numbers."""
-    bare = F.regexp_replace(F.trim(c), r"[\s$€£¥%(),.+\-–−*]", "")
-    return bare.rlike("^[0-9]+$") & ~F.trim(c).rlike("^(?:19|20)[0-9]{2}$")
+    """Digits in currency, percent, sign or bracket dress; years 1900 to 2099 aren't numbers."""
+    return c.rlike(r"^[0-9$€£¥%,.()\-+ −]+$") & c.rlike("[0-9]") & ~c.rlike("^(?:19|20)[0-9]{2}$")
+
+
+def is_value_cell(c: Column) -> Column:
+    """Digits and no letters."""
+    return c.rlike("[0-9]") & ~c.rlike(r"\p{L}")
 
 
 def values(c: Column) -> Column:
@@ -112,7 +125,7 @@ def escaped(c: Column) -> Column:
 
 
 def markdown_cell(c: Column) -> Column:
-    return F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+    return F.translate(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")), "\r\n", "  ")
 
 
 def is_refusal(c: Column) -> Column:

@@ -104,8 +104,11 @@ def chunks(e: DataFrame, max_chars: int = 1500) -> DataFrame:
         out: list[tuple] = []
         path: list[str] = []
         body: list = []
+        size = 0
 
         def close() -> None:
+            nonlocal size
+            size = 0
             if body:
                 out.append((key[0], len(out) + 1, list(path), "\n\n".join(r.text for r in body), body[0].seq, body[-1].seq, sorted({r.page for r in body})))
                 body.clear()
@@ -116,7 +119,8 @@ def chunks(e: DataFrame, max_chars: int = 1500) -> DataFrame:
                 path[(int(r.level) if r.level == r.level and r.level else 1) - 1 :] = [r.text]
             else:
                 body.append(r)
-                if sum(len(x.text) for x in body) >= max_chars:
+                size += len(r.text)
+                if size >= max_chars:
                     close()
         close()
         return pd.DataFrame(out, columns=[f.split()[0] for f in CHUNK.split(", ")])
@@ -137,8 +141,7 @@ def span_hits(e: DataFrame, pattern: str) -> DataFrame:
         sought = re.compile(pattern)
         return texts.map(lambda t: [{"hit": m.group(), "at": m.start()} for m in sought.finditer(t or "")])
 
-    # only documents' texts that can match reach Python
-    p = offsets(e).where("begin IS NOT NULL").where(F.col("projected").rlike(pattern))
+    p = offsets(e).where("begin IS NOT NULL")
     found = p.select("doc_id", "seq", "begin", F.explode(find("projected")).alias("h"))
     return found.select("doc_id", "seq", F.col("h.hit").alias("hit"), (F.col("begin") + F.col("h.at")).alias("begin"), (F.col("begin") + F.col("h.at") + F.length("h.hit")).alias("end"))
 

@@ -1,4 +1,4 @@
-"""Operators over positioned text: glyphs to lines, columns, running lines, blocks, headings, links, routes.
+"""Operators over positioned text: overprint, running lines, leading, blocks, links, routes; lines are in `lines`.
 
 Tables are keyed by (doc_id, page).  What can be said with windows and aggregates is;
 anchored clustering runs as one grouped pass over a page.
@@ -6,14 +6,12 @@ anchored clustering runs as one grouped pass over a page.
 
 from __future__ import annotations
 
-import math
-import unicodedata
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import digits_as_hash, is_title_like, normal_title, numbering_depth
+from quire.functions.text import digits_as_hash
 
 PAGE = ["doc_id", "page"]
 
@@ -35,131 +33,50 @@ def classify_path(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
 
 def without_overprint(glyphs: DataFrame, window: int = 8) -> DataFrame:
     """Drops glyphs printed again over one of the `window` before them: same text, page and rotation,
-    a shift below a quarter of the advance across and 0.3 of the height down."""
-    w = Window.partitionBy(*PAGE).orderBy("draw_index")
-    twice = F.lit(False)
-    for k in range(1, window + 1):
-        p = {c: F.lag(c, k).over(w) for c in ("text", "x0", "y0", "y1", "advance", "rotation_deg")}
-        height = p["y1"] - p["y0"]
-        across = F.when(p["advance"] > 0, 0.25 * p["advance"]).otherwise(0.3 * height)
-        twice = twice | F.coalesce((p["text"] == F.col("text")) & (p["rotation_deg"] == F.col("rotation_deg")) & (F.abs(F.col("x0") - p["x0"]) < across) & (F.abs(F.col("y0") - p["y0"]) < 0.3 * height), F.lit(False))
-    return glyphs.withColumn("__twice", twice).where("NOT __twice").drop("__twice")
-
-
-LINE = "doc_id long, page int, line int, text string, x0 double, y0 double, x1 double, y1 double, size double, bold boolean, rotation int, col int"
-
-
-def gutters(boxes: list[tuple[float, float, float]], size: float) -> list[float]:
-    """Middles of the blank strips that part a page's columns; boxes are (x0, x1, y)."""
-    if len(boxes) < 20:
-        return []
-    left, right = min(b[0] for b in boxes), max(b[1] for b in boxes)
-    n = max(1, math.ceil((right - left) / 2))
-    rows: dict[int, set[int]] = {}
-    for x0, x1, y in boxes:
-        rows.setdefault(int(y // max(size, 1)), set()).update(range(int((x0 - left) // 2), min(n - 1, int((x1 - left - 1e-9) // 2)) + 1))
-    order = sorted(rows)
-    if len(order) < 8:
-        return []
-    clear = []
-    for b in range(n):
-        empty = [b not in rows[r] for r in order]
-        run = best = 0
-        for e in empty:
-            run = run + 1 if e else 0
-            best = max(best, run)
-        clear.append(sum(empty) >= 0.9 * len(order) or best >= 0.75 * len(order))
-    cuts, b = [], 0
-    while b < n:
-        if clear[b]:
-            e = b
-            while e < n and clear[e]:
-                e += 1
-            if b > 0 and e < n and (e - b) * 2 > 0.012 * (right - left):
-                cuts.append(left + b + e)
-            b = e
-        else:
-            b += 1
-    kept: list[float] = []
-    for c in cuts:
-        if c - (kept[-1] if kept else left) >= 0.15 * (right - left) and right - c >= 0.15 * (right - left):
-            kept.append(c)
-    return kept
-
-
-def lines(glyphs: DataFrame, space: float = 0.2) -> DataFrame:
-    """Lines of text in reading order, column by column.
-
-    Rows are clustered by baseline, anchored at their first glyph (0.3 of the larger
-    size); a gap of more than 1.5 sizes ends a line; a pen gap above `space` sizes is a
-    space.  One grouped pass per page.
-    """
-
-    def run(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        inked = page[page["text"].str.strip() != ""]
-        sizes = sorted(inked["font_size"])
-        cuts = gutters(list(zip(inked["x0"], inked["x1"], inked["y0"])), sizes[len(sizes) // 2]) if sizes else []
-        page = page.assign(col=[sum(x >= c for c in cuts) for x in page["origin_x"]], rot=(page["rotation_deg"] / 15).round().astype(int) * 15)
-        for (_, col), part in page.sort_values(["origin_y", "origin_x", "draw_index"]).groupby(["rot", "col"], sort=True):
-            rows: list[list] = []
-            for g in part.itertuples():
-                if rows and abs(g.origin_y - rows[-1][0].origin_y) < 0.3 * max(g.font_size, rows[-1][0].font_size):
-                    rows[-1].append(g)
-                else:
-                    rows.append([g])
-            for row in rows:
-                row.sort(key=lambda g: (g.origin_x, g.draw_index))
-                run_: list = []
-
-                def close() -> None:
-                    ink = [g for g in run_ if g.x0 == g.x0 and g.text.strip()]
-                    if not ink:
-                        run_.clear()
-                        return
-                    text, before = "", None
-                    for g in run_:
-                        if before is not None and g.origin_x - (before.origin_x + before.advance) > space * g.font_size and not text.endswith(" ") and g.text != " ":
-                            text += " "
-                        text += g.text
-                        before = g
-                    s = sorted(g.font_size for g in ink)
-                    weighed = [g for g in ink if g.weight]
-                    bold = sum(g.weight >= 600 for g in weighed) * 2 > len(weighed)
-                    out.append((key[0], key[1], len(out) + 1, unicodedata.normalize("NFKC", text.strip()), min(g.x0 for g in ink), min(g.y0 for g in ink), max(g.x1 for g in ink), max(g.y1 for g in ink), s[len(s) // 2], bold, int(ink[0].rot), int(col)))
-                    run_.clear()
-
-                last = None
-                for g in row:
-                    if g.x0 == g.x0 and g.text.strip():
-                        if last is not None and g.x0 - last.x1 > 1.5 * g.font_size and not any(r.text == " " for r in run_[-1:]):
-                            close()
-                        last = g
-                    run_.append(g)
-                close()
-        return pd.DataFrame(out, columns=[c.split()[0] for c in LINE.split(", ")])
-
-    return glyphs.groupBy(*PAGE).applyInPandas(run, LINE)
-
-
-def furniture(found: DataFrame, share: float = 0.3, least: int = 3, tolerance: float = 0.02) -> DataFrame:
+    a shift below a quarter of the earlier one's advance across (0.3 of the height, if it has none)
+    and 0.3 of the height down.  Dropped glyphs are not compared with later ones."""
+
+    def run(page: pd.DataFrame) -> pd.DataFrame:
+        page = page.sort_values("draw_index", kind="stable")
+        text = page["text"].to_numpy(object)
+        rotation = np.round(page["rotation_deg"].fillna(0).to_numpy(float) / 15)
+        x, y, bottom, advance = (page[c].to_numpy(float) for c in ("x0", "y0", "y1", "advance"))
+        height = bottom - y
+        over = np.zeros((window, len(page)), bool)
+        with np.errstate(invalid="ignore"):
+            for k in range(1, min(window, len(page) - 1) + 1):
+                tall = np.fmax(height[k:], height[:-k])
+                across = np.where(advance[:-k] > 0, 0.25 * advance[:-k], 0.3 * tall)
+                over[k - 1, k:] = (text[k:] == text[:-k]) & (rotation[k:] == rotation[:-k]) & (np.abs(x[k:] - x[:-k]) < across) & (np.abs(y[k:] - y[:-k]) < 0.3 * tall)
+        keep = np.ones(len(page), bool)
+        for i in np.flatnonzero(over.any(axis=0)).tolist():
+            keep[i] = not any(over[k - 1, i] and keep[i - k] for k in range(1, window + 1))
+        return page[keep]
+
+    return glyphs.groupBy(*PAGE).applyInPandas(run, glyphs.schema)
+
+
+def furniture(found: DataFrame, share: float = 0.3, least: int = 3, tolerance: float = 0.02, pages: DataFrame | None = None) -> DataFrame:
     """Lines that run through a document, with `role`: PageNumber, Header, Footer or Watermark.
 
     `found`: doc_id, page, line, text, rel_y (top over page height).  Lines near the edges
     are told by their text with digits as one sign; others by their text.  A group must
-    hold on enough pages, at a steady height.
+    hold on enough pages, at a steady height.  `pages`: doc_id, page of all pages, if some
+    have no lines.
     """
     edge = (F.col("rel_y") < 0.18) | (F.col("rel_y") > 0.82)
-    keyed = found.withColumn("sign", F.when(edge, digits_as_hash(F.col("text"))).otherwise(F.col("text")))
-    pages = found.groupBy("doc_id").agg(F.countDistinct("page").alias("pages")).where(F.col("pages") >= least)
+    keyed = found.withColumn("sign", F.when(edge, digits_as_hash(F.col("text"))).otherwise(F.col("text"))).where("trim(sign) <> ''")
+    count = (found if pages is None else pages).groupBy("doc_id").agg(F.countDistinct("page").alias("pages")).where(F.col("pages") >= least)
     need = F.greatest(F.ceil(F.col("pages") * share), F.lit(least))
-    groups = keyed.groupBy("doc_id", "sign").agg(F.countDistinct("page").alias("on"), upper_median(F.col("rel_y")).alias("middle"), F.countDistinct("text").alias("texts")).join(pages, "doc_id").where(F.col("on") >= need)
-    steady = keyed.join(groups, ["doc_id", "sign"]).where(F.abs(F.col("rel_y") - F.col("middle")) <= tolerance)
-    enough = steady.groupBy("doc_id", "sign").agg(F.count("*").alias("steady"), F.countDistinct("page").alias("__pages"))
+    once = keyed.groupBy("doc_id", "sign", "page").agg(F.count("*").alias("__times"))
+    repeated = once.groupBy("doc_id", "sign").agg((F.max("__times") > 1).alias("__twice"))
+    groups = keyed.groupBy("doc_id", "sign").agg(F.countDistinct("page").alias("on"), upper_median(F.col("rel_y")).alias("middle"), F.countDistinct("text").alias("texts")).join(count, "doc_id").where(F.col("on") >= need).join(repeated, ["doc_id", "sign"])
+    steady = keyed.join(groups, ["doc_id", "sign"]).where(F.abs(F.col("rel_y") - F.col("middle")) < tolerance)
+    enough = steady.groupBy("doc_id", "sign").agg(F.count("*").alias("steady"))
     role = F.when(F.col("sign").contains("#") & (F.col("texts") > 1), "PageNumber").when(F.col("middle") < 0.18, "Header").when(F.col("middle") > 0.82, "Footer").otherwise("Watermark")
     named = steady.join(enough, ["doc_id", "sign"]).where(F.col("steady") >= need).withColumn("role", role)
     # a mark in the body that a page holds twice is content
-    return named.where((F.col("role") != "Watermark") | (F.col("steady") == F.col("__pages"))).select("doc_id", "page", "line", "text", "role")
+    return named.where((F.col("role") != "Watermark") | ~F.col("__twice")).select("doc_id", "page", "line", "text", "role")
 
 
 def modal_leading(found: DataFrame) -> DataFrame:
@@ -190,28 +107,6 @@ def blocks(found: DataFrame, leading: DataFrame) -> DataFrame:
     return f.groupBy(*PAGE, "block").agg(F.regexp_replace(text, r"(?<=\p{L})- (?=\p{Ll})", "").alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max("size").alias("size"), F.max("bold").alias("bold"), F.count("*").alias("n_lines"))
 
 
-def headings(found: DataFrame, body: DataFrame, outline: DataFrame | None = None) -> DataFrame:
-    """Blocks with `evidence` and `level` of those that are headings.
-
-    First match: an outline entry of the same title, a number, bold, a size above 1.15 of
-    the body's.  Bold and size headings get their level by rank of their style.
-    """
-    f = found.join(body, "doc_id", "left").withColumn("__title", normal_title(F.col("text")))
-    if outline is not None:
-        o = outline.groupBy("doc_id", normal_title(F.col("title")).alias("__title")).agg(F.min("level").alias("outline_level"))
-        f = f.join(o, ["doc_id", "__title"], "left")
-    else:
-        f = f.withColumn("outline_level", F.lit(None).cast("int"))
-    shaped = is_title_like(F.col("text"))
-    depth = numbering_depth(F.col("text"))
-    evidence = F.when(F.col("outline_level").isNotNull(), "outline").when(~shaped | (F.length("text") > 200), None).when(depth.isNotNull(), "numbering").when(F.col("bold") & (F.length("text") <= 90) & (F.col("n_lines") <= 2), "bold").when(F.col("size") > 1.15 * F.col("body"), "font-size")
-    f = f.withColumn("evidence", evidence)
-    style = F.struct((-F.round(F.col("size") * 4)).alias("s"), (~F.col("bold")).alias("b"), (F.upper("text") != F.col("text")).alias("c"))
-    rank = F.dense_rank().over(Window.partitionBy("doc_id", F.col("evidence").isin("bold", "font-size")).orderBy(style))
-    level = F.when(F.col("evidence") == "outline", F.col("outline_level")).when(F.col("evidence") == "numbering", F.least(depth, F.lit(6))).when(F.col("evidence").isNotNull(), F.least(rank, F.lit(6)))
-    return f.withColumn("level", level).drop("__title", "outline_level", "body")
-
-
 def cover(ax0, ay0, ax1, ay1, bx0, by0, bx1, by1) -> Column:
     """Share of box a that box b covers."""
     c = F.col

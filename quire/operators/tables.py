@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import is_numeric_cell
+from quire.functions.text import is_numeric_cell, is_value_cell
 from quire.schema import TABLE
 
 CELL = ["doc_id", "seq", "row", "col"]
@@ -69,7 +69,7 @@ def header_rows(g: DataFrame) -> DataFrame:
     A column counts as numeric if more than half of its filled data cells are numbers.
     """
     filled = F.trim("value") != ""
-    number = is_numeric_cell(F.col("value")) & filled
+    number = is_numeric_cell(F.trim("value")) & filled
     column = g.groupBy("doc_id", "seq", "col").agg(F.max("row").alias("last"), F.max(F.when(F.col("row") == 0, number)).alias("first_number"), F.max(F.when(F.col("row") == 0, filled)).alias("first_filled"), F.sum(F.when((F.col("row") > 0) & number, 1).otherwise(0)).alias("numbers"), F.sum(F.when((F.col("row") > 0) & filled, 1).otherwise(0)).alias("cells"))
     numeric = (F.col("cells") > 0) & (F.col("numbers") * 2 > F.col("cells"))
     t = column.groupBy("doc_id", "seq").agg(F.max("last").alias("last"), F.sum(numeric.cast("int")).alias("numeric"), F.sum((numeric & F.col("first_number")).cast("int")).alias("both"), F.max("first_filled").alias("filled"))
@@ -78,7 +78,7 @@ def header_rows(g: DataFrame) -> DataFrame:
 
 def crammed_columns(g: DataFrame) -> DataFrame:
     """Columns whose cells hold one value in some rows and three or more in others."""
-    digits = F.col("value").rlike("[0-9]") & ~F.col("value").rlike(r"\p{L}")
+    digits = is_value_cell(F.col("value"))
     pieces = F.size(F.split(F.trim("value"), r"\s+"))
     filled = F.trim("value") != ""
     c = g.groupBy("doc_id", "seq", "col").agg(F.sum(filled.cast("int")).alias("filled"), F.sum((filled & digits).cast("int")).alias("values"), F.max(filled & digits & (pieces == 1)).alias("single"), F.max(filled & digits & (pieces >= 3)).alias("several"))

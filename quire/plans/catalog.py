@@ -11,6 +11,7 @@ from quire.functions.text import is_numeric_cell, markdown_cell, numbering_depth
 from quire.operators import elements as el
 from quire.operators import evidence as ev
 from quire.operators import layout as ly
+from quire.operators import lines as ln
 from quire.operators import tables as tb
 from quire.sources.html import read_html
 from quire.sources.markdown import read_markdown
@@ -242,7 +243,7 @@ def markdown_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tb.pivoted(tb.table_cells(read_markdown(_customer_markdown(spark, sf_dir))), 2).select("doc_id", "row_index", F.col("c0").alias("name"), F.col("c1").alias("custkey"))
 
 
-_NUMBER = r"regexp_matches(regexp_replace(v, '[\s$€£¥%(),.+\-–−*]', '', 'g'), '^[0-9]+$') AND NOT regexp_matches(v, '^(?:19|20)[0-9]{2}$')"
+_NUMBER = r"regexp_matches(v, '^[0-9$€£¥%,.()\-+ −]+$') AND regexp_matches(v, '[0-9]') AND NOT regexp_matches(v, '^(?:19|20)[0-9]{2}$')"
 
 
 @query(f"""
@@ -315,7 +316,7 @@ l AS (SELECT item_id, i, trim(substring(t, i * 80 + 1, 80)) AS line FROM (SELECT
 SELECT item_id AS doc_id, row_number() OVER (PARTITION BY item_id ORDER BY i)::INT AS line, line AS text FROM l WHERE line <> ''
 """)
 def glyph_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ly.lines(_glyphs(spark, sf_dir)).select("doc_id", "line", "text")
+    return ln.lines(_glyphs(spark, sf_dir)).select("doc_id", "line", "text")
 
 
 @query(r"SELECT item_id AS doc_id, length(replace(regexp_replace(text, '\s+', ' ', 'g'), ' ', '')) AS inked FROM benchmark")

@@ -5,6 +5,7 @@ import zipfile
 
 from quire.operators import elements as el
 from quire.operators import layout as ly
+from quire.operators import lines as ln
 from quire.sources import html, markdown, office
 
 
@@ -129,7 +130,7 @@ def test_columns_are_read_one_after_the_other(spark):
                 box = (None,) * 4 if ch == " " else (x, y - 8, x + 6, y)
                 rows.append((1, 0, len(rows), ch, *box, x, y, 10.0, 6.0, 400, 0.0))
     g = spark.createDataFrame(rows, "doc_id long, page int, draw_index int, text string, x0 double, y0 double, x1 double, y1 double, origin_x double, origin_y double, font_size double, advance double, weight int, rotation_deg double")
-    lines = ly.lines(g)
+    lines = ln.lines(g)
     assert [r["text"] for r in lines.orderBy("line").collect()] == [f"{s}{i} word" for s in "lr" for i in range(10)]
     lead = ly.modal_leading(lines)
     assert abs(lead.first()["leading"] - 1.2) < 0.05
