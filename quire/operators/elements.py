@@ -295,5 +295,9 @@ def evidence_counts(e: DataFrame) -> DataFrame:
 
 
 def replace_documents(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Retract then insert: rows of documents that `new` holds are replaced by its own."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
+    """Retract then insert: rows of documents that `new` holds are replaced by its own.
+
+    Rows of `new` without a type only retract: the document has become empty.
+    """
+    own = new.where("type IS NOT NULL") if "type" in new.columns else new
+    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(own, allowMissingColumns=True)

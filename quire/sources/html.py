@@ -82,21 +82,31 @@ def tree(source: str) -> Node:
     return parser.root
 
 
-def _gather(node: Node, out: list[str], anchors: list[tuple[int, int, str]], size: int, spaced=_SPACED, stop=frozenset()) -> int:
-    """Appends the node's text to `out`; returns the size so far.  `spaced` None: before every child."""
-    for child in node.children:
-        if isinstance(child, str):
+def _gather(node: Node, out: list[str], anchors: list[tuple[int, int, str]], spaced=_SPACED, stop=frozenset()) -> None:
+    """Appends the node's text to `out`, and its anchors' ranges.  `spaced` None: a blank before every child.
+
+    A stack instead of recursion: pages may be nested as deep as they like.
+    """
+    size = 0
+    todo: list = [iter(node.children)]
+    opened: list[tuple[int, str | None]] = [(0, None)]
+    while todo:
+        child = next(todo[-1], None)
+        if child is None:
+            todo.pop()
+            start, href = opened.pop()
+            if href:
+                anchors.append((start, size, href))
+        elif isinstance(child, str):
             out.append(child)
             size += len(child)
         elif child.tag not in HIDDEN and child.tag not in stop:
             if spaced is None or child.tag in spaced:
                 out.append(" ")
                 size += 1
-            start, size = size, _gather(child, out, anchors, size)
-            href = child.attrs.get("href")
-            if child.tag == "a" and href and href.strip():
-                anchors.append((start, size, href))
-    return size
+            href = child.attrs.get("href") if child.tag == "a" else None
+            todo.append(iter(child.children))
+            opened.append((size, href if href and href.strip() else None))
 
 
 def squeezed(raw: str, anchors: list[tuple[int, int, str]]) -> tuple[str, list[dict]]:
@@ -128,23 +138,33 @@ def text_of(node: Node, item: bool = False) -> tuple[str, list[dict]]:
     out: list[str] = []
     anchors: list[tuple[int, int, str]] = []
     if item:
-        _gather(node, out, anchors, 0, None, frozenset(("ul", "ol", "table")))
+        _gather(node, out, anchors, None, frozenset(("ul", "ol", "table")))
     else:
-        _gather(node, out, anchors, 0)
+        _gather(node, out, anchors)
     return squeezed("".join(out), anchors)
 
 
 def _rows(node: Node) -> list[Node]:
-    found = []
-    for child in node.children:
-        if not isinstance(child, str) and child.tag != "table":
-            found += [child] if child.tag == "tr" else _rows(child)
+    found, todo = [], [iter(node.children)]
+    while todo:
+        child = next(todo[-1], None)
+        if child is None:
+            todo.pop()
+        elif not isinstance(child, str) and child.tag != "table":
+            if child.tag == "tr":
+                found.append(child)
+            else:
+                todo.append(iter(child.children))
     return found
 
 
+#: Browsers' bounds of colspan and rowspan.
+MOST_SPAN = {"colspan": 1_000, "rowspan": 65_534}
+
+
 def _span(node: Node, name: str) -> int:
     value = (node.attrs.get(name) or "").strip()
-    return max(int(value), 1) if re.fullmatch(r"\+?[0-9]{1,9}", value) else 1
+    return min(max(int(value), 1), MOST_SPAN[name]) if re.fullmatch(r"\+?[0-9]{1,9}", value) else 1
 
 
 def table_of(node: Node) -> dict | None:
@@ -180,27 +200,28 @@ def table_of(node: Node) -> dict | None:
     return table(grid, header, down, left)
 
 
-def _walk(node: Node, out: list[dict]) -> None:
-    tag = node.tag
-    if tag in HIDDEN:
-        return
-    if tag == "table":
-        found = table_of(node)
-        out += [found] if found else []
-        return
-    heading = _HEADING.match(tag)
-    if heading or tag in _BLOCKS:
-        text, links = text_of(node)
-        if text:
-            out.append(element(TITLE, text, int(heading[1]), links) if heading else element(PARAGRAPH, text, None, links))
-        return
-    if tag == "li":
-        text, links = text_of(node, item=True)
-        if text:
-            out.append(element(ITEM, text, None, links))
-    for child in node.children:
-        if not isinstance(child, str) and (tag != "li" or child.tag in ("ul", "ol", "table")):
-            _walk(child, out)
+def _walk(root: Node, out: list[dict]) -> None:
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        tag = node.tag
+        if tag in HIDDEN:
+            continue
+        if tag == "table":
+            found = table_of(node)
+            out += [found] if found else []
+            continue
+        heading = _HEADING.match(tag)
+        if heading or tag in _BLOCKS:
+            text, links = text_of(node)
+            if text:
+                out.append(element(TITLE, text, int(heading[1]), links) if heading else element(PARAGRAPH, text, None, links))
+            continue
+        if tag == "li":
+            text, links = text_of(node, item=True)
+            if text:
+                out.append(element(ITEM, text, None, links))
+        todo += [c for c in reversed(node.children) if not isinstance(c, str) and (tag != "li" or c.tag in ("ul", "ol", "table"))]
 
 
 def parse(source: str) -> list[dict]:
@@ -209,5 +230,5 @@ def parse(source: str) -> list[dict]:
     return out
 
 
-def read_html(pages: DataFrame, html: str = "html", doc_id: str = "page_id") -> DataFrame:
-    return read_elements(pages, html, doc_id, parse, "html")
+def read_html(pages: DataFrame, html: str = "html", doc_id: str = "page_id", keep_empty: bool = False) -> DataFrame:
+    return read_elements(pages, html, doc_id, parse, "html", keep_empty=keep_empty)

@@ -87,6 +87,15 @@ def inline(text: str, references: dict[str, str]) -> tuple[str, list[dict]]:
     size = i = 0
     n = len(text)
     literal = emphasis(text)
+    # the bracket that closes each one that opens
+    partner: dict[int, int] = {}
+    opened: list[int] = []
+    for k, ch in enumerate(text):
+        if ch in "[]" and (k == 0 or text[k - 1] != "\\"):
+            if ch == "[":
+                opened.append(k)
+            elif opened:
+                partner[opened.pop()] = k
 
     def put(s: str) -> None:
         nonlocal size
@@ -135,11 +144,12 @@ def inline(text: str, references: dict[str, str]) -> tuple[str, list[dict]]:
         elif c == "!" and text.startswith("![", i):
             i += 1
         elif c == "[":
-            end, depth = i + 1, 1
-            while end < n and depth:
-                depth += {"[": 1, "]": -1}.get(text[end], 0) if text[end - 1] != "\\" else 0
-                end += 1
+            depth = i not in partner
+            end = n if depth else partner[i] + 1
             label = text[i + 1 : end - 1]
+            if label.startswith("^") and not depth and label.lower() in references:  # a footnote's mark
+                i = end
+                continue
             target = re.compile(r"\(\s*(?:<([^<>\n]*)>|((?:[^\s()\\]|\\.|\([^\s()]*\))*))(?:\s+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?\s*\)").match(text, end) if not depth else None
             uri, stop = None, end
             if target:
@@ -179,6 +189,9 @@ def inline(text: str, references: dict[str, str]) -> tuple[str, list[dict]]:
     return "".join(out), links
 
 
+_FOOTNOTE = re.compile(r" {0,3}\[\^([^\]\s]+)\]:[ \t]*(.*)")
+
+
 class _Blocks:
     def __init__(self, references: dict[str, str]):
         self.references, self.out = references, []
@@ -249,6 +262,9 @@ class _Blocks:
             elif not para and _HTML.match(line):
                 while i < n and lines[i].strip():
                     i += 1
+            elif not para and _FOOTNOTE.match(line):
+                para.append(_FOOTNOTE.match(line)[2])  # the note's text, where it stands
+                i += 1
             elif not para and _REFERENCE.match(line):
                 i += 1
             elif i + 1 < n and "|" in line and _DELIMITER.match(lines[i + 1]) and len(cells_of(line)) == len(cells_of(lines[i + 1])):
@@ -303,13 +319,16 @@ def parse(source: str) -> list[dict]:
     lines = source.replace("\r\n", "\n").replace("\r", "\n").split("\n")
     references: dict[str, str] = {}
     for line in lines:
-        m = _REFERENCE.match(line)
-        if m:
+        note = _FOOTNOTE.match(line)
+        m = None if note else _REFERENCE.match(line)
+        if note:
+            references.setdefault("^" + note[1].lower(), "")
+        elif m:
             references.setdefault(" ".join(m[1].lower().split()), m[2])
     blocks = _Blocks(references)
     blocks.run(lines)
     return blocks.out
 
 
-def read_markdown(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    return read_elements(docs, text, doc_id, parse, "markdown")
+def read_markdown(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep_empty: bool = False) -> DataFrame:
+    return read_elements(docs, text, doc_id, parse, "markdown", keep_empty=keep_empty)

@@ -83,9 +83,24 @@ def _grid(rows: list[list[tuple[str, int, bool, bool]]], **more) -> dict | None:
 _WORD_BREAKS = {"tab": "\t", "br": " ", "cr": " "}
 
 
+def _inside(node: ElementTree.Element, name: str) -> list[ElementTree.Element]:
+    """Nodes of a name below a node, but not below each other or below a table within."""
+    found, todo = [], [iter(node)]
+    while todo:
+        child = next(todo[-1], None)
+        if child is None:
+            todo.pop()
+        elif _name(child) == name:
+            found.append(child)
+        elif _name(child) != "tbl":
+            todo.append(iter(child))
+    return found
+
+
 def _word_table(node: ElementTree.Element) -> dict | None:
+    """Rows of the table itself; a table within a cell is part of that cell's text."""
     rows = []
-    for tr in (n for n in node.iter() if _name(n) == "tr"):
+    for tr in _inside(node, "tr"):
         cells = []
         for tc in (c for c in tr if _name(c) == "tc"):
             span, merge = _child(tc, "tcPr", "gridSpan"), _child(tc, "tcPr", "vMerge")

@@ -13,7 +13,7 @@ from quire.sources import html, markdown
 def stream_elements(spark: SparkSession, source: str, schema: str, content: str, doc_id: str, kind: str = "html") -> DataFrame:
     """Elements of rows that arrive as Parquet files in a folder."""
     arriving = spark.readStream.schema(schema).parquet(source)
-    return html.read_html(arriving, content, doc_id) if kind == "html" else markdown.read_markdown(arriving, content, doc_id)
+    return html.read_html(arriving, content, doc_id, keep_empty=True) if kind == "html" else markdown.read_markdown(arriving, content, doc_id, keep_empty=True)
 
 
 def write_documents(elements: DataFrame, target: str, checkpoint: str, buckets: int = 64, then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
@@ -34,9 +34,9 @@ def write_documents(elements: DataFrame, target: str, checkpoint: str, buckets:
 
 
 def latest(spark: SparkSession, target: str) -> DataFrame:
-    """The rows of each document's newest batch."""
+    """The rows of each document's newest batch; none of one that has become empty."""
     from pyspark.sql import functions as F
 
     rows = spark.read.parquet(target)
     newest = rows.groupBy("doc_id").agg(F.max("batch").alias("batch"))
-    return rows.join(newest, ["doc_id", "batch"])
+    return rows.join(newest, ["doc_id", "batch"]).where("type IS NOT NULL OR error IS NOT NULL")
