@@ -5,7 +5,7 @@ license templates that carry the same k-gram.  A hit at word p of the document a
 word q of template t votes for the diagonal p - q; votes are aggregated per document,
 template and band of diagonals, so copied text piles up on one diagonal and small
 insertions on neighbouring ones, which are merged.  Each merged span is verified: its
-votes must cover enough of the template.
+votes must carry enough of the template's words.
 
 The template side is a fixed table of a few thousand rows (its size is bound by the
 template list, not by the data), so it is broadcast and documents aren't shuffled by
@@ -117,11 +117,11 @@ def scan_words(docs: DataFrame, k: int, phrases: tuple[tuple[str, str], ...] = P
     return map_batches(docs, run, SCANNED)
 
 
-def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 3, band: int = 8, cover: float = 0.75, phrases: tuple[tuple[str, str], ...] = PHRASES, passages: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
+def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 3, band: int = 8, cover: float = 0.7, phrases: tuple[tuple[str, str], ...] = PHRASES, passages: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """One row per document: word count, base places, labels and a score from 0 to 1.
 
     `k`: words of a gram; `band`: diagonals that are merged; `cover`: least share of a
-    template's grams that a verified span carries.  `spans` has the verified spans as
+    template's words that the grams of a verified span carry.  `spans` has the verified spans as
     (label, first word, last word, share).  The score is the largest verified share, 1
     with a base place, else 0.
     """
@@ -147,7 +147,8 @@ def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k
         F.max("at").alias("end"),
         F.collect_set("position").alias("positions"),
     )
-    share = F.size("positions") / F.col("size")
+    carried = F.size(F.array_distinct(F.flatten(F.transform("positions", lambda p: F.sequence(p, p + (k - 1))))))
+    share = carried / (F.col("size") + (k - 1))
     verified = F.when((share >= cover) & F.col("template").isNotNull(), F.struct("label", F.col("begin").cast("long").alias("first_word"), (F.col("end") + (k - 1)).cast("long").alias("last_word"), F.least(share, F.lit(1.0)).alias("share")))
     docs_ = spans.withColumn("span", verified).groupBy("uid").agg(*own, F.array_sort(F.collect_set("span")).alias("spans"))
     labels = F.array_sort(F.array_distinct(F.concat("base_labels", F.transform("spans", lambda s: s["label"]))))

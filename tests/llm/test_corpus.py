@@ -254,7 +254,10 @@ def test_packing_round_trip(spark, rows):
     rng = random.Random(8)
     odd = ["".join(rng.choice("ab'stred  \n\t.,19Zé’中 ​\U0001f600") for _ in range(rng.randrange(40))) for _ in range(3000)]
     ids, bounds = enc.encode(*kernels.buffers(pa.array(odd)))
-    want = [e.ids for e in enc.tokenizer.encode_batch(odd, add_special_tokens=False)]
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(path)
+    want = [e.ids for e in fresh.encode_batch(odd, add_special_tokens=False)]
     assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
     docs = [r for r in rows if r[0] is not None][:-1] + [(1000 + i, t, "q") for i, t in enumerate(odd[:500])]
     got = packing.pack(frame(spark, docs), path, with_ids=True).collect()
@@ -265,7 +268,7 @@ def test_packing_round_trip(spark, rows):
         windows.setdefault(r["sequence_id"], []).append(r)
     for k, t, _ in docs:
         own = sorted(pieces[k], key=lambda r: r["start"])
-        assert sum((r["ids"] for r in own), []) == [*enc.tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+        assert sum((r["ids"] for r in own), []) == [*fresh.encode(t or "", add_special_tokens=False).ids, 1]
         assert all(r["doc_tokens"] == sum(x["length"] for x in own) for r in own)
     for w in windows.values():
         w.sort(key=lambda r: r["offset"])
@@ -555,3 +558,204 @@ def test_packing_takes_added_tokens_as_the_tokenizer_does():
     ids, bounds = packing.Encoder(path).encode(*kernels.buffers(pa.array(texts)))
     assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
     assert len(ids[bounds[3] : bounds[4]]) == 1
+
+
+def test_license_labels_equal_a_nested_loop(spark):
+    """Labels and scores by counting, for each document and template, the shared grams of each band of diagonals."""
+    rng = random.Random(14)
+    docs = []
+    for i in range(60):
+        label, text = rng.choice(licenses.TEMPLATES)
+        w = text.split()
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randrange(2)] = [rng.choice(WORDS)] * rng.randrange(3)
+        docs.append((i, " ".join(rng.choice(WORDS) for _ in range(rng.randrange(30))) + " " + " ".join(w) + " tail", "a"))
+    docs += [(100, "Licensed under the CC BY-NC 4.0", "a"), (101, "", "a"), (102, None, "a")]
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    k, band = 3, 8
+    for r in licenses.scan_licenses(frame(spark, docs)).collect():
+        w = split(dict((i, t) for i, t, _ in docs)[r["doc_id"]])
+        labels, best = set(filter(None, r["base_labels"].split(","))), 0.0
+        for label, text in licenses.TEMPLATES:
+            t = split(text)
+            hits = [(i, j) for i in range(len(w) - k + 1) for j in range(len(t) - k + 1) if w[i : i + k] == t[j : j + k]]
+            for b in {(i - j) // band for i, j in hits} | {(i - j) // band - 1 for i, j in hits}:
+                own = {x for i, j in hits if (i - j) // band in (b, b + 1) for x in range(j, j + k)}
+                share = len(own) / len(t)
+                if share >= 0.7:
+                    labels.add(label)
+                    best = max(best, min(share, 1.0))
+        assert r["labels"] == ",".join(sorted(labels)), r["doc_id"]
+        assert abs(r["score"] - (1.0 if r["n_base"] else best)) < 1e-12
+    assert {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(frame(spark, docs[-3:])).collect()}[100] == "cc-by-nc"
+
+
+def test_site_posteriors_equal_plain_python(spark):
+    rng = random.Random(5)
+    rows = [(f"h{h}", f"p{p}", rng.random() ** (1 + h % 3)) for h in range(6) for p in range(3) for _ in range(rng.randrange(1, 30))] + [(None, "p0", 0.4), ("h0", None, 0.9)]
+    n, mean = len(rows), sum(r[2] for r in rows) / len(rows)
+    group = lambda key: {k: [r[2] for r in rows if key(r) == k] for k in {key(r) for r in rows}}
+
+    def pseudo(sites, parent):
+        between = sum(len(v) * (sum(v) / len(v) - parent(k)) ** 2 for k, v in sites.items())
+        noise = sum(parent(k) * (1 - parent(k)) for k in sites)
+        spread = max((between - noise) / n, 1e-6)
+        return min(max(mean * (1 - mean) / spread - 1, 2.0), 1e4)
+
+    hosts, paths = group(lambda r: r[0]), group(lambda r: r[:2])
+    kh = pseudo(hosts, lambda k: mean)
+    host = {k: (sum(v) + kh * mean) / (len(v) + kh) for k, v in hosts.items()}
+    kp = pseudo(paths, lambda k: host[k[0]])
+    want = {k: (sum(v) + kp * host[k[0]]) / (len(v) + kp) for k, v in paths.items()}
+    got = {(r["host"], r["path"]): r for r in quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, p double")).collect()}
+    assert set(got) == set(want) and all(abs(got[k]["path_mean"] - want[k]) < 1e-9 for k in want)
+    logit = lambda p: np.log(p / (1 - p))
+    assert all(abs(got[k]["shift"] - (logit(want[k]) - logit(mean))) < 1e-9 for k in want)
+
+
+def test_quality_scores_equal_plain_python(spark):
+    rng = random.Random(8)
+    docs = [(i, sentence(rng, 20) + ("!!! $$$" * 5 if i % 4 == 0 else "."), f"s{i % 3}") for i in range(80)]
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(60)] + [(0, 1, 0)], "doc_id long, quality int, toxic int")
+    x = quality.features(*kernels.buffers(pa.array([t for _, t, _ in docs])))
+    y = np.array([float(i % 4 != 0) for i in range(60)])
+    order = np.lexsort((*x[:60].T, y))
+    model = quality.fit(x[:60][order], y[order])
+    evidence = np.clip(x @ model[:-1] + model[-1], -12, 12)
+    sites = {(r["host"], r["path"]): r["shift"] for r in quality.site_posteriors(spark.createDataFrame([(s, "en", float(1 / (1 + np.exp(-e)))) for (_, _, s), e in zip(docs, evidence)], "host string, path string, p double")).collect()}
+    for r in quality.classify(frame(spark, docs), labels).collect():
+        want = 1 / (1 + np.exp(-(evidence[r["doc_id"]] + 0.5 * sites[docs[r["doc_id"]][2], "en"])))
+        assert abs(r["_score"] - want) < 1e-6 and r["_keep"] == (want >= 0.5)
+
+
+def test_marginals_equal_enumeration():
+    """Exact where the graph is a tree, close where it has a loop."""
+    from itertools import product
+
+    rng = np.random.default_rng(3)
+    n, k = 5, len(pii.LABELS)
+    unary, pair, tie = rng.normal(size=(n, k)), rng.normal(size=(k, k)) * 0.5, rng.normal(size=(k, k)) * 0.5
+
+    def exact(chain, skip):
+        total = np.zeros((n, k))
+        for y in product(range(k), repeat=n):
+            e = sum(unary[i, c] for i, c in enumerate(y)) + sum(pair[y[a], y[b]] for a, b in chain) + sum(tie[y[a], y[b]] for a, b in skip)
+            for i, c in enumerate(y):
+                total[i, c] += np.exp(e)
+        return total / total.sum(1, keepdims=True)
+
+    tree = ([(0, 1), (1, 2)], [(2, 4), (0, 3)])
+    loop = ([(0, 1), (1, 2), (2, 3)], [(0, 3)])
+    for (chain, skip), near in ((tree, 1e-3), (loop, 0.1)):
+        got = pii.marginals(unary, np.array(chain), np.array(skip), pair, tie, rounds=200)
+        assert np.abs(got - exact(chain, skip)).max() < near
+
+
+def test_field_finds_held_out_spans():
+    """Recall and precision of all spans on sentences that the field was not fitted on."""
+    model = pii.train()
+    hit = total = found = 0
+    for text, spans in pii._generated(300, seed=99):
+        base = pii.base_spans(text)
+        got = [*base, *pii.field_spans(text, base, model)]
+        found += len(got)
+        total += len(spans)
+        hit += sum(any(k == kind and s < e2 and s2 < e for kind, s2, e2 in got) for k, s, e in spans)
+    assert hit >= 0.9 * total and found <= 1.2 * total
+
+
+def test_recurrent_scores_equal_loops():
+    """Each window's logit by scalar loops over words and units."""
+    m = {k: v.astype(np.float64) for k, v in toxicity.new_model(3).items()}
+    text = "you idiot go home now or else we call them all"
+    batch = toxicity.Batch(*kernels.buffers(pa.array([text, ""], pa.large_string())))
+    got = toxicity.forward(m, batch)
+    h, x = toxicity.HIDDEN, batch.inputs(m).astype(float)
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def states(d, order, tokens):
+        state, out = [0.0] * h, {}
+        for t in order:
+            p = [sum(x[tokens[t]][i] * m[d + "W"][i, j] for i in range(x.shape[1])) + m[d + "c"][j] for j in range(3 * h)]
+            g = [sum(state[i] * m[d + "U"][i, j] for i in range(h)) for j in range(3 * h)]
+            z, r = [sig(p[j] + g[j]) for j in range(h)], [sig(p[h + j] + g[h + j]) for j in range(h)]
+            new = [np.tanh(p[2 * h + j] + r[j] * g[2 * h + j]) for j in range(h)]
+            state = [new[j] + z[j] * (state[j] - new[j]) for j in range(h)]
+            out[t] = state
+        return out
+
+    n = len(text.split())
+    tokens = batch.tokens[0]
+    f, b = states("f", range(n), tokens), states("b", range(n - 1, -1, -1), tokens)
+    both = [f[t] + b[t] for t in range(n)]
+    energy = np.array([sum(s[i] * m["attend"][i] for i in range(2 * h)) for s in both])
+    weight = np.exp(energy - energy.max()) / np.exp(energy - energy.max()).sum()
+    pooled = sum(w * np.array(s) for w, s in zip(weight, both))
+    assert abs(got[0] - (pooled @ m["out"] + m["bias"][0])) < 1e-4 and abs(got[1] - m["bias"][0]) < 1e-6
+
+
+def test_toxicity_of_one_label_and_odd_tables(spark, rows):
+    docs = frame(spark, rows)
+    ones = spark.createDataFrame([(i, 1, 1) for i in range(10, 40)], "doc_id long, quality int, toxic int")
+    assert {r["score"] for r in toxicity.score(docs, ones).collect()} == {1.0}
+    assert {r["score"] for r in toxicity.score(docs, ones.limit(0)).collect()} == {0.0}
+    both = ones.union(spark.createDataFrame([(i, 1, int(i % 2)) for i in range(10, 40)] * 2, ones.schema))
+    once, again = ([tuple(r) for r in toxicity.score(docs, both).orderBy("doc_id", "score").collect()] for _ in range(2))
+    assert once == again and len(once) == len(rows)
+    assert toxicity.score(docs.limit(0), ones).count() == 0
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Every stage's rows against plain Python on what the stage before it kept."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(17)
+    good = [sentence(rng, 40) + "." for _ in range(30)]
+    docs = [(i, t + "\nall rights reserved", f"s{i % 3}") for i, t in enumerate(good)]
+    docs += [(100 + i, " ".join(w.upper() + "!!" for w in sentence(rng, 40).split()), "s9") for i in range(12)]
+    docs += [(200 + i, good[i].replace(good[i].split()[3], "changed", 1) + " " + sentence(rng, 3) + "\nown " + sentence(rng, 8), "s1") for i in range(5)]
+    labels = spark.createDataFrame([(i, int(i < 100), 0) for i in [*range(0, 30, 2), *range(100, 112, 2)]], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    seen = []
+    now = frame(spark, docs)
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/stage{i}")
+        now = spark.read.parquet(f"{tmp_path}/stage{i}")
+        seen.append([r.asDict() for r in now.collect()])
+    scored = {r["doc_id"] for r in quality.classify(frame(spark, docs), labels).where("_keep").collect()}
+    assert sorted(r["doc_id"] for r in seen[0]) == sorted(scored) and {d[0] for d in docs[:30]} <= scored and not any(100 <= k < 112 for k in scored)
+    kept = [(r["doc_id"], r["text"]) for r in seen[0]]
+    gone = removed_lines(kept)
+    want = {k: "\n".join(s for n, s in enumerate(t.split("\n")) if (k, n) not in gone) for k, t in kept}
+    want = {k: t for k, t in want.items() if t.strip()}
+    assert {r["doc_id"]: r["text"] for r in seen[1]} == want and all(r["n_chars"] == len(r["text"]) for r in seen[1])
+    roots = {k: root for k, _, _, root in brute_near([(k, t, "") for k, t in want.items()])}
+    assert sorted(r["doc_id"] for r in seen[2]) == sorted({*roots.values()})
+    size = {r["doc_id"]: (r["source"], len(r["text"].split())) for r in seen[2]}
+    total = {s: sum(n for o, n in size.values() if o == s) for s, _ in size.values()}
+    taken = {}
+    for r in seen[3]:
+        taken[r["source"]] = taken.get(r["source"], 0) + len(r["text"].split())
+    # sources by code point weigh 5, 2, 1; no target is above twice its source's size
+    left, need = dict(zip(sorted(total), (5, 2, 1))), 1.5 * sum(total.values())
+    target = {}
+    while left:
+        over = [s for s in left if need * left[s] / sum(left.values()) > 2 * total[s]]
+        for s in over or list(left):
+            target[s] = 2.0 * total[s] if over else need * left[s] / sum(left.values())
+        if not over:
+            break
+        need -= sum(target[s] for s in over)
+        left = {s: w for s, w in left.items() if s not in over}
+    longest = max(n for _, n in size.values())
+    assert all(abs(taken.get(s, 0) - target[s]) <= longest for s in total)
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(packing.default_vocabulary())
+    count = {}
+    for r in seen[3]:
+        count[r["doc_id"]] = count.get(r["doc_id"], 0) + len(plain.encode(r["text"], add_special_tokens=False).ids) + 1
+    packed = {}
+    for r in seen[4]:
+        packed[r["doc_id"]] = packed.get(r["doc_id"], 0) + r["length"]
+    assert packed == count
