@@ -6,11 +6,11 @@ drawn at known places, so SQL can say what must be read back.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.operators import elements as el
-from quire.operators import evidence as ev
 from quire.operators import figures as fg
 from quire.operators import graph as gh
 from quire.operators import grids as gr
@@ -21,7 +21,7 @@ from quire.operators import lines as ln
 from quire.operators import output as out
 from quire.operators import readings as rd
 from quire.operators.document import analyze, without_lattices
-from quire.plans.catalog import _HTML, _OFFSETS, _customer_markdown, _glyphs, _route_pages, pages, query, table
+from quire.plans.catalog import _HTML, _customer_markdown, _glyphs, _route_pages, pages, query, table
 from quire.sources.markdown import read_markdown
 
 S = F.lit
@@ -816,3 +816,80 @@ def analyzed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = drawn(size.select("*", F.explode(F.array(*[S(50 + 130 * i) for i in range(4)])).alias("x")), "V", F.col("x"), S(200), F.col("x"), F.col("last") * 20 + 220)
     sizes = one.select("doc_id", "page", S(612.0).alias("width"), S(792.0).alias("height"))
     return analyze(glyphs, sizes, h.union(v)).select("doc_id", "seq", "type")
+
+
+# ---- PDF ----------------------------------------------------------------------------------
+
+
+def pdf_of(lines: list[str], uri: str, mark: str, field: str, value: str, packed: bool = True) -> bytes:
+    """A file of one page: lines of text, a rule under each, a link, a bookmark and a form field."""
+    import zlib
+
+    escaped = lambda s: s.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)")
+    content = "BT /F1 10 Tf 14 TL 50 700 Td " + " ".join(f"({escaped(s)}) Tj T*" for s in lines) + " ET " + " ".join(f"50 {697 - 14 * i} 200 1 re f" for i in range(len(lines)))
+    body = content.encode("cp1252")
+    stream = zlib.compress(body) if packed else body
+    objects = [
+        b"<< /Type /Catalog /Pages 2 0 R /Outlines 6 0 R /AcroForm << /Fields [9 0 R] >> >>",
+        b"<< /Type /Pages /Kids [3 0 R] /Count 1 /MediaBox [0 0 612 792] >>",
+        b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R /Annots [8 0 R 9 0 R] /Resources << /Font << /F1 5 0 R >> >> >>",
+        (f"<< /Length {len(stream)}" + (" /Filter /FlateDecode" if packed else "") + " >>\nstream\n").encode() + stream + b"\nendstream",
+        b"<< /Type /Font /Subtype /Type1 /BaseFont /Courier-Bold /Encoding /WinAnsiEncoding >>",
+        b"<< /First 7 0 R /Last 7 0 R /Count 1 >>",
+        f"<< /Title ({escaped(mark)}) /Parent 6 0 R /Dest [3 0 R /XYZ 0 692 0] >>".encode(),
+        f"<< /Type /Annot /Subtype /Link /Rect [50 690 110 710] /A << /S /URI /URI ({escaped(uri)}) >> >>".encode(),
+        b"<< /Type /Annot /Subtype /Widget /FT /Tx /T (" + escaped(field).encode() + b") /V <FEFF" + value.encode("utf-16-be").hex().encode() + b"> /Rect [300 600 400 620] >>",
+    ]
+    out = b"%PDF-1.7\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, o) for i, o in enumerate(objects, 1))
+    return out + b"trailer << /Root 1 0 R /Size 10 >>\n%%EOF"
+
+
+def _pdfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each region, that lists its nations."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    t = n.join(r, n.n_regionkey == r.r_regionkey).groupBy(F.col("r_regionkey").cast("long").alias("doc_id"), "r_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"]).alias("lines"))
+
+    @F.pandas_udf("binary")
+    def build(name: pd.Series, lines: pd.Series) -> pd.Series:
+        return pd.Series([pdf_of(list(xs), f"urn:{s}", f"Nations of {s}", "region.name", s, len(xs) % 2 == 0) for s, xs in zip(name, lines)])
+
+    return t.select("doc_id", build("r_name", "lines").alias("content"))
+
+
+@query(_REGION + "SELECT doc_id, r + 1 AS line, t[2] AS text, true AS bold FROM r")
+def pdf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File to glyphs to lines."""
+    from quire.sources.pdf import read_pdf
+
+    return ln.lines(read_pdf(_pdfs(spark, sf_dir), "glyphs")).select("doc_id", "line", "text", "bold")
+
+
+@query(_REGION + "SELECT doc_id, count(*) AS rules, 0::BIGINT AS fills FROM r GROUP BY doc_id")
+def pdf_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.sources.pdf import read_pdf, rules_and_fills
+
+    rules, fills = rules_and_fills(read_pdf(_pdfs(spark, sf_dir), "shapes"))
+    f = fills.groupBy("doc_id").agg(F.count("*").alias("fills"))
+    return rules.groupBy("doc_id").agg(F.count("*").alias("rules")).join(f, "doc_id", "left").select("doc_id", "rules", F.coalesce("fills", S(0)).cast("long").alias("fills"))
+
+
+@query("SELECT r_regionkey::BIGINT AS doc_id, 'Nations of ' || r_name AS title, 1 AS level, 0 AS page, 100.0::DOUBLE AS y FROM region")
+def pdf_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.sources.pdf import read_pdf
+
+    return read_pdf(_pdfs(spark, sf_dir), "outline").select("doc_id", "title", "level", "page", "y")
+
+
+@query("SELECT r_regionkey::BIGINT AS doc_id, 0 AS page, 'urn:' || r_name AS uri, 50.0::DOUBLE AS x0, 82.0::DOUBLE AS y0, 110.0::DOUBLE AS x1, 102.0::DOUBLE AS y1 FROM region")
+def pdf_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.sources.pdf import read_pdf
+
+    return read_pdf(_pdfs(spark, sf_dir), "links").select("doc_id", "page", "uri", "x0", "y0", "x1", "y1")
+
+
+@query("SELECT r_regionkey::BIGINT AS doc_id, 'region.name' AS name, 'text' AS kind, r_name AS value, 172.0::DOUBLE AS y0 FROM region")
+def pdf_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filled values of forms."""
+    from quire.sources.pdf import read_pdf
+
+    return read_pdf(_pdfs(spark, sf_dir), "fields").where("value IS NOT NULL").select("doc_id", "name", "kind", "value", "y0")
