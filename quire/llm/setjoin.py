@@ -577,17 +577,18 @@ def common_pairs(items: DataFrame, extract: Extract, num: int, den: int, often:
             held, n_bytes = [], 0
             short = size - needed(2 * size, num, num + den) + SHARED
             hot_tokens, hot_salts = spread.value
-            salts = np.ones(len(token), np.int64)
+            index, key = place < short, mix(token)
             if len(hot_tokens):
                 order = np.argsort(hot_tokens)
                 at = order[np.minimum(np.searchsorted(hot_tokens, token, sorter=order), len(order) - 1)]
                 salts = np.where(hot_tokens[at] == token, hot_salts[at], 1)
-            salt = ranges(salts)
-            index = np.repeat(place < short, salts) & (salt == np.repeat((e % salts.astype(np.uint64)).astype(np.int64), salts))
-            token, size, place, bits, e = (np.repeat(x, salts) for x in (token, size, place, bits, e))
-            key = mix(token + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                salt = ranges(salts)
+                index = np.repeat(index, salts) & (salt == np.repeat((e % salts.astype(np.uint64)).astype(np.int64), salts))
+                token, size, place, bits, e = (np.repeat(x, salts) for x in (token, size, place, bits, e))
+                key = mix(token + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             which = (key >> np.uint64(32)) % np.uint64(buckets)
-            order = row_order(key ^ e, (which * np.uint64(1)).astype(np.int64)) if buckets < 1 << 24 else np.lexsort((key ^ e, which))
+            # by bucket; copies come together, all but surely
+            order = np.argsort((which << np.uint64(42)) | ((key ^ e) >> np.uint64(22)))
             key, e, which = key[order], e[order], which[order]
             fresh = np.ones(len(key), bool)
             fresh[1:] = (key[1:] != key[:-1]) | (e[1:] != e[:-1])
@@ -612,14 +613,13 @@ def common_pairs(items: DataFrame, extract: Extract, num: int, den: int, often:
     def meet(group: pa.Table) -> pa.Table:
         read = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in group.column(name)])
         key, size, place, bits, e = read("keys", np.uint32), read("sizes", np.uint16).astype(np.int64), read("places", np.uint8), read("bits", np.uint64), read("e", np.uint64)
-        # tokens of one set alone go first, copies next
-        order = np.argsort(key)
+        # by token, size and set: one sort; copies that a collision keeps apart only weaken the count below
+        order = np.argsort((key.astype(np.uint64) << np.uint64(32)) | (size.astype(np.uint64) << np.uint64(16)) | (e & np.uint64(0xFFFF)))
         k = key[order]
         again = np.zeros(len(k), bool)
         again[1:] = k[1:] == k[:-1]
         again[:-1] |= again[1:]
-        order = order[again]
-        order = order[np.lexsort((e[order], size[order], key[order]))]
+        order = order[again]  # tokens that are there once pair with nothing
         key, size, place, bits, e = (x[order] for x in (key, size, place, bits, e))
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (e[1:] != e[:-1]) | (size[1:] != size[:-1])
