@@ -241,8 +241,9 @@ def _table_markup() -> Column:
                     tag = "th" if head == head and head is not None and r < head else "td"
                     spans = (f' colspan="{across}"' if across > 1 else "") + (f' rowspan="{deep}"' if deep > 1 else "")
                     line.append(f"<{tag}{spans}>{escape(rows[r][c])}</{tag}>")
-                out.append("<tr>" + "".join(line) + "</tr>")
-            return "\n".join([*out, "</table>"])
+                out.append(f"<tr>{''.join(line)}</tr>")
+            out.append("</table>")
+            return "\n".join(out)
 
         return pd.Series([one(*x) for x in zip(cells, header, down, left)])
 
@@ -281,15 +282,6 @@ def graph_nodes(e: DataFrame, base: str = "urn:doc") -> DataFrame:
     return top.union(body).withColumn("iri", F.concat(F.lit(base + "/"), F.col("doc_id").cast("string"), F.lit("/"), segment, F.lit("/"), F.col("n").cast("string")))
 
 
-def to_jsonld(e: DataFrame, base: str = "urn:doc") -> DataFrame:
-    """doc_id, text: the graph as JSON-LD; containment lists direct children only."""
-    nodes = graph_nodes(e, base)
-    kids = nodes.where("parent_n IS NOT NULL").groupBy("doc_id", F.col("parent_n").alias("n")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "iri"))), lambda x: F.create_map(F.lit("@id"), x["iri"])).alias("contains"))
-    each = nodes.join(kids, ["doc_id", "n"], "left").select("doc_id", "n", F.to_json(F.struct(F.col("iri").alias("@id"), F.col("type").alias("@type"), F.col("label").alias("rdfs:label"), F.col("contains").alias("po:contains"))).alias("j"))
-    context = '{"doco":"http://purl.org/spar/doco/","po":"http://www.essepuntato.it/2008/12/pattern#","rdfs":"http://www.w3.org/2000/01/rdf-schema#"}'
-    return each.groupBy("doc_id").agg(F.concat(F.lit(f'{{"@context":{context},"@graph":['), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "j"))), lambda x: x["j"]), ","), F.lit("]}")).alias("text"))
-
-
 def evidence_counts(e: DataFrame) -> DataFrame:
     return e.groupBy("type", "provenance", "evidence").agg(F.count("*").alias("n"))
 

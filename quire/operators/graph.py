@@ -49,7 +49,8 @@ def document_graph(e: DataFrame, base: str = "urn:doc") -> DataFrame:
     known = ["doc_id", "seq", "type", "section", "page", "evidence"]
     own = s.select(*known, F.lit(1).alias("k"), F.lit(0).alias("i"), F.col("type").alias("kind"), F.col("text").alias("label"), box.alias("bbox"), *[(F.col({"begin_index": "begin", "end_index": "end"}[c]) if c in ("begin_index", "end_index") else v).alias(c) for c, v in none.items()])
     blank = F.lit(None).cast("string")
-    opened = s.where("__opens IS NOT NULL").select(*known, F.lit(0).alias("k"), F.lit(0).alias("i"), F.col("__opens").alias("kind"), blank.alias("label"), blank.alias("bbox"), *[v.alias(c) for c, v in none.items()])
+    silent = [F.lit(None).cast(s.schema[c].dataType).alias(c) if c in ("page", "evidence") else F.col(c) for c in known]
+    opened = s.where("__opens IS NOT NULL").select(*silent, F.lit(0).alias("k"), F.lit(0).alias("i"), F.col("__opens").alias("kind"), blank.alias("label"), blank.alias("bbox"), *[v.alias(c) for c, v in none.items()])
     lead = F.length("text") - F.length(F.ltrim("text"))
     x = s.where("size(links) > 0").select(*known, "text", "begin", lead.alias("lead"), F.posexplode("links").alias("i", "l"))
     sure = F.col("l.begin").isNotNull() & (F.col("l.begin") >= F.col("lead")) & F.col("begin").isNotNull() & (F.col("type") != "doco:Table")
@@ -93,3 +94,28 @@ def within_section(nodes: DataFrame, title: str) -> DataFrame:
     heads = nodes.where((F.col("type") == TITLE) & (F.col("label") == title)).select("doc_id", F.col("parent_n").alias("__section")).distinct()
     j = ancestors(nodes).join(heads, "doc_id").where(F.array_contains("path", F.col("__section"))).select("doc_id", "n").distinct()
     return nodes.join(j, ["doc_id", "n"], "left_semi")
+
+
+CONTEXT = (
+    '{"doco":"http://purl.org/spar/doco/","po":"http://www.essepuntato.it/2008/12/pattern#","rdfs":"http://www.w3.org/2000/01/rdf-schema#",'
+    '"nif":"http://persistence.uni-leipzig.org/nlp2rdf/ontologies/nif-core#","doc":"urn:quire:doc#"}'
+)
+
+
+def to_jsonld(e: DataFrame, base: str = "urn:doc") -> DataFrame:
+    """doc_id, text: the whole graph as JSON-LD, with places, evidence, links and cells; containment lists direct children only."""
+    nodes = document_graph(e, base)
+    ids = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: F.create_map(F.lit("@id"), x["iri"]))
+    below = nodes.where("parent_n IS NOT NULL").groupBy("doc_id", F.col("parent_n").alias("n"))
+    linked = F.col("type") == "doc:Link"
+    kids = below.agg(ids(F.when(~linked, F.struct("n", "iri"))).alias("contains"), ids(F.when(linked, F.struct("n", "iri"))).alias("links"))
+    named = {
+        "@id": F.col("iri"), "@type": F.col("type"), "rdfs:label": F.when(~linked, F.col("label")), "doc:pageIndex": F.when(~F.col("type").isin("doc:Link", "doc:TableCell"), F.col("page")),
+        "doc:bbox": F.col("bbox"), "doc:evidence": F.when(~F.col("type").isin("doc:Link", "doc:TableCell"), F.col("evidence")), "nif:beginIndex": F.col("begin_index"), "nif:endIndex": F.col("end_index"),
+        "nif:isString": F.when(linked, F.col("label")).when(F.col("begin_index").isNotNull(), F.col("value")), "doc:linkTarget": F.when(F.col("target").isNotNull(), F.create_map(F.lit("@id"), F.col("target"))),
+        "doc:rowIndex": F.col("row_index"), "doc:columnIndex": F.col("col_index"), "doc:rowHeader": F.col("row_header"), "doc:columnHeader": F.col("column_header"), "doc:cellValue": F.col("value"),
+        "doc:link": F.when(F.size("links") > 0, F.col("links")), "po:contains": F.when(F.size("contains") > 0, F.col("contains")),
+    }
+    each = nodes.join(kids, ["doc_id", "n"], "left").select("doc_id", "n", F.to_json(F.struct(*[v.alias(k) for k, v in named.items()])).alias("j"))
+    graph = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "j"))), lambda x: x["j"]), ",")
+    return each.groupBy("doc_id").agg(F.concat(F.lit(f'{{"@context":{CONTEXT},"@graph":['), graph, F.lit("]}")).alias("text"))

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.operators import elements as el
+from quire.operators.graph import to_jsonld
 
-FORMATS = {"text": ("txt", el.to_text), "md": ("md", el.to_markdown), "xhtml": ("xhtml", el.to_xhtml), "json": ("json", el.to_json), "doco": ("jsonld", el.to_jsonld)}
+FORMATS = {"text": ("txt", el.to_text), "md": ("md", el.to_markdown), "xhtml": ("xhtml", el.to_xhtml), "json": ("json", el.to_json), "doco": ("jsonld", to_jsonld)}
 
 
 def notes(unread: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions.text import is_numeric_cell, markdown_cell, numbering_depth, shortened, values
 from quire.operators import elements as el
 from quire.operators import evidence as ev
+from quire.operators import graph as gh
 from quire.operators import layout as ly
 from quire.operators import lines as ln
 from quire.operators import tables as tb
@@ -107,14 +108,31 @@ def html_to_xhtml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return el.to_xhtml(pages(spark, sf_dir))
 
 
-@query()
+@query(_HTML + """
+SELECT doc_id, '[' || string_agg('{"id":"elem-' || lpad(CAST(seq AS VARCHAR), 5, '0') || '","type":"' || type || '",' || CASE WHEN type = 'doco:SectionTitle' THEN '"level":1,' ELSE '' END
+  || '"page":0,"text":' || CAST(to_json(text) AS VARCHAR) || ',"links":[],"provenance":"html","evidence":"html"}', ',' ORDER BY seq) || ']' AS text FROM h GROUP BY doc_id
+""")
 def html_to_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return el.to_json(pages(spark, sf_dir))
 
 
-@query()
+@query(_OFFSETS + """,
+x AS (SELECT *, sum(CASE WHEN type = 'doco:SectionTitle' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seq) AS titles FROM o),
+n AS (
+  SELECT doc_id, 1 + seq + titles AS n, 'element' AS kind, type, titles, '"rdfs:label":' || CAST(to_json(CASE WHEN length(text) > 100 THEN left(text, 100) || '…' ELSE text END) AS VARCHAR)
+    || ',"doc:pageIndex":0,"doc:evidence":"html","nif:beginIndex":' || CAST(first AS VARCHAR) || ',"nif:endIndex":' || CAST(first + length(text) AS VARCHAR) AS more FROM x
+  UNION ALL SELECT doc_id, seq + titles, 'section', 'doco:Section', titles, NULL FROM x WHERE type = 'doco:SectionTitle'
+  UNION ALL SELECT DISTINCT doc_id, 0, 'element', 'doco:Document', NULL, NULL FROM x UNION ALL SELECT DISTINCT doc_id, 1, 'element', 'doco:BodyMatter', NULL, NULL FROM x),
+s AS (SELECT doc_id, n AS section_n, titles FROM n WHERE kind = 'section'),
+p AS (
+  SELECT n.*, 'urn:doc/' || CAST(n.doc_id AS VARCHAR) || '/' || kind || '/' || CAST(n AS VARCHAR) AS iri, CASE WHEN n.n = 0 THEN NULL WHEN n.n = 1 THEN 0 WHEN kind = 'section' THEN 1 ELSE coalesce(section_n, 1) END AS parent_n
+  FROM n LEFT JOIN s ON s.doc_id = n.doc_id AND s.titles = n.titles),
+k AS (SELECT doc_id, parent_n, string_agg('{"@id":"' || iri || '"}', ',' ORDER BY n) AS kids FROM p WHERE parent_n IS NOT NULL GROUP BY ALL),
+j AS (SELECT p.doc_id, p.n, '{"@id":"' || iri || '","@type":"' || type || '"' || coalesce(',' || more, '') || coalesce(',"po:contains":[' || kids || ']', '') || '}' AS j FROM p LEFT JOIN k ON k.doc_id = p.doc_id AND k.parent_n = p.n)
+SELECT doc_id, '{"@context":""" + gh.CONTEXT + ""","@graph":[' || string_agg(j, ',' ORDER BY n) || ']}' AS text FROM j GROUP BY doc_id
+""")
 def html_to_jsonld(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return el.to_jsonld(pages(spark, sf_dir))
+    return gh.to_jsonld(pages(spark, sf_dir))
 
 
 @query(_HTML + """,
@@ -284,10 +302,10 @@ def crammed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _turn_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as documents of pages: a header, the turn's text, and a numbered footer."""
-    t = table(spark, sf_dir, "conversations").dropDuplicates(["conv_id", "turn"])
+    """Conversations as documents of pages: a header, the turn's number in words of its own, a mark across, and two lines at the foot."""
+    t = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.count("*").alias("times"))
     page = F.col("turn").cast("int")
-    return t.select(F.col("conv_id").alias("doc_id"), page.alias("page"), F.posexplode(F.array(F.struct(F.concat(F.lit("Conversation "), F.col("conv_id").cast("string")).alias("text"), F.lit(0.05).alias("rel_y")), F.struct(F.col("text"), (0.3 + (page % 5) * 0.1).alias("rel_y")), F.struct(F.concat(F.lit("Page "), (page + 1).cast("string")).alias("text"), F.lit(0.95).alias("rel_y")))).alias("line", "x")).select("doc_id", "page", "line", "x.text", "x.rel_y")
+    return t.select(F.col("conv_id").alias("doc_id"), page.alias("page"), F.posexplode(F.array(F.struct(F.concat(F.lit("Conversation "), F.col("conv_id").cast("string")).alias("text"), F.lit(0.05).alias("rel_y")), F.struct(F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("text"), (0.3 + (page % 5) * 0.1).alias("rel_y")), F.struct(F.lit("DRAFT").alias("text"), F.lit(0.5).alias("rel_y")), F.struct(F.lit("The House").alias("text"), F.lit(0.9).alias("rel_y")), F.struct(F.concat(F.lit("Page "), (page + 1).cast("string")).alias("text"), F.lit(0.95).alias("rel_y")))).alias("line", "x")).select("doc_id", "page", "line", "x.text", "x.rel_y")
 
 
 @query("""
@@ -295,9 +313,13 @@ WITH t AS (SELECT conv_id, turn FROM conversations GROUP BY ALL), n AS (SELECT c
 SELECT conv_id AS doc_id, turn::INT AS page, 'PageNumber' AS role, 'Page ' || CAST(turn + 1 AS VARCHAR) AS text FROM t JOIN n USING (conv_id)
 UNION ALL
 SELECT conv_id, turn::INT, 'Header', 'Conversation ' || CAST(conv_id AS VARCHAR) FROM t JOIN n USING (conv_id)
+UNION ALL
+SELECT conv_id, turn::INT, 'Watermark', 'DRAFT' FROM t JOIN n USING (conv_id)
+UNION ALL
+SELECT conv_id, turn::INT, 'Footer', 'The House' FROM t JOIN n USING (conv_id)
 """)
 def furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ly.furniture(_turn_lines(spark, sf_dir)).where("role IN ('PageNumber', 'Header')").select("doc_id", "page", "role", "text")
+    return ly.furniture(_turn_lines(spark, sf_dir)).select("doc_id", "page", "role", "text")
 
 
 def _glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -360,13 +382,14 @@ def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT source, count(*) AS pages, count(*) FILTER (WHERE doc_id % 5 IN (0, 1, 3) OR (doc_id % 5 = 2 AND n_chars >= 100)) AS routed FROM documents GROUP BY source
+SELECT source, count(*) AS pages, count(*) FILTER (WHERE doc_id % 5 IN (0, 1, 3) OR (doc_id % 5 = 2 AND n_chars >= 100)) AS routed,
+       round(sum(CASE WHEN doc_id % 5 = 2 THEN n_chars // 2 ELSE n_chars END)::DOUBLE / greatest(sum(n_chars), 1), 6) AS unicode_rate FROM documents GROUP BY source
 """)
 def triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of one source as pages of one."""
     source = table(spark, sf_dir, "documents").select("doc_id", "source")
     routed = ly.routes(_route_pages(spark, sf_dir)).join(source, "doc_id").drop("doc_id").withColumnRenamed("source", "doc_id")
-    return ly.triage(routed).select(F.col("doc_id").alias("source"), "pages", "routed")
+    return ly.triage(routed).select(F.col("doc_id").alias("source"), "pages", "routed", "unicode_rate")
 
 
 @query("""

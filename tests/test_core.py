@@ -219,3 +219,74 @@ def test_emptied_documents_are_retracted(spark):
     old = html.read_html(spark.createDataFrame([(1, "<p>a</p>"), (2, "<p>b</p>")], "page_id long, html string"))
     new = html.read_html(spark.createDataFrame([(1, None), (3, "<p>c</p>")], "page_id long, html string"), keep_empty=True)
     assert sorted(r["text"] for r in el.replace_documents(old, new).collect()) == ["b", "c"]
+
+
+def test_dispatch_by_first_bytes(spark):
+    from quire.sources.dispatch import image_documents, kind_of
+
+    png = b"\x89PNG\r\n\x1a\n" + b"\x00\x00\x00\rIHDR" + (300).to_bytes(4, "big") + (200).to_bytes(4, "big")
+    rows = [("a.bin", b"%PDF-1.7"), ("b.png", png), ("c.docx", b"PK\x03\x04"), ("d.docx", b"text"), ("e.HTML", b"<p>"), ("f.txt", b"x"), ("g.xyz", b"x"), ("h.md", b"PK\x03\x04")]
+    df = spark.createDataFrame([(i, p, bytearray(b)) for i, (p, b) in enumerate(rows)], "doc_id long, path string, content binary")
+    got = [r["k"] for r in df.select("doc_id", kind_of(F.col("path"), F.col("content")).alias("k")).orderBy("doc_id").collect()]
+    assert got == ["pdf", "png", "docx", None, "html", "markdown", None, None]
+    pages, images = image_documents(df)
+    assert [tuple(r) for r in pages.collect()] == [(1, 0, 300.0, 200.0)] and images.first()["x1"] == 300.0
+
+
+def test_options(tmp_path):
+    from quire.sources.dispatch import load_options
+
+    (tmp_path / ".quire").mkdir()
+    (tmp_path / ".quire" / "options.toml").write_text('format = "xhtml"\n')
+    assert load_options(str(tmp_path))["format"] == "xhtml" and load_options(str(tmp_path / "none"))["format"] == "md"
+    (tmp_path / ".quire" / "options.toml").write_text("unheard = 1\n")
+    with pytest.raises(ValueError):
+        load_options(str(tmp_path))
+
+
+def test_a_failed_crop_fails_its_document(spark):
+    from quire.sources.dispatch import read_crops
+
+    def reader(prompt, picture):
+        if prompt == "bad":
+            raise ValueError("no reply")
+        return prompt.upper(), "MAX_TOKENS" if prompt == "long" else "STOP"
+
+    rows = [(1, "p0_t0", "one"), (1, "p0_t1", "two"), (2, "p0_t0", "ok"), (2, "p0_t1", "bad"), (3, "p0_t0", "long")]
+    got = read_crops(spark.createDataFrame([(*r, bytearray(b"")) for r in rows], "doc_id long, crop string, prompt string, picture binary"), reader).collect()
+    assert {(r["doc_id"], r["crop"]): r["reading"] for r in got} == {(1, "p0_t0"): "ONE", (1, "p0_t1"): "TWO", (2, "p0_t0"): None, (2, "p0_t1"): None, (3, "p0_t0"): None}
+
+
+def test_pdf_fonts_and_odd_files(spark):
+    from quire.plans.pages import pdf_of
+    from quire.sources import pdf
+
+    data = pdf_of(["two words", "naïve (x)"], "http://u", "Mark", "f", "vé")
+    glyphs = pdf.parse(data, "glyphs")
+    assert "".join(g[2] for g in glyphs) == "two wordsnaïve (x)" and {g[11] for g in glyphs} == {700}
+    assert pdf.parse(data, "fields")[0][1:4] == ("f", "text", "vé") and pdf.parse(data, "pages") == [(0, 612.0, 792.0)]
+    assert pdf.unicode_map(b"1 beginbfchar <01> <00660069> endbfchar 1 beginbfrange <05> <07> <0041> endbfrange") == {1: "fi", 5: "A", 6: "B", 7: "C"}
+    assert pdf.decoded(b"\xfe\xff\x00A") == "A" and pdf.decoded(b"a\xe9") == "aé"
+    stripes = np.zeros((40, 40), np.uint8)
+    stripes[:, ::4] = 255
+    assert pdf.looks_like_text(stripes) and not pdf.looks_like_text(np.full((40, 40), 128, np.uint8))
+    files = spark.createDataFrame([(1, bytearray(data)), (2, bytearray(b"junk")), (3, None), (4, bytearray(data[:300]))], "doc_id long, content binary")
+    got = pdf.read_pdf(files, "glyphs").groupBy("doc_id").agg(F.count("text").alias("n"), F.max("error").alias("e")).collect()
+    by = {r["doc_id"]: r for r in got}
+    assert by[1]["n"] == 18 and by[1]["e"] is None and by[2]["e"] is not None and 3 not in by
+
+
+def test_command_line(tmp_path, capsys, spark):
+    from quire import __main__ as cli
+    from quire.plans.pages import pdf_of
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.html").write_text("<h1>Head</h1><p>body</p>")
+    assert cli.convert(spark, type("A", (), {"paths": [str(tmp_path / "in")], "format": "md", "out": str(tmp_path / "out"), "pages": None})) == 0
+    assert (tmp_path / "out" / "a.md").read_text() == "# Head\n\nbody\n"
+    (tmp_path / "in" / "b.pdf").write_bytes(pdf_of(["Some words of a page"], "urn:x", "Mark", "name", "value"))
+    assert cli.forms(spark, type("A", (), {"paths": [str(tmp_path / "in")]})) == 0 and '"value": "value"' in capsys.readouterr().out
+    assert cli.convert(spark, type("A", (), {"paths": [str(tmp_path / "in" / "b.pdf")], "format": "text", "out": None, "pages": None})) == 0
+    assert "Some words of a page" in capsys.readouterr().out
+    assert cli.triage(spark, type("A", (), {"paths": [str(tmp_path / "in")]})) == 0 and '"pages": 1' in capsys.readouterr().out
+    assert [n for n, _ in cli.timings({"one": lambda: spark.range(3)}, 1)] == ["one"]
