@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import bound_batches, lean, one_blas_thread, parallelism
+from quire.llm.common import bound_batches, durable, lean, one_blas_thread, parallelism
 from quire.llm.text import buffers, mix, prefix_hashes, ranges, slices, span_hashes
 
 WINDOW = 64
@@ -214,42 +214,101 @@ def compare_with_next(ids: pa.Array, body: np.ndarray, offsets: np.ndarray) -> p
     )
 
 
+def order_keys(*columns: np.ndarray) -> np.ndarray:
+    """Signed integers as bytes that sort as the rows do."""
+    out = np.empty((len(columns[0]), len(columns)), ">u8")
+    for i, c in enumerate(columns):
+        out[:, i] = c.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+    return np.ascontiguousarray(out).view(f"S{8 * len(columns)}").reshape(-1)
+
+
+def range_bounds(keys: DataFrame, count: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Starts (ord, h, salt) of about `count` ranges, and (ord, h, salts) of keys of more rows than two ranges should have.
+
+    keys: ord, h, n.  Both lists grow with the ranges alone; they only decide where rows are
+    worked on.  No range is empty: starts are keys that exist, and a salt has 64 rows or more
+    on average (of 64 rows by hash none falls to it with a chance of 1e-28).
+    """
+    total = keys.agg(F.sum("n")).first()[0] or 0
+    most = max(1, 2 * -(-total // count))
+    salted = F.least(F.ceil(F.col("n") / most), F.floor(F.col("n") / 64)).cast("int")
+    hot = [tuple(r) for r in keys.where((F.col("n") > most) & (F.col("n") >= 128)).select("ord", "h", salted).orderBy("ord", "h").collect()]
+    after = keys.agg(*[F.min(F.when((F.col("ord") > o) | ((F.col("ord") == o) & (F.col("h") > h)), F.struct("ord", "h"))).alias(f"k{i}") for i, (o, h, _) in enumerate(hot)]).first() if hot else []
+    some = sorted((r["ord"], r["h"]) for r in keys.orderBy(F.xxhash64("ord", "h"), "ord", "h").limit(32 * count).select("ord", "h").collect())
+    cuts = {(*some[i * len(some) // count], 0) for i in range(1, count) if some}
+    for (o, h, salts), following in zip(hot, after):
+        cuts |= {(o, h, s) for s in range(salts)}
+        cuts |= {(following["ord"], following["h"], 0)} if following is not None else set()
+    least = keys.agg(F.min(F.struct("ord", "h")).alias("k")).first()["k"]
+    return sorted(c for c in cuts if least is not None and c > (least["ord"], least["h"], 0)), hot
+
+
 def fingerprint(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ranges_: int | None = None) -> DataFrame:
     """One row per document: its fingerprint, that of the edited text, and two likenesses.
 
-    Texts move once, to ranges of doc_id; the first document of each range goes to the
-    range before it too, so every document meets its next one without a global window.
-    Range bounds come from the doc_id column alone.
+    Texts move once, to ranges of (doc_id, text hash); the first document of each range goes
+    to the range before it too, so every document meets its next one without a global window.
+    Rows with one doc_id and text that are too many for a range are spread over several:
+    each one's next is its like, but for the last.
 
     Null texts are empty; empty texts have an empty fingerprint, like only to another
-    empty one.  A null doc_id sorts first; equal doc_ids are ordered by text.  An empty
-    table gives no rows; a single document is its own next one.
+    empty one.  A null doc_id sorts first; equal doc_ids are ordered by the hash of their
+    text.  An empty table gives no rows; a single document is its own next one.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("ord"))
+    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    own = given.withColumns({"ord": F.coalesce("doc_id", F.lit(-(2**63))), "h": F.xxhash64("text")})
     parts = parallelism(spark)
     count = ranges_ or 4 * parts
-    cuts = own.agg(F.min("ord").alias("least"), F.percentile_approx("ord", [i / count for i in range(1, count)] if count > 1 else [0.5], 20 * count).alias("cuts")).first()
-    least = cuts["least"]
-    bounds = [] if least is None or count == 1 else sorted({c for c in cuts["cuts"] if c > least})
-    # A bounded list (one value per range) as a small table; ranges are found by binary search.
-    edges = np.array(bounds, np.int64)
-
-    @F.pandas_udf("int")
-    def place(x: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, x.to_numpy(np.int64), side="right").astype(np.int32))
-
-    firsts = [*bounds, *([least] if least is not None else [])]
-    placed = own.withColumn("range", place("ord"))
+    keys = durable(own.groupBy("ord", "h").agg(F.count("*").alias("n")))
+    bounds, hot = range_bounds(keys, count)
+    least = keys.agg(F.min(F.struct("ord", "h")).alias("k")).first()["k"]
+    # Bounded lists (some values per range); places are found by binary search.
+    edges = order_keys(*(np.array([b[i] for b in bounds], np.int64) for i in range(3)))
+    crowds = order_keys(*(np.array([b[i] for b in hot], np.int64) for i in range(2)))
+    salts = np.array([b[2] for b in hot], np.int64)
     last = len(bounds)
-    guest = F.when(F.col("ord") == F.lit(least if least is not None else 0), F.lit(last)).otherwise(F.col("range") - 1)
-    is_first = F.col("ord").isin(firsts) if firsts else F.lit(False)
-    both = placed.select("doc_id", "text", "ord", F.explode(F.when(is_first, F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("guest")), F.struct(guest.cast("int").alias("range"), F.lit(True).alias("guest")))).otherwise(F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("guest"))))).alias("at"))
-    sorted_ = both.select("doc_id", "text", "ord", "at.range", "at.guest").repartitionById(parts, "range").sortWithinPartitions("range", "guest", "ord", "text").select("doc_id", "text", "range", "guest")
+    # the first rows of ranges, but for those that begin within a crowd
+    starts = order_keys(*(np.array([b[i] for b in bounds if b[2] == 0], np.int64) for i in range(2)))
+    least_key = order_keys(np.array([least["ord"]]), np.array([least["h"]]))[0] if least is not None else b""
+
+    @F.pandas_udf("range int, guest int, inner boolean")
+    def place(o: pd.Series, h: pd.Series, row: pd.Series) -> pd.DataFrame:
+        """The range of a row; the range that it also goes to as a guest, or -1; whether its range ends within a crowd."""
+        a, b = o.to_numpy(np.int64), h.to_numpy(np.int64)
+        key = order_keys(a, b)
+        salt = np.zeros(len(a), np.int64)
+        inner = np.zeros(len(a), bool)
+        if len(crowds):
+            i = np.minimum(np.searchsorted(crowds, key), len(crowds) - 1)
+            crowd = crowds[i] == key
+            salt = np.where(crowd, (row.to_numpy(np.int64) & 0x7FFFFFFF) % salts[i], 0)
+            inner = crowd & (salt < salts[i] - 1)
+        found = np.searchsorted(edges, order_keys(a, b, salt), side="right")
+        first = np.zeros(len(a), bool)
+        if len(starts):
+            i = np.minimum(np.searchsorted(starts, key), len(starts) - 1)
+            first = (starts[i] == key) & (salt == 0)
+        guest = np.where(first, found - 1, -1)
+        guest = np.where((key == least_key) & (salt == 0), last, guest)
+        return pd.DataFrame({"range": found.astype(np.int32), "guest": guest.astype(np.int32), "inner": inner})
+
+    at = lambda r, guest, inner: F.struct(r.alias("range"), F.lit(guest).alias("guest"), inner.alias("inner"))
+    placed = own.withColumn("at", place("ord", "h", F.xxhash64(F.monotonically_increasing_id())))
+    one, two = at(F.col("at.range"), False, F.col("at.inner")), at(F.col("at.guest"), True, F.lit(False))
+    both = placed.select("doc_id", "text", "ord", "h", F.explode(F.when(F.col("at.guest") >= 0, F.array(one, two)).otherwise(F.array(one))).alias("at"))
+    sorted_ = both.select("doc_id", "text", "ord", "h", "at.range", "at.guest", "at.inner").repartitionById(parts, "range").sortWithinPartitions("range", "guest", "ord", "h", "text").select("doc_id", "text", "range", "guest", "inner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_blas_thread()
         held: pa.RecordBatch | None = None
+
+        def closed(row: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            """The last row of a range that ends within a crowd: its next is its like."""
+            if row.column(4)[0].as_py() and not row.column(3)[0].as_py():
+                pair = pa.Table.from_batches([row, row]).combine_chunks().to_batches()[0]
+                yield compare_with_next(pair.column(0), *buffers(pair.column(1)))
+
         for part in slices(batches, "text", 1 << 17):  # small slices stay in the CPU cache
             # one run per range; of a range's guests only the first counts
             where = part.column(2).to_numpy(zero_copy_only=False)
@@ -262,9 +321,13 @@ def fingerprint(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ran
                     if held.column(3)[0].as_py():
                         continue
                     take = pa.Table.from_batches([held, take]).combine_chunks().to_batches()[0]
+                elif held is not None:
+                    yield from closed(held)
                 held = take.slice(take.num_rows - 1)
                 if take.num_rows > 1:
                     yield compare_with_next(take.column(0), *buffers(take.column(1)))
+        if held is not None:
+            yield from closed(held)
 
     bound_batches(spark)
     return sorted_.mapInArrow(lean(run), OUT)

@@ -759,3 +759,20 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     for r in seen[4]:
         packed[r["doc_id"]] = packed.get(r["doc_id"], 0) + r["length"]
     assert packed == count
+
+
+def test_fingerprints_of_crowds(spark):
+    """Rows with one doc_id, or with one text as well, are spread over ranges; every row still meets its next one."""
+    rng = random.Random(9)
+    same = sentence(rng, 40)
+    docs = [(7, same)] * 200 + [(7, sentence(rng, 30)) for _ in range(40)] + [(None, sentence(rng, 30)) for _ in range(30)] + [(None, None)] * 50 + [(i, sentence(rng, 20)) for i in range(20, 30)]
+    hashes = {r["t"]: r["h"] for r in spark.createDataFrame([(t or "",) for _, t in set(docs)], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    order = sorted(((-(2**63) if i is None else i, hashes[t or ""], t or "") for i, t in docs))
+    want = []
+    for j, (i, _, t) in enumerate(order):
+        q = len(t) // 4
+        follow = order[(j + 1) % len(order)][2]
+        want.append((i, len(t), hashlib.sha256((t[: len(t) - q] + follow[:q]).encode()).hexdigest()))
+    for ranges in (1, 3, 16, 64):
+        got = fingerprints.fingerprint(frame(spark, [(i, t, "a") for i, t in docs]), ranges_=ranges).collect()
+        assert sorted((-(2**63) if r["doc_id"] is None else r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == sorted(want), ranges
