@@ -26,7 +26,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from quire.llm import setjoin
 from quire.llm.common import bound_batches, durable, lean, release_shuffles, sized
-from quire.llm.text import LOWER, SPACED, buffers, mix, prefix_hashes, ranges, slices, span_hashes, words
+from quire.llm.text import LOWER, SPACED, buffers, mix, ranges, slices, word_hashes, words
 
 
 def line_starts(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +43,7 @@ def word_sets(body: np.ndarray, offsets: np.ndarray):
     lowered = LOWER[body]
     starts, ends, _ = words(lowered, offsets, SPACED)
     line = np.searchsorted(edges, starts, side="right") - 1
-    tokens = span_hashes(prefix_hashes(lowered), starts, ends)
+    tokens = word_hashes(lowered, starts, ends)
     order = setjoin.row_order(tokens, line)
     tokens, line = tokens[order], line[order]
     fresh = np.ones(len(tokens), bool)

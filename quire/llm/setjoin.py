@@ -563,7 +563,7 @@ def common_pairs(items: DataFrame, extract: Extract, num: int, den: int, often:
             yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(count)], names=["token", "n"])
 
     # Counted in a part of the rows: it only decides how tokens are spread.
-    some = items.where(F.pmod(F.xxhash64("id", "tie", F.lit(3)), F.lit(64)) == 0).mapInArrow(lean(common), "token long, n long")
+    some = items.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(64)) == 0).mapInArrow(lean(common), "token long, n long")
     hot = some.groupBy("token").agg((64 * F.sum("n")).alias("n")).where(f"n > {split}").orderBy(F.desc("n"), "token").limit(1_000_000).toPandas().sort_values("token")
     spread = items.sparkSession.sparkContext.broadcast((hot["token"].to_numpy(np.int64).view(np.uint64), -(-hot["n"].to_numpy(np.int64) // split)))
 

@@ -10,6 +10,7 @@ Nulls are treated as empty texts; empty texts have no words.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,6 +125,27 @@ def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((prefix[ends] - prefix[starts]) * down[starts])
 
 
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, read eight bytes at a time; for many short words."""
+    length = ends - starts
+    out = length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    padded = np.concatenate([body, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(body) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    some, at = slice(None), 0
+    while at < 64:
+        out[some] = mix(out[some] ^ (eights[starts[some] + at] & _LOW_BYTES[np.minimum(length[some] - at, 8)]))
+        at += 8
+        some = np.flatnonzero(length > at)
+        if not len(some):
+            return out
+    for k in some.tolist():  # long runs without a blank
+        out[k] = int.from_bytes(hashlib.blake2b(body[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def gram_hashes(tokens: np.ndarray, k: int) -> np.ndarray:
     """Hash of tokens[i : i + k] for every i <= len(tokens) - k."""
     n = len(tokens) - k + 1

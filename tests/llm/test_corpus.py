@@ -776,3 +776,17 @@ def test_fingerprints_of_crowds(spark):
     for ranges in (1, 3, 16, 64):
         got = fingerprints.fingerprint(frame(spark, [(i, t, "a") for i, t in docs]), ranges_=ranges).collect()
         assert sorted((-(2**63) if r["doc_id"] is None else r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == sorted(want), ranges
+
+
+def test_word_hashes_tell_words_apart():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab\u00e9") for _ in range(rng.choice([1, 2, 7, 8, 9, 16, 17, 63, 64, 65, 300]))) for _ in range(3000)]
+    body, offsets = kernels.buffers(pa.array([" ".join(texts)]))
+    starts, ends, _ = kernels.words(body, offsets, kernels.SPACED)
+    seen = {}
+    for t, h in zip(texts, kernels.word_hashes(body, starts, ends).tolist()):
+        assert seen.setdefault(t, h) == h
+    assert len(set(seen.values())) == len(seen)
+    alone = kernels.buffers(pa.array([texts[-1]]))[0]
+    assert kernels.word_hashes(alone, np.array([0]), np.array([len(alone)]))[0] == seen[texts[-1]]
+    assert len(kernels.word_hashes(body, starts[:0], ends[:0])) == 0
