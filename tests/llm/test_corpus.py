@@ -790,3 +790,36 @@ def test_word_hashes_tell_words_apart():
     alone = kernels.buffers(pa.array([texts[-1]]))[0]
     assert kernels.word_hashes(alone, np.array([0]), np.array([len(alone)]))[0] == seen[texts[-1]]
     assert len(kernels.word_hashes(body, starts[:0], ends[:0])) == 0
+
+
+def test_same_rows_without_broadcasts(spark, rows, monkeypatch):
+    """Beyond the bound on broadcasts the same joins shuffle, with the same results."""
+    from quire.llm import common
+
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(10 + 3 * i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+
+    def results():
+        near = sorted(map(repr, neardup.near_duplicates(docs).collect()))
+        lines = sorted((repr((r["doc_id"], r["text"], r["_removed"])) for r in linededup.dedup_lines(docs).collect()))
+        kept = sorted(repr((r["doc_id"], r["text"])) for r in neardup.distinct_documents(docs).collect())
+        scores = sorted(repr((r["doc_id"], round(r["_score"], 9))) for r in quality.classify(docs, labels).collect())
+        return near, lines, kept, scores
+
+    before = results()
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert not common.small(1) and results() == before
+
+
+def test_shared_folder_must_be_named_on_a_cluster(monkeypatch):
+    from quire.llm import common
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    fake = type("Session", (), {"sparkContext": Context(), "conf": {}})()
+    with pytest.raises(ValueError):
+        common.shared_folder(fake)
