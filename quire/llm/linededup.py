@@ -5,7 +5,8 @@ A line's tokens are its words, lower-cased in A-Z and counted within the line (t
 (compared in integers); every line that matches an earlier one, in order of doc_id, text
 hash and line number, is removed.  Tokens are ordered rare first, and prefix, length,
 positional and parity filters and verification are those of `setjoin`; equal lines form
-classes and are never expanded into pairs.
+classes and are never expanded into pairs, and of many similar lines each is compared with
+few of the earliest first, with all its candidates only if it matches none of these.
 
 Lines end at line feeds.  Lines without a word and lines of documents with a null doc_id
 stay.  A null text stays null, an empty one empty.  Rows that share a doc_id are told
@@ -69,10 +70,8 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     lines = seen.where("counts IS NULL").drop("piece", "counts")
     classes = durable(setjoin.classes_of(lines))
     release_shuffles(docs.sparkSession)
-    pairs = setjoin.common_links(items, seen, classes, word_sets, num, den)
-    both = pairs.union(pairs.select("y", "x")).toDF("e", "other")
-    other = both.join(classes.select(F.col("e").alias("other"), F.col("first").alias("rival")), "other").groupBy("e").agg(F.min("rival").alias("rival"))
-    doomed = classes.join(other, "e", "left").withColumn("lost", F.coalesce(F.col("rival") < F.col("first"), F.lit(False))).where("copies > 1 OR lost")
+    lost = setjoin.matched(items, seen, classes, word_sets, num, den).withColumn("lost", F.lit(True))
+    doomed = classes.join(sized(lost), "e", "left").withColumn("lost", F.coalesce("lost", F.lit(False))).where("copies > 1 OR lost")
     doomed = durable(doomed.select("e", F.col("s2").alias("_s2"), F.col("n").alias("_n"), "first", "lost"))
     same = (F.col("s1") == F.col("e")) & (F.col("s2") == F.col("_s2")) & (F.col("n") == F.col("_n"))
     gone = lines.join(sized(doomed), same).where("lost OR NOT (id = first.id AND tie = first.tie AND number = first.number)")

@@ -19,7 +19,8 @@ Used for documents (word shingles) and for lines.  Four steps:
    histograms of tokens before the overlap is counted exactly.
 
 For sets of common tokens, such as the words of lines, `signed`, `common_pairs` and
-`common_links` do the same with packed prefixes instead of steps 1 and 3.
+`common_links` do the same with packed prefixes instead of steps 1 and 3; `matched` finds
+the sets that match an earlier one without all pairs of large groups.
 
 Tokens are 64-bit hashes, which collide with a chance of 5e-20 a pair.  Sets are told
 apart by two signatures and their size; between classes that may have partners, links
@@ -32,7 +33,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -525,8 +526,8 @@ LONG = 65_535
 
 
 def prefix_tokens(part: pa.RecordBatch, extract: Extract, num: int, den: int, often: np.ndarray):
-    """Of each set the tokens of its prefix, rare buckets first: (token, place), of which item; sizes, signatures and parity bits."""
-    tokens, owner, _, _, n, s1, _ = sets_of(part, "text", extract)
+    """Of each set the tokens of its prefix, rare buckets first: (token, place), of which item; sizes, signatures, parity bits and rows."""
+    tokens, owner, row, _, n, s1, _ = sets_of(part, "text", extract)
     df = often[(tokens & np.uint64(FREQUENCIES - 1)).astype(np.int64)]
     rank = np.minimum(63, 2 * np.log2(np.maximum(df, 1))).astype(np.uint64)  # in steps of root 2, then by hash
     order = row_order((rank << np.uint64(58)) | (tokens >> np.uint64(6)), owner)
@@ -539,33 +540,75 @@ def prefix_tokens(part: pa.RecordBatch, extract: Extract, num: int, den: int, of
     # a set so small that only its equals can match is left out
     other = (n * den // num > n) | (needed(n, num, den) < n) | (needed(2 * n, num, num + den) < n)
     keep = (place < (n - needed(n, num, den) + SHARED)[owner]) & other[owner] & (df[order] > 1)
-    return tokens[order][keep], place[keep], owner[keep], n, s1, bits
+    return tokens[order][keep], place[keep], owner[keep], n, s1, bits, row
 
 
-_PIECE = "bucket int, keys binary, sizes binary, places binary, bits binary, e binary"
+_MET = "x long, y long, met long, shared int"
+_ROW = np.dtype([("e", "<u8"), ("id", "<i8"), ("bits", "<u8"), ("size", "<u2"), ("place", "u1"), ("index", "?")])
+_PIECE = "bucket int, keys binary, sizes binary, places binary, bits binary, e binary, ids binary"
 
+#: Where sets meet, each is paired with so many earlier ones at a token; for those that then have no match the rest is looked at.
+EARLIER = 8
 
-def common_pairs(items: DataFrame, extract: Extract, num: int, den: int, often: np.ndarray, buckets: int, split: int = 8192) -> DataFrame:
-    """(x, y, token, df): pairs of different sets that share SHARED prefix tokens and pass the length, positional
-    and parity filters, found where the tokens' buckets meet; packed, 23 bytes a token.
 
-    Sets that overlap by o share at least SHARED of the first n - o + SHARED tokens of each
-    (all, where o is less), and before the last of these no more than SHARED - 1.
+def fitting(size: np.ndarray, place: np.ndarray, index: np.ndarray, bits: np.ndarray, e: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows (a, b) of one token, a no larger than b, those that pass the filters."""
+    both = size[a] + size[b]
+    least = -(-both * num // (num + den))
+    long = (size[b] == LONG) & (size[a] * den // num >= LONG)  # such sets are verified without these filters
+    near = (size[b] * num <= size[a] * den) & (np.minimum(size[a] - place[a], size[b] - place[b]) + SHARED - 1 >= least)
+    some = np.flatnonzero((near & (index[a] | (index[b] & (size[a] == size[b])))) | long)
+    a, b = a[some], b[some]
+    fit = ((np.bitwise_count(bits[a] ^ bits[b]) <= (both - 2 * least)[some]) | long[some]) & (e[a] != e[b])
+    return a[fit], b[fit]
+
+
+def weights(size: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """What a shared token counts: all that is needed, for pairs that needn't share as many."""
+    return np.where((-(-(size[a] + size[b]) * num // (num + den)) < SHARED) | (size[b] == LONG), SHARED, 1)
 
-    Copies within a chunk are sent once.  Tokens of more than about `split` sets are spread
-    over salts: one side of a pair goes to all of them, the other to one.
-    """
-    shared = items.sparkSession.sparkContext.broadcast(often)
+
+def hot_tokens(items: DataFrame, extract: Extract, num: int, den: int, shared: Broadcast, split: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix tokens of more than about `split` sets, and their salts; counted in a part of the rows, as it only decides how tokens are spread."""
 
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1 << 18):
             token, count = np.unique(prefix_tokens(part, extract, num, den, shared.value)[0].view(np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(count)], names=["token", "n"])
 
-    # Counted in a part of the rows: it only decides how tokens are spread.
+    bound_batches(items.sparkSession)
     some = items.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(64)) == 0).mapInArrow(lean(common), "token long, n long")
     hot = some.groupBy("token").agg((64 * F.sum("n")).alias("n")).where(f"n > {split}").orderBy(F.desc("n"), "token").limit(1_000_000).toPandas().sort_values("token")
-    spread = items.sparkSession.sparkContext.broadcast((hot["token"].to_numpy(np.int64).view(np.uint64), -(-hot["n"].to_numpy(np.int64) // split)))
+    return hot["token"].to_numpy(np.int64).view(np.uint64), -(-hot["n"].to_numpy(np.int64) // split)
+
+
+def common_pairs(items: DataFrame, extract: Extract, num: int, den: int, often: np.ndarray, buckets: int, split: int = 8192) -> DataFrame:
+    """(x, y, token, df): pairs of different sets that share SHARED prefix tokens and pass the filters of `meetings`."""
+    return counted(meetings(items, extract, num, den, often, buckets, split))
+
+
+def counted(met: DataFrame) -> DataFrame:
+    """Each pair (x, y) once that shares SHARED tokens, with the commonest that it met at."""
+    pairs = met.groupBy("x", "y").agg(F.max("met").alias("met"), F.sum("shared").alias("shared")).where(F.col("shared") >= SHARED)
+    return pairs.select("x", "y", F.shiftright("met", 32).alias("df"), F.col("met").alias("token"))
+
+
+def meetings(items: DataFrame, extract: Extract, num: int, den: int, often: np.ndarray, buckets: int, split: int = 8192, most: int | None = None) -> DataFrame:
+    """(x, y, met, shared, left): pairs of different sets that share prefix tokens and pass the length, positional
+    and parity filters, found where the tokens' buckets meet; packed, 23 bytes a token and the id by byte planes.
+
+    `most`: at each token a set is paired with no more than so many sets of least id that is
+    not above its own.  What is left out is told by rows with `left`: where y isn't null it is
+    such a set and x the token's key; else `left` packs all sets of these pairs (see `_ROW`).
+
+    Sets that overlap by o share at least SHARED of the first n - o + SHARED tokens of each
+    (all, where o is less), and before the last of these no more than SHARED - 1.
+
+    Copies within a chunk are sent once.  Tokens of more than about `split` sets are spread
+    over salts: one side of a pair goes to all of them, the other to one.
+    """
+    shared = items.sparkSession.sparkContext.broadcast(often)
+    spread = items.sparkSession.sparkContext.broadcast(hot_tokens(items, extract, num, den, shared, split))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -573,7 +616,7 @@ def common_pairs(items: DataFrame, extract: Extract, num: int, den: int, often:
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held, n_bytes
-            token, size, place, bits, e = (np.concatenate([h[i] for h in held]) for i in range(5))
+            token, size, place, bits, e, ids = (np.concatenate([h[i] for h in held]) for i in range(6))
             held, n_bytes = [], 0
             short = size - needed(2 * size, num, num + den) + SHARED
             hot_tokens, hot_salts = spread.value
@@ -584,7 +627,7 @@ def common_pairs(items: DataFrame, extract: Extract, num: int, den: int, often:
                 salts = np.where(hot_tokens[at] == token, hot_salts[at], 1)
                 salt = ranges(salts)
                 index = np.repeat(index, salts) & (salt == np.repeat((e % salts.astype(np.uint64)).astype(np.int64), salts))
-                token, size, place, bits, e = (np.repeat(x, salts) for x in (token, size, place, bits, e))
+                token, size, place, bits, e, ids = (np.repeat(x, salts) for x in (token, size, place, bits, e, ids))
                 key = mix(token + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             which = (key >> np.uint64(32)) % np.uint64(buckets)
             # by bucket; copies come together, all but surely
@@ -592,6 +635,7 @@ def common_pairs(items: DataFrame, extract: Extract, num: int, den: int, often:
             key, e, which = key[order], e[order], which[order]
             fresh = np.ones(len(key), bool)
             fresh[1:] = (key[1:] != key[:-1]) | (e[1:] != e[:-1])
+            ids = np.minimum.reduceat(ids[order], np.flatnonzero(fresh)) if len(key) else ids
             order, key, e, which = order[fresh], key[fresh], e[fresh], which[fresh].astype(np.int64)
             size, bits = np.minimum(size[order], LONG).astype(np.uint16), bits[order]
             place = (np.minimum(place[order], 127) | np.where(index[order], 128, 0)).astype(np.uint8)
@@ -599,11 +643,12 @@ def common_pairs(items: DataFrame, extract: Extract, num: int, den: int, often:
             ends = np.append(cut[1:], len(which))
             low = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             columns = [pa.array(which[cut].astype(np.int32))] + [pa.array([x[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()) for x in (low, size, place, bits, e)]
+            columns.append(pa.array([ids[a:b].view(np.uint8).reshape(-1, 8).T.tobytes() for a, b in zip(cut, ends)], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _PIECE.split(", ")])
 
         for part in slices(batches, "text", 1 << 18):
-            token, place, owner, n, s1, bits = prefix_tokens(part, extract, num, den, shared.value)
-            held.append((token, n[owner], place, bits[owner], s1[owner]))
+            token, place, owner, n, s1, bits, row = prefix_tokens(part, extract, num, den, shared.value)
+            held.append((token, n[owner], place, bits[owner], s1[owner], part.column("id").to_numpy(zero_copy_only=False).astype(np.int64)[row[owner]]))
             n_bytes += int(buffers(part.column("text"))[1][-1])
             if n_bytes >= CHUNK_BYTES:
                 yield from flush()
@@ -613,6 +658,7 @@ def common_pairs(items: DataFrame, extract: Extract, num: int, den: int, often:
     def meet(group: pa.Table) -> pa.Table:
         read = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in group.column(name)])
         key, size, place, bits, e = read("keys", np.uint32), read("sizes", np.uint16).astype(np.int64), read("places", np.uint8), read("bits", np.uint64), read("e", np.uint64)
+        ids = np.concatenate([np.ascontiguousarray(np.frombuffer(x.as_buffer(), np.uint8).reshape(8, -1).T).view(np.int64)[:, 0] for x in group.column("ids")])
         # by token, size and set: one sort; copies that a collision keeps apart only weaken the count below
         order = np.argsort((key.astype(np.uint64) << np.uint64(32)) | (size.astype(np.uint64) << np.uint64(16)) | (e & np.uint64(0xFFFF)))
         k = key[order]
@@ -620,34 +666,60 @@ def common_pairs(items: DataFrame, extract: Extract, num: int, den: int, often:
         again[1:] = k[1:] == k[:-1]
         again[:-1] |= again[1:]
         order = order[again]  # tokens that are there once pair with nothing
-        key, size, place, bits, e = (x[order] for x in (key, size, place, bits, e))
+        key, size, place, bits, e, ids = (x[order] for x in (key, size, place, bits, e, ids))
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (e[1:] != e[:-1]) | (size[1:] != size[:-1])
-        # an indexed row of a set stands for its copies
-        index = np.bitwise_or.reduceat(place >> 7, np.flatnonzero(fresh)).astype(bool) if len(key) else fresh
+        # an indexed row of a set stands for its copies, the least id for those of all
+        first = np.flatnonzero(fresh)
+        index = np.bitwise_or.reduceat(place >> 7, first).astype(bool) if len(key) else fresh
+        ids = np.minimum.reduceat(ids, first) if len(key) else ids
         key, size, place, bits, e = (x[fresh] for x in (key, size, place & 127, bits, e))
         place = place.astype(np.int64)
-        found: list[tuple[np.ndarray, ...]] = []
-        run = np.searchsorted(key, key)
-        left = np.searchsorted(key, key, side="right") - run
+        cut, spare = np.zeros(len(key), bool), np.zeros(len(key), bool)
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # (later, earlier) rows that fit
+        n_held, room = 0, 1 << 20
+
+        def trim() -> None:
+            nonlocal held, n_held, room
+            late, early = (np.concatenate([h[c] for h in held]) if held else np.zeros(0, np.int64) for c in range(2))
+            if most is not None:
+                order = np.lexsort((e[early], ids[early], late))
+                late, early = late[order], early[order]
+                over = np.arange(len(late)) - np.searchsorted(late, late) >= most
+                cut[late[over]] = spare[early[over]] = True
+                late, early = late[~over], early[~over]
+            held, n_held = [(late, early)], len(late)
+            room = max(1 << 20, 2 * n_held)
+
+        # A set meets those from its own size on up to the largest that length, position and index allow.
+        reach = np.minimum(size * den // num, (size - place + SHARED - 1) * (num + den) // num - size)
+        reach = np.where(index, reach, np.minimum(reach, size))
+        reach = np.where(size * den // num >= LONG, LONG, np.maximum(reach, 0)).astype(np.uint64)
+        spot = (key.astype(np.uint64) << np.uint64(16)) | size.astype(np.uint64)
+        stop = np.searchsorted(spot, (key.astype(np.uint64) << np.uint64(16)) | reach, side="right")
         i = np.arange(len(key))
         for d in range(1, len(key)):
-            i = i[i + d < len(key)]
-            j = i + d
-            i = i[(key[i] == key[j]) & ((size[j] * num <= size[i] * den) | (size[j] == LONG))]
+            i = i[i + d < stop[i]]
             if not len(i):
                 break
             j = i + d
-            both = size[i] + size[j]
-            least = -(-both * num // (num + den))
-            fit = (index[i] | (index[j] & (size[i] == size[j]))) & (np.minimum(size[i] - place[i], size[j] - place[j]) + SHARED - 1 >= least)
-            fit &= np.bitwise_count(bits[i] ^ bits[j]) <= both - 2 * least
-            fit |= size[j] == LONG  # such sets are verified without these filters
-            fit &= e[i] != e[j]
-            if fit.any():
-                a, b = i[fit], j[fit]
-                found.append((e[b], e[a], key[a], left[a], np.where((least[fit] < SHARED) | (size[b] == LONG), SHARED, 1)))
-        x, y, token, df, shared = (np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.uint64) for c in range(5))
+            a, b = fitting(size, place, index, bits, e, i, j, num, den)
+            for late, early in ((b, a), (a, b)):
+                # of one id either may be the later
+                right = ids[early] <= ids[late]
+                if right.any():
+                    held.append((late[right], early[right]))
+                    n_held += int(right.sum())
+            if n_held > room:
+                trim()
+        trim()
+        late, early = held[0]
+        # once a pair, whichever was the later one
+        pair = np.unique(np.maximum(late, early) << 32 | np.minimum(late, early))
+        a, b = pair & 0xFFFFFFFF, pair >> 32
+        run = np.searchsorted(key, key[a])
+        df = np.searchsorted(key, key[a], side="right") - run
+        x, y, token, shared = np.maximum(e[a], e[b]), np.minimum(e[a], e[b]), key[a], weights(size, a, b, num, den)
         # within a bucket once a pair
         order = np.lexsort((df, y, x))
         x, y, token, df, shared = (z[order] for z in (x, y, token, df, shared))
@@ -656,22 +728,82 @@ def common_pairs(items: DataFrame, extract: Extract, num: int, den: int, often:
         total = np.diff(np.concatenate([[0], np.cumsum(shared.astype(np.int64))[last]]))
         x, y, token, df = (z[last] for z in (x, y, token, df))
         met = np.minimum(df.astype(np.int64), 2**31 - 1) << 32 | token.astype(np.int64)
-        return pa.table({"x": x.view(np.int64), "y": y.view(np.int64), "met": met, "shared": total.astype(np.int32)})
+        # what was left out: the later sets, then for each token all sets of these pairs
+        late, rows = np.flatnonzero(cut), np.flatnonzero(cut | spare)
+        packed = np.zeros(len(rows), _ROW)
+        for name, values in (("e", e), ("id", ids), ("bits", bits), ("size", size), ("place", place), ("index", index)):
+            packed[name] = values[rows]
+        at = np.flatnonzero(np.diff(key[rows].astype(np.int64), prepend=-1))
+        blobs = [packed[i:j].tobytes() for i, j in zip(at, np.append(at[1:], len(rows)))]
+        n, k = len(late), len(blobs)
+        return pa.table({
+            "x": np.concatenate([x.view(np.int64), key[late].astype(np.int64), key[rows[at]].astype(np.int64)]),
+            "y": pa.array(np.concatenate([y.view(np.int64), e[late].view(np.int64), np.zeros(k, np.int64)]), mask=np.repeat([False, True], [len(x) + n, k])),
+            "met": np.concatenate([met, np.zeros(n + k, np.int64)]), "shared": np.concatenate([total, np.zeros(n + k, np.int64)]).astype(np.int32),
+            "left": pa.array([None] * len(x) + [b""] * n + blobs, pa.binary()),
+        })
 
     bound_batches(items.sparkSession)
-    met = items.mapInArrow(lean(send), _PIECE).groupBy("bucket").applyInArrow(meet, "x long, y long, met long, shared int")
-    pairs = met.groupBy("x", "y").agg(F.max("met").alias("met"), F.sum("shared").alias("shared")).where(F.col("shared") >= SHARED)
-    return pairs.select("x", "y", F.shiftright("met", 32).alias("df"), F.col("met").alias("token"))
+    return items.mapInArrow(lean(send), _PIECE).groupBy("bucket").applyInArrow(meet, f"{_MET}, left binary")
+
+
+def left_out(left: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that `meetings` left out of sets: (left, late): packed sets of a token, and which of them, as the later ones."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, blob, late in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                rows = np.frombuffer(blob.as_buffer(), _ROW)
+                e, ids, bits, index = rows["e"], rows["id"], rows["bits"], rows["index"]
+                size, place = rows["size"].astype(np.int64), rows["place"].astype(np.int64)
+                for own in np.flatnonzero(np.isin(e.astype(np.int64), late)).tolist():
+                    other = np.flatnonzero(ids <= ids[own])
+                    first = size[other] < size[own]
+                    # of equal size either may be the indexed one
+                    a, b = fitting(size, place, index, bits, e, np.where(first, other, own), np.where(first, own, other), num, den)
+                    x, y = np.maximum(e[a], e[b]).astype(np.int64), np.minimum(e[a], e[b]).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(np.full(len(x), len(rows) << 32 | key)), pa.array(weights(size, a, b, num, den).astype(np.int32))], names=["x", "y", "met", "shared"])
+
+    return left.select("key", "left", "late").mapInArrow(lean(run), _MET)
+
+
+def matched(items: DataFrame, seen: DataFrame, classes: DataFrame, extract: Extract, num: int, den: int, most: int = EARLIER) -> DataFrame:
+    """(e): the classes that match one whose first item is earlier.
+
+    Of a large group of similar sets, whose pairs grow as its square, each is compared with
+    few of the earliest.  Sets that had others left out, and have no match yet, are compared
+    with these too: then each set has a match, or was compared with all its candidates.
+    """
+    buckets = estimated_buckets(items, parallelism(items.sparkSession))
+    met = durable(meetings(items, extract, num, den, frequencies(seen), buckets, most=most))
+    release_shuffles(items.sparkSession)
 
-def common_links(items: DataFrame, seen: DataFrame, classes: DataFrame, extract: Extract, num: int, den: int, block: int = 128) -> DataFrame:
+    def later(pairs: DataFrame) -> DataFrame:
+        both = pairs.union(pairs.select("y", "x")).toDF("e", "other")
+        rivals = classes.select(F.col("e").alias("other"), F.col("first").alias("rival")).join(sized(both), "other").groupBy("e").agg(F.min("rival").alias("rival"))
+        return durable(classes.select("e", "first").join(sized(durable(rivals)), "e").where("rival < first").select("e").distinct())
+
+    kept = met.where("left IS NULL").drop("left")
+    found = later(common_links(items, counted(kept), classes, extract, num, den))
+    open_ = durable(met.where("left IS NOT NULL AND y IS NOT NULL").select(F.col("x").alias("key"), F.col("y").alias("e")).join(sized(found), "e", "left_anti"))
+    if open_.isEmpty():
+        return found
+    asked = durable(open_.groupBy("key").agg(F.collect_list("e").alias("late")))
+    size = asked.agg(F.count("*"), F.sum(F.size("late"))).first()
+    rest = left_out(met.where("y IS NULL").select(F.col("x").alias("key"), "left").join(sized(asked, *size), "key"), num, den)
+    own = durable(open_.select("e").distinct())
+    for side in ("x", "y"):  # tokens at which these pairs were kept count too
+        rest = rest.union(kept.join(sized(own.withColumnRenamed("e", side)), side, "left_semi").select("x", "y", F.lit(-1).cast("long"), "shared"))
+    return found.union(later(common_links(items, counted(rest).where("token >= 0"), classes, extract, num, den))).distinct()
+
+
+def common_links(items: DataFrame, pairs: DataFrame, classes: DataFrame, extract: Extract, num: int, den: int, block: int = 128) -> DataFrame:
     """As `links`, for lines, whose tokens are mostly common: ordered by a table of hash buckets,
     so only prefixes move; parity bits reject most pairs where they meet.  Lines of pairs
     that are left go as texts straight to the blocks where they are verified."""
-    buckets = estimated_buckets(items, parallelism(items.sparkSession))
-    placed = in_blocks(common_pairs(items, extract, num, den, frequencies(seen), buckets), block)
+    placed = in_blocks(pairs, block)
     release_shuffles(items.sparkSession)
-    named = members_of(placed).join(classes.select("e", "n", "first"), "e")
+    named = classes.select("e", "n", "first").join(sized(durable(members_of(placed))), "e")
     wanted = named.groupBy(F.col("first.id").alias("_id"), F.col("first.tie").alias("_tie")).agg(F.collect_list(F.struct("first.number", "block", "e", "n")).alias("wanted"))
     wanted = durable(wanted)
     size = wanted.agg(F.count("*"), 2 * F.sum(F.size("wanted"))).first()

@@ -192,6 +192,45 @@ def test_hot_prefix_tokens_are_spread(spark):
     assert true and true <= found[0] and true <= found[1]
 
 
+def test_large_groups_of_similar_lines_are_not_paired(spark):
+    """Of a group that grows with the table each line meets a bounded number of others, and still none is lost."""
+    from quire.llm import setjoin
+
+    rng = random.Random(5)
+    base = sentence(rng, 60).split()
+
+    def variant(k):
+        w = list(base)
+        for at in rng.sample(range(60), k):
+            w[at] = f"own{rng.randrange(40)}"
+        return " ".join(w)
+
+    texts = [variant(rng.randrange(1, 9)) for _ in range(300)]
+    # one a doc; then several of one doc, and unlike lines that share the group's rare words
+    docs = [(i, t) for i, t in enumerate(texts[:200])] + [(300 + i, "\n".join(texts[200 + 10 * i : 210 + 10 * i])) for i in range(10)]
+    docs += [(500 + i, " ".join(base[: 30 + i % 20] + sentence(rng, 25).split())) for i in range(60)]
+    docs = [(997 * i % 1009, t) for i, t in docs]
+    items = spark.createDataFrame([(i, 0, t) for i, t in docs], "id long, tie long, text string")
+    seen = setjoin.durable(setjoin.signed(items, linededup.word_sets))
+    often = setjoin.frequencies(seen)
+    pairs = [setjoin.counted(setjoin.meetings(items, linededup.word_sets, 80, 100, often, 4, most=most).where("left IS NULL")).count() for most in (None, 8)]
+    assert pairs[0] > 15_000 and 4 * pairs[1] < pairs[0], pairs
+    gone = removed_lines(docs)
+    want = {k: "\n".join(s for n, s in enumerate(t.split("\n")) if (k, n) not in gone) for k, t in docs}
+    table = frame(spark, [(i, t, "a") for i, t in docs])
+    assert len(gone) > 200
+    assert {r["doc_id"]: r["text"] for r in linededup.dedup_lines(table).collect()} == want
+    # with one other at a token many sets are left to be compared with the rest
+    lines, classes = seen.where("counts IS NULL"), setjoin.classes_of(seen.where("counts IS NULL"))
+    found = {tuple(r) for r in setjoin.matched(items, seen, classes, linededup.word_sets, 80, 100, most=1).collect()}
+    by = {}
+    for r in lines.collect():
+        by[r["s1"]] = min(by.get(r["s1"], (1 << 40, 0, 0)), (r["id"], r["tie"], r["number"]))
+    bags = {e: bag(dict(docs)[i].split("\n")[n]) for e, (i, _, n) in by.items()}
+    true = {(e,) for e in bags if any(by[o] < by[e] and 100 * len(bags[e] & bags[o]) >= 80 * len(bags[e] | bags[o]) for o in bags)}
+    assert found == true
+
+
 def test_distinct_per_row_with_tied_upper_bits():
     rng = np.random.default_rng(5)
     upper = rng.integers(0, 3, 4000).astype(np.uint64) << np.uint64(40)
