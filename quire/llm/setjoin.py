@@ -367,7 +367,7 @@ def members_of(placed: DataFrame) -> DataFrame:
     return placed.select("block", F.col("x").alias("e")).union(placed.select("block", F.col("y").alias("e"))).distinct()
 
 
-def verified_blocks(placed: DataFrame, shipped: DataFrame, num: int, den: int, extract: Extract | None = None) -> DataFrame:
+def verified_blocks(placed: DataFrame, shipped: DataFrame, num: int, den: int, extract: Extract | None = None, spread: int = 4) -> DataFrame:
     """The placed pairs that reach the threshold, verified where the members of their block come together.
 
     shipped: block, e, n and tokens, or line (binary) that `extract` gives the tokens of.
@@ -375,7 +375,7 @@ def verified_blocks(placed: DataFrame, shipped: DataFrame, num: int, den: int, e
     last = shipped.columns[-1]
     kind = shipped.schema[last].dataType.simpleString()
     both = shipped.select("block", F.lit(0).alias("kind"), "e", "n", last).union(placed.select("block", F.lit(1), "x", "y", F.lit(None).cast(kind)))
-    stream = both.repartition(4 * parallelism(placed.sparkSession), "block").sortWithinPartitions("block", "kind", "e", "n")
+    stream = both.repartition(spread * parallelism(placed.sparkSession), "block").sortWithinPartitions("block", "kind", "e", "n")
 
     def sets_in(lists: pa.Array, e: np.ndarray, n: np.ndarray) -> list[Member]:
         if extract is None:
@@ -826,7 +826,7 @@ def common_links(items: DataFrame, pairs: DataFrame, classes: DataFrame, extract
             yield pa.RecordBatch.from_arrays([*rest, texts], names=["block", "e", "n", "line"])
 
     shipped = rows.mapInArrow(lean(send), "block long, e long, n long, line binary")
-    return durable(verified_blocks(placed, shipped, num, den, extract))
+    return durable(verified_blocks(placed, shipped, num, den, extract, spread=1))
 
 
 def components(edges: DataFrame) -> DataFrame:
