@@ -290,3 +290,42 @@ def test_command_line(tmp_path, capsys, spark):
     assert "Some words of a page" in capsys.readouterr().out
     assert cli.triage(spark, type("A", (), {"paths": [str(tmp_path / "in")]})) == 0 and '"pages": 1' in capsys.readouterr().out
     assert [n for n, _ in cli.timings({"one": lambda: spark.range(3)}, 1)] == ["one"]
+
+
+def long_page(rows: int):
+    """Rules and ink of a page of three ruled columns: 20 between rows, a word in each cell."""
+    import pyarrow as pa
+
+    h = np.array([[50, 100 + 20 * k, 350, 100 + 20 * k] for k in range(rows + 1)], float)
+    v = np.array([[50 + 100 * k, 100, 50 + 100 * k, 100 + 20 * rows] for k in range(4)], float)
+    at = [(r, c, i) for r in range(rows) for c in range(3) for i in range(4)]
+    x, y = np.array([54.0 + 100 * c + 6 * i for _, c, i in at]), np.array([114.0 + 20 * r for r, *_ in at])
+    text = [str(r)[-1] if r else "h" for r, *_ in at]
+    one = np.ones(len(at))
+    glyphs = {"draw_index": np.arange(len(at)), "text": text, "x0": x, "y0": y - 8, "x1": x + 6, "y1": y, "origin_x": x, "origin_y": y, "font_size": 10 * one, "advance": 6 * one, "weight": 400 * one, "rotation_deg": 0 * one}
+    return h, v, gr.Ink(pa.table(glyphs))
+
+
+def test_rules_of_a_long_page_meet_in_bounded_memory():
+    import tracemalloc
+
+    h, v, _ = long_page(5_000)
+    apart = h + [1_000, 0, 1_000, 0]
+    tracemalloc.start()
+    found = gr.component_grids(np.vstack([h, apart]), np.vstack([v, v + [1_000, 0, 1_000, 0]]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [g.shape for g in found] == [(5_000, 3), (5_000, 3)]
+    assert peak < 100 << 20  # pairs of all rules took over 1 GB
+    # against all pairs, in pieces of few pairs
+    boxes = np.random.default_rng(7).uniform(0, 300, (400, 4))
+    boxes[:, 2:] = boxes[:, :2] + boxes[:, 2:] / 20
+    label = np.arange(400)
+    near = ((boxes[:, None, :2] - 3 <= boxes[None, :, 2:]) & (boxes[None, :, :2] - 3 <= boxes[:, None, 2:])).all(axis=2)
+    while (least := np.where(near, label, 400).min(axis=1)).tolist() != label.tolist():
+        label = least
+    kept, gr.PAIRS = gr.PAIRS, 100
+    try:
+        assert gr.touching(boxes, 3).tolist() == label.tolist()
+    finally:
+        gr.PAIRS = kept
