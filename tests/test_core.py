@@ -329,3 +329,15 @@ def test_rules_of_a_long_page_meet_in_bounded_memory():
         assert gr.touching(boxes, 3).tolist() == label.tolist()
     finally:
         gr.PAIRS = kept
+
+
+def test_whole_reading_of_a_long_page_in_bounded_memory():
+    import tracemalloc
+
+    h, v, ink = long_page(6_000)
+    tracemalloc.start()
+    (g,) = gr.page_grids(ink, h, v, np.zeros((0, 4)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert g.shape == (6_000, 3) and gr.filled_cells(g, ink) == 18_000
+    assert peak < 150 << 20
