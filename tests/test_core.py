@@ -341,3 +341,10 @@ def test_whole_reading_of_a_long_page_in_bounded_memory():
     tracemalloc.stop()
     assert g.shape == (6_000, 3) and gr.filled_cells(g, ink) == 18_000
     assert peak < 150 << 20
+
+
+def test_ruled_grids_are_read_once(spark):
+    from quire.plans.pages import ruled_grids
+
+    plan = ruled_grids(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1
