@@ -348,3 +348,17 @@ def test_ruled_grids_are_read_once(spark):
 
     plan = ruled_grids(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("FlatMapGroupsInArrow") == 1
+
+
+def test_headers_and_cells_of_a_long_page_take_linear_time():
+    from time import process_time
+
+    h, v, ink = long_page(15_000)
+    fills = np.array([[50, 100 + 20 * k, 350, 118 + 20 * k] for k in range(1, 15_000, 2)], float)
+    start = process_time()
+    (g,) = gr.ruled_grids(h, v)
+    cells = gr.cell_texts(g, ink)
+    down, left = gr.merges(g, h, v, fills)
+    assert cells[0] == ["hhhh"] * 3 and cells[14_999] == ["9999"] * 3 and not any(down) and not any(left)
+    assert gr.header_rows(g, cells, ink, fills) == 1
+    assert process_time() - start < 10  # over a minute when every row was sought among all
