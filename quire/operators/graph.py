@@ -47,23 +47,23 @@ def document_graph(e: DataFrame, base: str = "urn:doc") -> DataFrame:
     box = bbox_text() if {"x0", "y0", "x1", "y1"} <= set(e.columns) else F.lit(None).cast("string")
     none = {c: F.lit(None).cast(t) for c, t in {"begin_index": "long", "end_index": "long", "target": "string", "row_index": "int", "col_index": "int", "value": "string", "row_header": "string", "column_header": "string"}.items()}
     known = ["doc_id", "seq", "type", "section", "page", "evidence"]
-    own = s.select(*known, F.lit(1).alias("k"), F.lit(0).alias("i"), F.col("type").alias("kind"), F.col("text").alias("label"), box.alias("bbox"), *[(F.col({"begin_index": "begin", "end_index": "end"}[c]) if c in ("begin_index", "end_index") else v).alias(c) for c, v in none.items()])
+    own = s.select(*known, F.lit(1).alias("k"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("type").alias("kind"), F.col("text").alias("label"), box.alias("bbox"), *[(F.col({"begin_index": "begin", "end_index": "end"}[c]) if c in ("begin_index", "end_index") else v).alias(c) for c, v in none.items()])
     blank = F.lit(None).cast("string")
     silent = [F.lit(None).cast(s.schema[c].dataType).alias(c) if c in ("page", "evidence") else F.col(c) for c in known]
-    opened = s.where("__opens IS NOT NULL").select(*silent, F.lit(0).alias("k"), F.lit(0).alias("i"), F.col("__opens").alias("kind"), blank.alias("label"), blank.alias("bbox"), *[v.alias(c) for c, v in none.items()])
+    opened = s.where("__opens IS NOT NULL").select(*silent, F.lit(0).alias("k"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("__opens").alias("kind"), blank.alias("label"), blank.alias("bbox"), *[v.alias(c) for c, v in none.items()])
     lead = F.length("text") - F.length(F.ltrim("text"))
     x = s.where("size(links) > 0").select(*known, "text", "begin", lead.alias("lead"), F.posexplode("links").alias("i", "l"))
     sure = F.col("l.begin").isNotNull() & (F.col("l.begin") >= F.col("lead")) & F.col("begin").isNotNull() & (F.col("type") != "doco:Table")
     shift = F.col("begin") - F.col("lead")
-    links = x.select(*known, F.lit(2).alias("k"), "i", F.lit("doc:Link").alias("kind"), F.when(sure, F.substr("text", F.col("l.begin") + 1, F.col("l.end") - F.col("l.begin"))).alias("label"), blank.alias("bbox"), F.when(sure, shift + F.col("l.begin")).cast("long").alias("begin_index"), F.when(sure, shift + F.col("l.end")).cast("long").alias("end_index"), F.col("l.uri").alias("target"), *[none[c].alias(c) for c in ("row_index", "col_index", "value", "row_header", "column_header")])
+    links = x.select(*known, F.lit(2).alias("k"), "i", F.lit(0).alias("j"), F.lit("doc:Link").alias("kind"), F.when(sure, F.substr("text", F.col("l.begin") + 1, F.col("l.end") - F.col("l.begin"))).alias("label"), blank.alias("bbox"), F.when(sure, shift + F.col("l.begin")).cast("long").alias("begin_index"), F.when(sure, shift + F.col("l.end")).cast("long").alias("end_index"), F.col("l.uri").alias("target"), *[none[c].alias(c) for c in ("row_index", "col_index", "value", "row_header", "column_header")])
     spans = cell_spans(e).select("doc_id", "seq", (F.col("row")).alias("__row"), F.col("col").alias("col_index"), F.col("value").alias("__raw"), F.col("begin").alias("__b"), F.col("end").alias("__e"))
     heads = s.select(*known, F.coalesce("header_rows", F.lit(1)).alias("__head"), F.col("begin").alias("__table"))
     c = table_cells(e).join(heads, ["doc_id", "seq"]).withColumn("__row", F.col("row_index") + F.col("__head"))
     c = c.join(spans, ["doc_id", "seq", "__row", "col_index"], "left")
     printed = F.col("__raw") == F.col("value")
-    cells = c.select(*known, F.lit(3).alias("k"), (F.col("row_index") * 100_000 + F.col("col_index")).alias("i"), F.lit("doc:TableCell").alias("kind"), blank.alias("label"), blank.alias("bbox"), F.when(printed, F.col("__table") + F.col("__b")).alias("begin_index"), F.when(printed, F.col("__table") + F.col("__e")).alias("end_index"), none["target"].alias("target"), "row_index", "col_index", "value", "row_header", "column_header")
+    cells = c.select(*known, F.lit(3).alias("k"), F.col("row_index").alias("i"), F.col("col_index").alias("j"), F.lit("doc:TableCell").alias("kind"), blank.alias("label"), blank.alias("bbox"), F.when(printed, F.col("__table") + F.col("__b")).alias("begin_index"), F.when(printed, F.col("__table") + F.col("__e")).alias("end_index"), none["target"].alias("target"), "row_index", "col_index", "value", "row_header", "column_header")
     rows = own.unionByName(opened).unionByName(links).unionByName(cells)
-    w = Window.partitionBy("doc_id").orderBy("seq", "k", "i")
+    w = Window.partitionBy("doc_id").orderBy("seq", "k", "i", "j")
     rows = rows.withColumn("n", F.row_number().over(w) + 1)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"__list": F.last(F.when(F.col("kind") == "doco:List", F.col("n")), ignorenulls=True).over(upto), "__own": F.max(F.when(F.col("k") == 1, F.col("n"))).over(Window.partitionBy("doc_id", "seq"))})

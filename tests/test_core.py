@@ -362,3 +362,13 @@ def test_headers_and_cells_of_a_long_page_take_linear_time():
     assert cells[0] == ["hhhh"] * 3 and cells[14_999] == ["9999"] * 3 and not any(down) and not any(left)
     assert gr.header_rows(g, cells, ink, fills) == 1
     assert process_time() - start < 10  # over a minute when every row was sought among all
+
+
+def test_graph_of_a_table_of_many_rows(spark):
+    from quire.operators import graph as gh
+    from quire.sources.markdown import read_markdown
+
+    text = "| a | b |\n|---|---|\n" + "\n".join(f"| x{k} | {k} |" for k in range(22_000))
+    nodes = gh.document_graph(read_markdown(spark.createDataFrame([(1, text)], "doc_id long, text string")))
+    last = nodes.where("row_index = 21999").orderBy("n").select("n", "value").collect()
+    assert [(r["n"], r["value"]) for r in last] == [(44_001, "x21999"), (44_002, "21999")]
