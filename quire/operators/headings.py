@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions.text import is_caption, is_contents_marker, is_marker, is_title_like, normal_title, numbering_depth, starts_like_item, without_bullet
 from quire.operators.figures import yields_to_figure
 from quire.schema import FIGURE, ITEM, PARAGRAPH, TITLE
+from quire.store import partitions_for
 
 ORDER = ["page", "block"]
 
@@ -179,10 +180,15 @@ def contents_order(blocks: DataFrame, columns: DataFrame) -> DataFrame:
 
     columns: doc_id, page, n_cols.
     """
-    marked = F.max(is_contents_marker(F.col("text")).cast("int")).over(Window.partitionBy("doc_id", "page")) == 1
-    f = blocks.join(columns.select("doc_id", "page", "n_cols"), ["doc_id", "page"], "left").withColumn("__rows", marked & (F.coalesce("n_cols", F.lit(1)) > 1))
+    page = Window.partitionBy("doc_id", "page")
+    # the numbers of columns come along as rows, so that pages are brought together once
+    both = blocks.withColumn("__own", F.lit(True)).unionByName(columns.select("doc_id", "page", "n_cols"), allowMissingColumns=True)
+    n = partitions_for(both)
+    both = both.repartition(n, "doc_id") if n else both
+    marked = F.max(is_contents_marker(F.col("text")).cast("int")).over(page) == 1
+    f = both.withColumn("__rows", marked & (F.coalesce(F.max("n_cols").over(page), F.lit(1)) > 1)).where("__own")
     order = Window.partitionBy("doc_id", "page").orderBy(F.when(F.col("__rows"), F.col("y0")), F.when(F.col("__rows"), F.col("x0")), "block")
-    return f.withColumn("block", F.row_number().over(order)).drop("__rows", "n_cols")
+    return f.withColumn("block", F.row_number().over(order)).drop("__own", "__rows", "n_cols")
 
 
 def is_item_block(text: Column) -> Column:

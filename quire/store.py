@@ -27,3 +27,12 @@ def written(df: DataFrame) -> DataFrame:
     where = sc._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(where)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def partitions_for(df: DataFrame, each: int = 1 << 20) -> int | None:
+    """Partitions for a shuffle of what is made of large files, one for so many bytes of them, so that what a
+    task sorts doesn't grow with the input; None where the session's own number will do or the size isn't known."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    n = min(sum(s for s in sizes if s < 1 << 60) // each, 1 << 16)
+    return n if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) else None

@@ -391,3 +391,26 @@ def test_references_without_a_semicolon(spark, tmp_path):
         want = con.execute(catalog.ORACLE[name])
         columns = [c[0] for c in want.description]
         assert sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).select(*columns).collect())) == sorted(want.fetchall())
+
+
+def test_contents_pages_are_shuffled_once_in_partitions_that_follow_the_input(spark, tmp_path):
+    from quire.operators import headings as hd
+    from quire.store import partitions_for
+
+    spark.range(100_000).write.parquet(f"{tmp_path}/d")
+    d = spark.read.parquet(f"{tmp_path}/d")
+    assert partitions_for(d, 1 << 14) > 4 and partitions_for(d, 1 << 40) is None
+    texts = ["Contents", "a", "b", "c"]
+    at = [(k // 4, k % 2, k % 4 + 1, texts[k % 4] if k < 8 else "x", float(k * 7 % 5), float(k * 3 % 4)) for k in range(16)]
+    blocks = spark.createDataFrame(at, "doc_id long, page int, block int, text string, x0 double, y0 double").withColumn("was", F.col("block"))
+    columns = spark.createDataFrame([(0, 0, 2), (1, 0, 1), (2, 0, 2)], "doc_id long, page int, n_cols int")
+    got = hd.contents_order(blocks, columns)
+    assert got.columns == blocks.columns and "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = set()
+    for doc in range(4):
+        for page in range(2):
+            own = [r for r in at if r[:2] == (doc, page)]
+            rows = (doc, page) in {(0, 0), (2, 0)} and any(r[3] == "Contents" for r in own)
+            own.sort(key=lambda r: (r[5], r[4], r[2]) if rows else r[2])
+            want |= {(doc, page, r[2], i) for i, r in enumerate(own, 1)}
+    assert {(r["doc_id"], r["page"], r["was"], r["block"]) for r in got.collect()} == want
