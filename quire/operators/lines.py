@@ -293,6 +293,10 @@ def column_doubts(glyphs: DataFrame) -> DataFrame:
 # ---- glyphs ------------------------------------------------------------------------------
 
 
+#: Faces, of all documents, that are sent to every task.
+FEW_FACES = 1_000_000
+
+
 def inferred_weights(glyphs: DataFrame, least: int = 40, margin: float = 1.15) -> DataFrame:
     """Weights where none is declared: faces whose ink is denser than the commonest face's by `margin` are bold.
 
@@ -301,7 +305,9 @@ def inferred_weights(glyphs: DataFrame, least: int = 40, margin: float = 1.15) -
     faces = glyphs.where("ink IS NOT NULL").groupBy("doc_id", "face").agg(F.count("*").alias("n"), F.avg("ink").alias("density")).where(F.col("n") >= least)
     body = faces.groupBy("doc_id").agg(F.max(F.struct("n", "density")).alias("b")).select("doc_id", F.col("b.density").alias("__body"))
     told = faces.join(body, "doc_id").select("doc_id", "face", F.when(F.col("density") > margin * F.col("__body"), 700).otherwise(400).alias("__weight"))
-    return glyphs.join(told, ["doc_id", "face"], "left").withColumn("weight", F.coalesce("weight", "__weight")).drop("__weight")
+    # glyphs of one face are many: while faces are few, glyphs stay where they are
+    few = told.limit(FEW_FACES + 1).count() <= FEW_FACES
+    return glyphs.join(F.broadcast(told) if few else told, ["doc_id", "face"], "left").withColumn("weight", F.coalesce("weight", "__weight")).drop("__weight")
 
 
 def synthesized_boxes(glyphs: DataFrame) -> DataFrame:

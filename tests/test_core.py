@@ -414,3 +414,16 @@ def test_contents_pages_are_shuffled_once_in_partitions_that_follow_the_input(sp
             own.sort(key=lambda r: (r[5], r[4], r[2]) if rows else r[2])
             want |= {(doc, page, r[2], i) for i, r in enumerate(own, 1)}
     assert {(r["doc_id"], r["page"], r["was"], r["block"]) for r in got.collect()} == want
+
+
+def test_glyphs_stay_where_they_are_while_faces_are_few(spark):
+    g = spark.createDataFrame([(1, "a", 0.2)] * 50 + [(1, "b", 0.5)] * 45 + [(1, "c", 0.9)], "doc_id long, face string, ink double").withColumn("weight", F.lit(None).cast("int"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = ln.inferred_weights(g)
+        plan = got._jdf.queryExecution().sparkPlan().toString()
+        assert plan.index("BroadcastHashJoin") < plan.index("SortMergeJoin")  # the outer join of the glyphs
+        assert {(r["face"], r["weight"]) for r in got.collect()} == {("a", 400), ("b", 700), ("c", None)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
