@@ -30,6 +30,7 @@ are kept by the first signature.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -551,8 +552,20 @@ _PIECE = "bucket int, keys binary, sizes binary, places binary, bits binary, e b
 EARLIER = 8
 
 
+@lru_cache(maxsize=4)
+def odd_bits(num: int, den: int) -> np.ndarray:
+    """By the sum of two sizes, in how many parity bits sets that match may differ; all may, from where long sets are paired on."""
+    both = np.arange(2 * LONG + 1)
+    out = np.minimum(both - 2 * -(-both * num // (num + den)), 64)
+    out[LONG + LONG * num // den :] = 64
+    return out.astype(np.int8)
+
+
 def fitting(size: np.ndarray, place: np.ndarray, index: np.ndarray, bits: np.ndarray, e: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Of the rows (a, b) of one token, a no larger than b, those that pass the filters."""
+    # most pairs fail by their parity bits, so these come first
+    some = np.flatnonzero(np.bitwise_count(bits[a] ^ bits[b]) <= odd_bits(num, den)[size[a] + size[b]])
+    a, b = a[some], b[some]
     both = size[a] + size[b]
     least = -(-both * num // (num + den))
     long = (size[b] == LONG) & (size[a] * den // num >= LONG)  # such sets are verified without these filters
@@ -677,7 +690,8 @@ def meetings(items: DataFrame, extract: Extract, num: int, den: int, often: np.n
         place = place.astype(np.int64)
         cut, spare = np.zeros(len(key), bool), np.zeros(len(key), bool)
         held: list[tuple[np.ndarray, np.ndarray]] = []  # (later, earlier) rows that fit
-        n_held, room = 0, 1 << 20
+        n_held, room = 0, 1 << 18
+        bound = np.full(len(key), np.iinfo(np.int64).max)  # of a set that has enough earlier ones, the latest of these
 
         def trim() -> None:
             nonlocal held, n_held, room
@@ -688,8 +702,10 @@ def meetings(items: DataFrame, extract: Extract, num: int, den: int, often: np.n
                 over = np.arange(len(late)) - np.searchsorted(late, late) >= most
                 cut[late[over]] = spare[early[over]] = True
                 late, early = late[~over], early[~over]
+                last = np.flatnonzero(np.arange(len(late)) - np.searchsorted(late, late) == most - 1)
+                bound[late[last]] = ids[early[last]]
             held, n_held = [(late, early)], len(late)
-            room = max(1 << 20, 2 * n_held)
+            room = max(1 << 18, 2 * n_held)
 
         # A set meets those from its own size on up to the largest that length, position and index allow.
         reach = np.minimum(size * den // num, (size - place + SHARED - 1) * (num + den) // num - size)
@@ -697,19 +713,17 @@ def meetings(items: DataFrame, extract: Extract, num: int, den: int, often: np.n
         reach = np.where(size * den // num >= LONG, LONG, np.maximum(reach, 0)).astype(np.uint64)
         spot = (key.astype(np.uint64) << np.uint64(16)) | size.astype(np.uint64)
         stop = np.searchsorted(spot, (key.astype(np.uint64) << np.uint64(16)) | reach, side="right")
-        i = np.arange(len(key))
-        for d in range(1, len(key)):
-            i = i[i + d < stop[i]]
-            if not len(i):
-                break
-            j = i + d
+        for i, j in reached(stop):
             a, b = fitting(size, place, index, bits, e, i, j, num, den)
             for late, early in ((b, a), (a, b)):
                 # of one id either may be the later
                 right = ids[early] <= ids[late]
-                if right.any():
-                    held.append((late[right], early[right]))
-                    n_held += int(right.sum())
+                late, early = late[right], early[right]
+                over = ids[early] > bound[late]
+                cut[late[over]] = spare[early[over]] = True
+                if not over.all():
+                    held.append((late[~over], early[~over]))
+                    n_held += len(held[-1][0])
             if n_held > room:
                 trim()
         trim()
@@ -747,22 +761,54 @@ def meetings(items: DataFrame, extract: Extract, num: int, den: int, often: np.n
     return items.mapInArrow(lean(send), _PIECE).groupBy("bucket").applyInArrow(meet, f"{_MET}, left binary")
 
 
+def reached(stop: np.ndarray, most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All (i, j), i < j < stop[i], in arrays: of one distance while there are many such, the rest in pieces of bounded size."""
+    i, d = np.arange(len(stop)), 1
+    i = i[i + 1 < stop]
+    while len(i) > most >> 4:
+        yield i, i + d
+        d += 1
+        i = i[i + d < stop[i]]
+    ends = np.cumsum(stop[i] - i - d)
+    for at in range(0, int(ends[-1]) if len(ends) else 0, most):
+        pair = np.arange(at, min(at + most, int(ends[-1])))
+        of = np.searchsorted(ends, pair, side="right")
+        yield i[of], stop[i[of]] - (ends[of] - pair)
+
+
 def left_out(left: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs that `meetings` left out of sets: (left, late): packed sets of a token, and which of them, as the later ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        n_held = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal held, n_held
+            if n_held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[i] for h in held])) for i in range(4)], names=["x", "y", "met", "shared"])
+            held, n_held = [], 0
+
         for batch in batches:
-            for key, blob, late in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            for key, blob, late in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 rows = np.frombuffer(blob.as_buffer(), _ROW)
-                e, ids, bits, index = rows["e"], rows["id"], rows["bits"], rows["index"]
+                e, ids, bits, index = (rows[c].copy() for c in ("e", "id", "bits", "index"))
                 size, place = rows["size"].astype(np.int64), rows["place"].astype(np.int64)
-                for own in np.flatnonzero(np.isin(e.astype(np.int64), late)).tolist():
-                    other = np.flatnonzero(ids <= ids[own])
+                asked = np.flatnonzero(np.isin(e.view(np.int64), late.values.to_numpy()))
+                step = max(1, (1 << 17) // len(rows))
+                for at in range(0, len(asked), step):
+                    own = asked[at : at + step]
+                    k, other = np.nonzero(ids[None, :] <= ids[own][:, None])
+                    own = own[k]
                     first = size[other] < size[own]
                     # of equal size either may be the indexed one
                     a, b = fitting(size, place, index, bits, e, np.where(first, other, own), np.where(first, own, other), num, den)
                     x, y = np.maximum(e[a], e[b]).astype(np.int64), np.minimum(e[a], e[b]).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(np.full(len(x), len(rows) << 32 | key)), pa.array(weights(size, a, b, num, den).astype(np.int32))], names=["x", "y", "met", "shared"])
+                    held.append((x, y, np.full(len(x), len(rows) << 32 | key), weights(size, a, b, num, den).astype(np.int32)))
+                    n_held += len(x)
+                    if n_held >= 1 << 14:
+                        yield from flush()
+        yield from flush()
 
     return left.select("key", "left", "late").mapInArrow(lean(run), _MET)
 

@@ -891,3 +891,30 @@ def test_shared_folder_must_be_named_on_a_cluster(monkeypatch):
     fake = type("Session", (), {"sparkContext": Context(), "conf": {}})()
     with pytest.raises(ValueError):
         common.shared_folder(fake)
+
+
+def test_pairs_of_a_token_are_made_in_few_pieces_and_told_apart_by_parity_first():
+    import numpy as np
+
+    from quire.llm import setjoin
+
+    rng = np.random.default_rng(5)
+    # one long run among short ones: it took an array for each distance
+    stop = np.minimum(np.arange(6_000) + rng.integers(1, 4, 6_000), 6_000)
+    stop[:500] = 3_000
+    pieces = list(setjoin.reached(stop))
+    pairs = np.concatenate([i << 32 | j for i, j in pieces])
+    want = np.concatenate([i << 32 | np.arange(i + 1, stop[i]) for i in range(6_000)])
+    assert len(pieces) < 50 and np.array_equal(np.sort(pairs), np.sort(want))
+    size = np.sort(np.concatenate([rng.integers(1, 70, 280), rng.integers(52_000, 65_536, 15), np.full(5, setjoin.LONG)]))
+    place = np.minimum(rng.integers(0, 9, 300), size - 1)
+    index, e, bits = rng.random(300) < 0.6, np.arange(300).astype(np.uint64) // 2, rng.integers(0, 1 << 10, 300).astype(np.uint64)
+    a, b = np.triu_indices(300, 1)
+    got = set(zip(*(x.tolist() for x in setjoin.fitting(size, place, index, bits, e, a, b, 80, 100))))
+    for i, j in zip(a.tolist(), b.tolist()):
+        m, n = int(size[i]), int(size[j])
+        least = -(-(m + n) * 80 // 180)
+        long = n == setjoin.LONG and m * 100 // 80 >= setjoin.LONG
+        near = n * 80 <= m * 100 and min(m - int(place[i]), n - int(place[j])) + setjoin.SHARED - 1 >= least and (index[i] or (index[j] and m == n))
+        parity = int(bits[i] ^ bits[j]).bit_count() <= m + n - 2 * least
+        assert ((i, j) in got) == bool((long or (near and parity)) and e[i] != e[j])
